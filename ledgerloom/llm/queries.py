@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.exact_dedup import exact_duplicates
+from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import judge
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeats
 
@@ -21,6 +24,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer of the queries; the operators take any file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 1024 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts behind the quality rules and the verdict on every document."""
+    judged = judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = {"q_words": "n_words", "q_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words"}
+    names |= {"q_base_failed": "base_failed", "q_kept": "kept"}
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts, and the document that stays, for every document."""
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -29,6 +57,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash": op7_simhash,
 }
 
@@ -44,4 +75,34 @@ ORACLE: dict[str, str] = {
               FROM u LEFT JOIN g ON u.r = g.r AND u.j = g.j GROUP BY u.r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN x ON d.r = x.r""",
+    "op3_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+        k AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS h FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+        m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS c FROM k) WHERE c > 1),
+        p AS (SELECT r, sum(least(8, coalesce(i - before, 8))) AS repeated FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM m) GROUP BY r),
+        l AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                     length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+                     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+                     len(regexp_extract_all(line, '[!?]{2,}')) AS bangs,
+                     len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x IN ('|', '>', '»', '·', '/'))) AS marks,
+                     length(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS letters,
+                     regexp_matches(lower(line), 'all rights reserved|click here|cookie|follow us|javascript|log in|lorem ipsum|privacy policy|read more|share this|sign in|sign up|subscribe|terms of service|terms of use') AS phrase
+              FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+        b AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
+                     coalesce(sum(chars) FILTER (2 * symbols > n OR 10 * bangs > 3 * n OR (marks >= 3 AND 5 * marks >= n) OR (phrase AND n < 20) OR (n >= 8 AND 2 * letters < chars)), 0) AS lost
+              FROM l WHERE n > 0 GROUP BY r),
+        x AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(b.dup, 0) AS n_dup_lines,
+                     coalesce(p.repeated, 0) AS n_repeat_words, coalesce(b.lost, 0) AS lost
+              FROM w LEFT JOIN b ON w.r = b.r LEFT JOIN p ON w.r = p.r),
+        y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+               CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND 100 * lost <= 50 * word_chars AS kept
+        FROM y""",
+    "op4_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+        g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t""",
 }
