@@ -111,8 +111,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     chars = _letters(F.col("t"))
     rows = rows.withColumn("chars", chars).withColumn("lost", F.col("chars") - _letters(F.col("clean")))
     failed = (F.col("n") < MIN_WORDS) | (F.lit(100).cast("bigint") * F.col("repeat") > F.lit(MAX_REPEATED).cast("bigint") * F.col("n"))
-    return rows.select(
-        "row",
+    verdict = F.struct(
         F.col("n").cast("bigint").alias("q_words"),
         F.col("chars").cast("bigint").alias("q_chars"),
         _symbols(F.col("t")).cast("bigint").alias("q_symbols"),
@@ -123,6 +122,8 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (~failed & (F.lit(100).cast("bigint") * F.col("lost") <= F.lit(MAX_LOST).cast("bigint") * F.col("chars"))).alias("q_kept"),
         F.col("clean").alias("q_text"),
     )
+    # A generator, so that a filter on the verdict stays above the rules instead of being copied into each of them.
+    return rows.select("row", F.inline(F.array(verdict)))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:

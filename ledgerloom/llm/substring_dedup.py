@@ -80,11 +80,13 @@ def remove_repeats(
     gram: int = GRAM,
     bucket_bytes: int = B.BUCKET_BYTES,
     block_bytes: int = B.BLOCK_BYTES,
+    keep_layout: bool = False,
 ) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that starts anywhere else too.
 
     Returns ``id_col``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space), ``spans``
     (removed word ranges, half open) and the columns of ``carry`` under their own names, prefixed ``in_``.
+    With ``keep_layout`` a text that loses nothing keeps its white space.
     """
     size = B.corpus_bytes(docs, text_col)
     inner = docs.select(
@@ -119,7 +121,7 @@ def remove_repeats(
         shared = shared_anchors(table, answers)
         keys, _ = _distinct([p.windows(shared)[1] for _, p in parses(table)])
         found = keys[B.read_answers(answers, 2, np.uint8) > 0]
-        return pa.Table.from_batches([_factors(part, p, shared, found, window) for part, p in parses(table)], schema)
+        return pa.Table.from_batches([_factors(part, p, shared, found, window, keep_layout) for part, p in parses(table)], schema)
 
     fields = [inner.schema[f"in_{c}"] for c in carry]
     out = T.StructType(
@@ -142,7 +144,7 @@ def remove_repeats(
     return done.withColumnRenamed("__id", id_col)
 
 
-def _factors(part: pa.RecordBatch, p: _Parse, shared: np.ndarray, found: np.ndarray, window: int) -> pa.RecordBatch:
+def _factors(part: pa.RecordBatch, p: _Parse, shared: np.ndarray, found: np.ndarray, window: int, keep_layout: bool) -> pa.RecordBatch:
     """Cut the words of all factors out of a run of documents."""
     w = p.words
     at, keys = p.windows(shared)
@@ -160,6 +162,9 @@ def _factors(part: pa.RecordBatch, p: _Parse, shared: np.ndarray, found: np.ndar
     base = w.row[owner[first]] if len(first) else first
     spans = pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], ["first", "end"])
     per = np.searchsorted(first, w.row)
+    kept = [t.decode("utf-8", "replace") for t in w.kept_text(~gone)]
+    if keep_layout:
+        kept = [(text.as_py() or "") if not n else k for text, n, k in zip(part.column("__text"), removed.tolist(), kept)]
     extra = [part.column(n) for n in part.schema.names if n.startswith("in_")]
     names = [n for n in part.schema.names if n.startswith("in_")]
     return pa.RecordBatch.from_arrays(
@@ -167,7 +172,7 @@ def _factors(part: pa.RecordBatch, p: _Parse, shared: np.ndarray, found: np.ndar
             part.column("__id"),
             pa.array(w.per_row.astype(np.int64)),
             pa.array(removed.astype(np.int64)),
-            pa.array([t.decode("utf-8", "replace") for t in w.kept_text(~gone)], pa.string()),
+            pa.array(kept, pa.string()),
             pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), spans),
             *extra,
         ],
