@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.exact_dedup import exact_duplicates
+from ledgerloom.llm.lm_scoring import score
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.simhash import near_duplicates
@@ -49,6 +50,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log10 probability of every document."""
+    return score(_table(spark, sf_dir, "documents")).drop("types")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_simhash": op7_simhash,
 }
 
