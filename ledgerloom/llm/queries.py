@@ -13,6 +13,7 @@ from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeats
+from ledgerloom.llm.warc import archive_and_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the merged capture index."""
+    index = archive_and_index(_table(spark, sf_dir, "pages"))
+    return index.select(
+        F.col("id").cast("bigint").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"), "url_key", F.col("time").alias("capture_time"), "history_pos",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
 }
 
 ORACLE: dict[str, str] = {
