@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.exact_dedup import exact_duplicates
+from ledgerloom.llm.html_text import main_text
 from ledgerloom.llm.lm_scoring import score
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.pieces import encode
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeats
@@ -62,6 +64,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through the merged capture index."""
     index = archive_and_index(_table(spark, sf_dir, "pages"))
@@ -71,6 +78,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and N-best segmentations of every document, and the hash of the text decoded from the best."""
+    import public_tokenizers
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -78,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_simhash": op7_simhash,
+    "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
