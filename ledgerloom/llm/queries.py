@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._storage import new_path
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.html_text import main_text
 from ledgerloom.llm.lm_scoring import score
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pieces import encode
 from ledgerloom.llm.quality import judge
+from ledgerloom.llm.sharding import ShardStore
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeats
 from ledgerloom.llm.warc import archive_and_index
@@ -58,6 +60,15 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents")).drop("types")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a compacted shard store holds them, read from its last manifest version."""
+    store = ShardStore(spark, new_path(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -91,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
@@ -139,4 +151,5 @@ ORACLE: dict[str, str] = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t""",
+    "op6_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
 }
