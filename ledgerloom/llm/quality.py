@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOST = 20, 8, 30, 50
 WORD = r"[^\x20\x09-\x0D]+"
-GAPS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Phrases that mark a short line as page furniture, in lower case.
 BOILERPLATE = (
@@ -34,53 +33,42 @@ BOILERPLATE = (
 )
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+GAP = r"[\x20\x09-\x0D]"
 
 
-def _letters(text: Column) -> Column:
-    """Characters of words."""
-    return F.length(F.translate(text, GAPS, ""))
-
+def _line_stats(line: Column) -> Column:
+    """What the rules need of a line: hashes of its words, word characters, and those that are not letters."""
+    return F.struct(
+        line.alias("line"),
+        F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"),
+        F.length(F.regexp_replace(line, GAP + "+", "")).alias("chars"),
+        F.regexp_count(line, F.lit(r"[^\p{L}\x20\x09-\x0D]")).alias("odd"),
+    )
 
-def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
 
+def line_fails(s: Column) -> Column:
+    """Does a line (of ``_line_stats``) break one of the rules?
 
-def line_fails(line: Column) -> Column:
-    """Does a line break one of the line rules?"""
-    n = F.regexp_count(line, F.lit(WORD))
+    Symbols, runs and separators are among the characters that are no letters, so lines with few of those need no other pattern.
+    """
+    line, n, odd = s["line"], F.size(s["w"]), s["odd"]
+    symbols = F.regexp_count(line, F.lit("[" + SYMBOLS + "]"))
     bangs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     marks = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|>»·/](?![^\x20\x09-\x0D])"))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    phrase = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    symbols = _symbols(line)
-    return (
-        (2 * symbols > n)
-        | (10 * bangs > 3 * n)
-        | ((marks >= 3) & (5 * marks >= n))
-        | (phrase & (n < 20))
-        | ((n >= 8) & (2 * letters < _letters(line)))
+    return (n > 0) & (
+        ((n >= 8) & (2 * (s["chars"] - odd) < s["chars"]))
+        | ((2 * odd > n) & (2 * symbols > n))
+        | ((5 * odd > 3 * n) & (10 * bangs > 3 * n))
+        | ((odd >= 3) & (5 * odd >= n) & (marks >= 3) & (5 * marks >= n))
+        | ((n < 20) & line.rlike("(?i)" + "|".join(BOILERPLATE)))
     )
 
 
-def _repeated(hashes: Column, n: Column) -> Column:
+def _repeated() -> Column:
     """Words inside windows that occur twice: the windows' starts, sorted, with overlaps counted once."""
-    starts = F.transform(
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.size("__sorted")),
-                lambda i: F.when(
-                    ((i > 1) & (F.element_at("__sorted", F.greatest(i - 1, F.lit(1))).getField("h") == F.element_at("__sorted", i).getField("h")))
-                    | ((i < F.size("__sorted")) & (F.element_at("__sorted", F.least(i + 1, F.size("__sorted"))).getField("h") == F.element_at("__sorted", i).getField("h"))),
-                    F.element_at("__sorted", i).getField("at"),
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        ),
-        lambda x: x,
-    )
-    ordered = F.array_sort(starts)
+    beside = lambda i: F.get("__sorted", i)["h"]  # noqa: E731  null outside the array
+    twins = F.filter("__sorted", lambda s, i: s["h"].eqNullSafe(beside(i - 1)) | s["h"].eqNullSafe(beside(i + 1)))
+    ordered = F.array_sort(F.transform(twins, lambda s: s["at"]))
     return F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")),
@@ -95,26 +83,28 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``q_text`` is the text without the lines that fail.  All columns of ``docs`` stay, in a struct ``row``.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    rows = rows.withColumn("w", F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))).withColumn("lines", F.split("t", "\n", -1))
+    rows = rows.withColumn("lines", F.transform(F.split("t", "\n", -1), _line_stats))
+    rows = rows.withColumn("w", F.flatten(F.transform("lines", lambda s: s["w"])))
     n = F.size("w")
-    at = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    windows = F.when(n >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + (k - 1)) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    at = F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))
+    windows = F.when(n >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("n", n).withColumn("h", windows)
     rows = rows.withColumn("many", F.size(F.array_distinct("h")) < F.size("h"))
     # Only a text with a repeated window needs to know where.
-    pairs = F.when(F.col("many"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("at")))))
-    rows = rows.withColumn("__sorted", pairs)
-    rows = rows.withColumn("repeat", F.when(F.col("many"), _repeated(F.col("h"), F.col("n"))).otherwise(F.lit(0)))
-    rows = rows.withColumn("full", F.filter("lines", lambda x: F.length(F.translate(x, GAPS, "")) > 0))
-    rows = rows.withColumn("good", F.filter("lines", lambda x: ~((F.length(F.translate(x, GAPS, "")) > 0) & line_fails(x))))
-    rows = rows.withColumn("clean", F.array_join("good", "\n"))
-    chars = _letters(F.col("t"))
-    rows = rows.withColumn("chars", chars).withColumn("lost", F.col("chars") - _letters(F.col("clean")))
+    rows = rows.withColumn("__sorted", F.when(F.col("many"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
+    rows = rows.withColumn("repeat", F.when(F.col("many"), _repeated()).otherwise(F.lit(0)))
+    rows = rows.withColumn("fails", F.transform("lines", line_fails))
+    rows = rows.withColumn("any", F.exists("fails", lambda x: x))
+    total = lambda keep: F.aggregate(F.filter("lines", keep), F.lit(0), lambda acc, s: acc + s["chars"])
+    rows = rows.withColumn("chars", total(lambda s: F.lit(True))).withColumn("lost", F.when(F.col("any"), total(lambda s, i: F.get("fails", i))).otherwise(F.lit(0)))
+    clean = F.array_join(F.transform(F.filter("lines", lambda s, i: ~F.get("fails", i)), lambda s: s["line"]), "\n")
+    rows = rows.withColumn("clean", F.when(F.col("any"), clean).otherwise(F.col("t")))
+    rows = rows.withColumn("full", F.transform(F.filter("lines", lambda s: F.size(s["w"]) > 0), lambda s: s["line"]))
     failed = (F.col("n") < MIN_WORDS) | (F.lit(100).cast("bigint") * F.col("repeat") > F.lit(MAX_REPEATED).cast("bigint") * F.col("n"))
     verdict = F.struct(
         F.col("n").cast("bigint").alias("q_words"),
         F.col("chars").cast("bigint").alias("q_chars"),
-        _symbols(F.col("t")).cast("bigint").alias("q_symbols"),
+        F.regexp_count("t", F.lit("[" + SYMBOLS + "]")).cast("bigint").alias("q_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("bigint").alias("q_dup_lines"),
         F.col("repeat").cast("bigint").alias("q_repeat_words"),
         F.col("lost").cast("bigint").alias("q_lost_chars"),
