@@ -1,0 +1,334 @@
+"""Parameterised checks of derived rows.
+
+Rows carry ``scope`` and ``row_index``.  A resolution may be a struct or a bare status string.  Every check gives one row
+per scope: a projection finds a row's problems, one aggregation per scope counts them (``verdicts``), so nothing depends on how many
+rows a scope has.  ``CHECKS`` maps the names that check plans use.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.functions.text import amount, casefold, fold, normalise
+from ledgerloom.operators.verdicts import checks, exploded, passed, quoted, text
+from ledgerloom.schemas import NAMES_A_TARGET, RESOLUTION, STATUSES
+
+Tables = dict[str, DataFrame]
+
+
+def resolution(df: DataFrame, field: str, within: Column | None = None, kind: T.DataType | None = None) -> Column:
+    """A resolution in one shape: a struct as it is, a string as its status, anything else empty."""
+    if kind is None:
+        kind = df.schema[field].dataType if field in df.columns else T.NullType()
+    c = (F.col(f"`{field}`") if within is None else within[field]) if not isinstance(kind, T.NullType) else None
+    have = {f.name for f in kind.fields} if isinstance(kind, T.StructType) else set()
+    out = []
+    for f in RESOLUTION.fields:
+        if f.name in have:
+            v = c[f.name].cast(f.dataType)
+        elif f.name == "matched_name" and "matched" in have:
+            v = c["matched"].cast("string")
+        elif f.name == "status" and isinstance(kind, T.StringType):
+            v = c
+        else:
+            v = F.lit(None).cast(f.dataType)
+        out.append(v.alias(f.name))
+    return F.struct(*out)
+
+
+def status(df: DataFrame, field: str) -> Column:
+    return F.upper(normalise(resolution(df, field)["status"]))
+
+
+def _counts(rows: DataFrame, **more: Column) -> DataFrame:
+    return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()])
+
+
+def _row(*parts: Column | str) -> Column:
+    return text("row ", F.col("row_index"), ": ", *parts)
+
+
+def _one(rows: DataFrame, problem: Column) -> DataFrame:
+    return exploded(rows, F.array(problem))
+
+
+def provenance(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """A value that a row claims to have read must be in its source text (case apart)."""
+    field, source = options["field"], options.get("source", "narrative")
+    r = rows.select("scope", "row_index", normalise(field).alias("v"), normalise(source).alias("t")).withColumn("claims", F.col("v") != "")
+    r = r.withColumn("held", casefold(F.col("t")).contains(casefold(F.col("v"))))
+    bad = _one(r, F.when(F.col("claims") & ~F.col("held"), _row(quoted(F.col("v")), f" is not in {source}")))
+    n = _counts(r, claimed=F.count_if("claims"))
+    state = F.when(F.col("claimed") == 0, "CANNOT_VERIFY").otherwise(passed())
+    return checks(n, bad, f"{field}_provenance", state, F.when(F.col("claimed") == 0, f"no row claims a {field}").otherwise(text(F.col("claimed") - F.col("n_problems"), "/", F.col("claimed"), f" values are in {source}")))
+
+
+def pool_keys(pools: list[str], tables: Tables) -> DataFrame | None:
+    """Folded entries of pools ``table:Column``, with their tables; blanks are no entries."""
+    out = None
+    for pool in pools:
+        name, _, column = pool.partition(":")
+        if name in tables and column in tables[name].columns:
+            part = tables[name].select(F.lit(name).alias("in_table"), F.col(f"`{column}`").cast("string").alias("entry")).distinct()
+            out = part if out is None else out.unionAll(part)
+    return None if out is None else out.withColumn("key", fold("entry")).where("key <> ''").select("in_table", "key").distinct()
+
+
+def membership(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """A match or proposal must name an entry of a declared pool, of the table it names if it names one."""
+    field, tables = options["field"], tables or {}
+    res = resolution(rows, field)
+    r = rows.select("scope", "row_index", status(rows, field).alias("s"), normalise(res["matched_name"]).alias("name"), normalise(res["table"]).alias("table"))
+    r = r.withColumn("asks", F.col("s").isin(*NAMES_A_TARGET) & (F.col("name") != ""))
+    known = pool_keys(options.get("tables", []), tables)
+    if known is None:
+        found = r.withColumn("present", F.lit(False))
+    else:
+        r = r.withColumn("key", F.when(F.col("asks"), fold("name")))
+        asked = r.where("asks").select("key", "table").distinct()  # distinct names, not rows, meet the lists
+        hit = asked.join(known, "key").where("table = '' OR table = in_table").select("key", "table").distinct().withColumn("present", F.lit(True))
+        found = r.join(hit, ["key", "table"], "left")
+    problem = (
+        F.when(~F.col("s").isin(*STATUSES), _row("status ", quoted(F.when(F.col("s") == "", "(missing)").otherwise(F.col("s"))), " is unknown"))
+        .when(F.col("s").isin(*NAMES_A_TARGET) & (F.col("name") == ""), _row(F.col("s"), " names nothing"))
+        .when(F.col("asks") & ~F.coalesce("present", F.lit(False)), _row(F.col("s"), " on ", quoted(F.col("name")), ", which is not in ", F.when(F.col("table") == "", "any pool").otherwise(F.col("table"))))
+    )
+    n = _counts(r, **{f"n_{x.lower()}": F.count_if(F.col("s") == x) for x in STATUSES})
+    detail = F.concat_ws(", ", *[F.when(F.col(f"n_{x.lower()}") > 0, text(F.col(f"n_{x.lower()}"), f" {x}")) for x in STATUSES])
+    return checks(n, _one(found, problem), f"{field}_membership", passed(), F.when(detail == "", "no resolutions").otherwise(detail))
+
+
+def journal_lines(rows: DataFrame, field: str = "journal_lines") -> DataFrame:
+    """Journal lines of all rows with their positions; explode once and share."""
+    if field not in rows.columns:
+        empty = "array<struct<batch:string,amount:string,is_debit:boolean,transaction_type:string>>"
+        rows = rows.withColumn(field, F.lit(None).cast(empty))
+    return rows.select("scope", "row_index", F.posexplode(field).alias("pos", "line"))
+
+
+def posting(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Every journal line must book to an entry of the chart; without a chart only blanks are wrong."""
+    field, key, tables = options.get("field", "journal_lines"), options.get("value", "transaction_type"), tables or {}
+    lines = journal_lines(rows, field).select("scope", "row_index", "pos", normalise(F.col("line")[key]).alias("booking")).withColumn("key", casefold(F.col("booking")))
+    chart = None
+    for pool in options.get("chart", []):
+        name, _, column = pool.partition(":")
+        if name in tables and column in tables[name].columns:
+            part = tables[name].select(casefold(normalise(column)).alias("key")).where("key <> ''")
+            chart = part if chart is None else chart.unionAll(part)
+    known = F.lit(True)
+    if chart is not None and not chart.isEmpty():
+        lines = lines.join(chart.distinct().withColumn("there", F.lit(True)), "key", "left")
+        known = F.coalesce("there", F.lit(False))
+    problem = F.when(F.col("booking") == "", _row(f"a line has no {key}")).when(~known, _row(quoted(F.col("booking")), " is not in the chart"))
+    n = _counts(rows).select("scope").join(lines.groupBy("scope").agg(F.count(F.lit(1)).alias("n")), "scope", "left").select("scope", F.coalesce("n", F.lit(0)).alias("n"))
+    state = F.when(F.col("n") == 0, "CANNOT_VERIFY").otherwise(passed())
+    bad = lines.withColumn("problem", problem).where("problem IS NOT NULL").select("scope", "row_index", F.col("pos").alias("ord"), "problem")
+    return checks(n, bad, "posting", state, F.when(F.col("n") == 0, f"no row has {field}").otherwise(text(F.col("n") - F.col("n_problems"), "/", F.col("n"), " lines book to the chart")))
+
+
+def _listed(rows: DataFrame, hit: Column, limit: int) -> DataFrame:
+    first = rows.where(hit).withColumn("k", F.row_number().over(Window.partitionBy("scope").orderBy("row_index"))).where(F.col("k") <= limit)
+    return first.groupBy("scope").agg(F.concat(F.lit("rows "), F.array_join(F.array_sort(F.collect_list("row_index")), ", ")).alias("evidence"))
+
+
+def _percent(part: Column, whole: Column) -> Column:
+    return F.concat(F.bround(F.try_divide(part * 100, whole), 0).cast("bigint").cast("string"), F.lit("%"))
+
+
+def resolution_rate(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """How many of the values that were read were resolved?  Never fails."""
+    field, missed = options["field"], options.get("counts_as_unresolved", ["UNRESOLVED"])
+    r = rows.select("scope", "row_index", status(rows, field).alias("s")).withColumn("looked", ~F.col("s").isin("", "CANNOT_VERIFY")).withColumn("missed", F.col("looked") & F.col("s").isin(*missed))
+    n = _counts(r, looked=F.count_if("looked"), missed=F.count_if("missed")).join(_listed(r, F.col("missed"), 12), "scope", "left")
+    state = F.when(F.col("looked") == 0, "CANNOT_VERIFY").otherwise("PASS")
+    detail = text(F.col("looked") - F.col("missed"), "/", F.col("looked"), " resolved, ", F.col("missed"), " not (", _percent(F.col("missed"), F.col("looked")), ")")
+    return checks(n, None, f"{field}_resolution_rate", state, F.when(F.col("looked") == 0, f"no row has a {field} to resolve").otherwise(detail))
+
+
+def proposals(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """A proposal needs a reason and a confidence between 0 and 1; a row may break both rules."""
+    field = options["field"]
+    res = resolution(rows, field)
+    r = rows.select("scope", "row_index", status(rows, field).alias("s"), normalise(res["why"]).alias("why"), res["confidence"].alias("c")).withColumn("p", F.col("s") == "PROBABLE")
+    bad = F.array(
+        F.when(F.col("p") & (F.col("why") == ""), _row("a proposal without a reason")),
+        F.when(F.col("p") & F.col("c").isNull(), _row("a proposal without a confidence")).when(F.col("p") & ~((F.col("c") > 0) & (F.col("c") < 1)), _row("confidence ", F.col("c"), " is not between 0 and 1")),
+    )
+    n = _counts(r, p=F.count_if("p"))
+    return checks(n, exploded(r, bad), f"{field}_proposals", passed(), F.when(F.col("p") == 0, "no proposals").otherwise(text(F.col("p") - F.col("n_problems"), "/", F.col("p"), " proposals have a reason and a confidence")))
+
+
+def pairing(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """A status must fit whether anything was read."""
+    field = options["field"]
+    span = options.get("span") or field.rsplit("_", 1)[0] + "_raw"
+    absent = " ".join(options.get("absent_status", "CANNOT_VERIFY").split()).upper()
+    r = rows.select("scope", "row_index", status(rows, field).alias("s"), (normalise(span) if span in rows.columns else F.lit("")).alias("v"))
+    problem = F.when((F.col("s") != "") & (F.col("v") != "") & (F.col("s") == absent), _row(F.col("s"), f" although {span} is ", quoted(F.col("v")))).when(
+        (F.col("s") != "") & (F.col("v") == "") & (F.col("s") != absent), _row(F.col("s"), f" although {span} is empty")
+    )
+    return checks(_counts(r), _one(r, problem), f"{field}_pairing", passed(), text(F.col("n") - F.col("n_problems"), "/", F.col("n"), f" rows agree with {span}"))
+
+
+def label_rate(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Share of rows with a label that should be rare.  Never fails; reported as ``field_label_rate`` throughout."""
+    field, label = options["field"], " ".join(options["label"].split()).casefold()
+    r = rows.select("scope", "row_index", (casefold(normalise(field)) == label).alias("hit"))
+    n = _counts(r, hits=F.count_if("hit")).join(_listed(r, F.col("hit"), 10), "scope", "left")
+    return checks(n, None, f"{field}_{label}_rate", F.lit("PASS"), text(F.col("hits"), "/", F.col("n"), f" rows are '{label}' (", _percent(F.col("hits"), F.col("n")), ")"))
+
+
+def _samples(rows: DataFrame, options: dict) -> T.StructType | None:
+    kind = rows.schema["_samples"].dataType if "_samples" in rows.columns else None
+    return kind.elementType if isinstance(kind, T.ArrayType) else None
+
+
+def agreement(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Fields on which another sample of the same row differs; statuses (or labels) are compared upper-cased."""
+    fields, element = options.get("fields") or [], _samples(rows, options)
+    if element is None:
+        return checks(_counts(rows), None, "sample_agreement", F.lit("CANNOT_VERIFY"), F.lit("there is one sample"))
+
+    def value(kind: T.DataType, c: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.upper(normalise(c["status"])) if "status" in kind.names else F.lit("")
+        return F.upper(normalise(c)) if isinstance(kind, T.StringType) else normalise(c)
+
+    problems = []
+    for f in fields:
+        mine = value(rows.schema[f].dataType, F.col(f"`{f}`")) if f in rows.columns else F.lit("")
+        kind = element[f].dataType if f in element.names else None
+        other = F.transform("_samples", lambda s, f=f, kind=kind: value(kind, s[f]) if kind is not None else F.lit(""))
+        odd = F.get(F.filter(other, lambda x, mine=mine: x != mine), F.lit(0))
+        problems.append(F.when(odd.isNotNull(), _row(f"{f} is ", quoted(mine), " or ", quoted(odd))))
+    r = rows.withColumn("compared", F.coalesce(F.size("_samples") > 0, F.lit(False))).withColumn("problems", F.filter(F.array(*problems) if problems else F.array().cast("array<string>"), lambda x: x.isNotNull()))
+    n = _counts(r, compared=F.count_if("compared"), disputed=F.count_if(F.col("compared") & (F.size("problems") > 0)))
+    state = F.when(F.col("compared") == 0, "CANNOT_VERIFY").when(F.col("disputed") == 0, "PASS").otherwise("UNRESOLVED")
+    return checks(n, exploded(r.where("compared"), F.col("problems")), "sample_agreement", state, F.when(F.col("compared") == 0, "there is one sample").otherwise(text(F.col("compared") - F.col("disputed"), "/", F.col("compared"), " rows agree")))
+
+
+def batches(lines: DataFrame) -> DataFrame:
+    """Journal lines by batch: ``n, net, rows_seen, not_numbers``; a line without an id is a batch of its row's own."""
+    b = normalise(F.col("line")["batch"])
+    none = (b == "") | F.lower(b).isin("none", "null")
+    raw = F.coalesce(F.col("line")["amount"].cast("string"), F.lit("None"))
+    value = amount(raw, 6)
+    signed = F.when(F.coalesce(F.col("line")["is_debit"].cast("boolean"), F.lit(False)), value).otherwise(-value)
+    keyed = lines.select("scope", "row_index", none.alias("no_id"), F.when(none, F.concat(F.lit("(row "), F.col("row_index"), F.lit(")"))).otherwise(b).alias("batch"), signed.alias("signed"))
+    return keyed.groupBy("scope", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("signed").cast("decimal(38,6)").alias("net"), F.count_distinct("row_index").alias("rows_seen"), F.min("row_index").alias("row_index"),
+        F.count_if(F.col("signed").isNull()).alias("not_numbers"), F.count_if("no_id").alias("no_id"),
+    )
+
+
+def double_entry(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Every batch must have an id, stay within a row, have both sides and net to zero."""
+    field, tolerance, per = options.get("field", "journal_lines"), str(options.get("tolerance", "0.01")), options.get("lines_per_batch")
+    b = batches(journal_lines(rows, field))
+    name = lambda *parts: text("batch ", F.col("batch"), *parts)
+    count_rule = F.when(F.col("n") < 2, name(" has one line"))
+    if per:
+        count_rule = count_rule.when(F.col("n") != per, name(" has ", F.col("n"), f" lines, not {per}"))
+    sums = F.when(F.col("not_numbers") > 0, name(": an amount is no number")).otherwise(F.coalesce(count_rule, F.when(F.abs("net") > F.lit(tolerance).cast("decimal(18,6)"), name(" nets to ", F.col("net")))))
+    missing = F.transform(F.sequence(F.lit(1), F.greatest("no_id", F.lit(1))), lambda i: F.when(F.col("no_id") >= i, _row("a line has no batch id")))
+    bad = F.concat(missing, F.array(F.when(F.col("rows_seen") > 1, name(" spans ", F.col("rows_seen"), " rows")), sums))
+    n = _counts(rows).join(b.groupBy("scope").agg(F.count(F.lit(1)).alias("k")), "scope", "left").select("scope", "n", F.coalesce("k", F.lit(0)).alias("k"))
+    state = F.when(F.col("k") == 0, "CANNOT_VERIFY").otherwise(passed())
+    return checks(n, exploded(b, bad), "double_entry", state, F.when(F.col("k") == 0, f"no row has {field}").otherwise(text(F.col("k"), " batches, ", F.col("n_problems"), " problems")))
+
+
+def batches_balance(rows: DataFrame, field: str = "journal_lines") -> DataFrame:
+    """Weaker twin for use inside a run: ids default to the row, tolerance 0.01, no rule on spans."""
+    b = batches(journal_lines(rows, field)).withColumn("ok", (F.col("not_numbers") == 0) & (F.abs("net") <= F.lit("0.01").cast("decimal(18,6)")))
+    return b.groupBy("scope").agg(F.every("ok").alias("ok"), F.count(F.lit(1)).alias("batches"), F.count_if("ok").alias("balanced"))
+
+
+def explanation(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """An answer owes its steps and inputs; a refusal owes a reason and what it would need."""
+    field, refusals = options.get("field", "verdict"), [x.strip().upper() for x in options.get("refusals", ["CANNOT_VERIFY"])]
+    get = lambda c: normalise(c) if c in rows.columns else F.lit("")
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    kind = rows.schema["explanation"].dataType if "explanation" in rows.columns else None
+    part = lambda k: some(F.col("explanation")[k]) if isinstance(kind, T.StructType) and k in kind.names else F.lit(False)
+    needs = F.lit(False)
+    for c in ("missing", "would_need"):
+        if c in rows.columns:
+            needs = needs | (some(c) if isinstance(rows.schema[c].dataType, T.ArrayType) else normalise(c) != "")
+    r = rows.select(
+        "scope", "row_index", F.coalesce(F.nullif(get("question"), F.lit("")), F.nullif(get("id"), F.lit("")), F.col("row_index").cast("string")).alias("label"),
+        F.upper(get(field)).alias("v"), get("because").alias("because"), needs.alias("needs"), part("steps").alias("steps"), part("inputs").alias("inputs"),
+    )
+    refuses, blank = F.col("v").isin(*refusals), F.col("v") == ""
+    say = lambda what: text(F.col("label"), ": ", what)
+    bad = F.array(
+        F.when(blank, say(f"no {field}")).when(refuses & (F.col("because") == ""), say("refused without a reason")),
+        F.when(refuses & ~F.col("needs"), say("refused without what it would need")),
+        F.when(~blank & ~refuses & ~F.col("steps"), say("answered without steps")).when(~blank & ~refuses & ~F.col("inputs"), say("answered without inputs")),
+    )
+    return checks(_counts(r), exploded(r, bad), "explanation", passed(), text(F.col("n") - F.col("n_problems"), "/", F.col("n"), " answers explain themselves"))
+
+
+def completeness(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Every row must have a known status for every field."""
+    fields = options["fields"]
+    bad = F.array(*[F.when(~status(rows, f).isin(*STATUSES), _row(f"no status for {f}")) for f in fields])
+    total = F.col("n") * len(fields)
+    return checks(_counts(rows), exploded(rows, bad), "resolution_completeness", passed(), text(total - F.col("n_problems"), "/", total, " resolutions have a status"))
+
+
+def vocabulary(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """A label must be one of those allowed (case apart)."""
+    field, allowed = options["field"], [" ".join(x.split()).casefold() for x in options["allowed"]]
+    r = rows.select("scope", "row_index", normalise(field).alias("v"))
+    problem = F.when(F.col("v") == "", _row(f"no {field}")).when(~casefold(F.col("v")).isin(*allowed), _row(quoted(F.col("v")), f" is no {field}"))
+    return checks(_counts(r), _one(r, problem), f"{field}_vocabulary", passed(), text(F.col("n") - F.col("n_problems"), "/", F.col("n"), f" rows have a known {field}"))
+
+
+def stage_tie(rows: DataFrame, options: dict, tables: Tables | None = None) -> DataFrame:
+    """Row movements, debits and credits must agree within a tolerance.  Rows and lines are summed apart, then joined.
+
+    A zero credit falls through to the debit; line amounts count without their signs.
+    """
+    field, tolerance = options.get("field", "journal_lines"), F.lit(str(options.get("tolerance", "0.01"))).cast("decimal(18,6)")
+    have = {c: amount(c, 6) for c in ("amount", "credit", "debit") if c in rows.columns}
+    none = F.lit(None).cast("decimal(38,6)")
+    value = F.coalesce(have.get("amount", none), F.nullif(have.get("credit", none), F.lit(0).cast("decimal(38,6)")), have.get("debit", none))
+    r = rows.groupBy("scope").agg(F.coalesce(F.sum(F.abs(value)), F.lit(0)).cast("decimal(38,6)").alias("moved"), F.count(F.lit(1)).alias("n"))
+    lines = journal_lines(rows, field).select("scope", F.abs(amount(F.col("line")["amount"], 6)).alias("x"), F.coalesce(F.col("line")["is_debit"].cast("boolean"), F.lit(False)).alias("d")).where("x IS NOT NULL")
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("x"))), F.lit(0)).cast("decimal(38,6)")
+    j = lines.groupBy("scope").agg(F.count(F.lit(1)).alias("k"), side(F.col("d")).alias("debits"), side(~F.col("d")).alias("credits"))
+    t = r.join(j, "scope", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tolerance
+    state = F.when(F.col("k") == 0, "CANNOT_VERIFY").when(near("moved", "debits") & near("debits", "credits"), "PASS").otherwise("FAIL")
+    cents = lambda c: F.format_number(F.col(c), 2)
+    shown = F.when(F.col("k") == 0, text(F.col("n"), " rows without lines")).otherwise(text("rows ", cents("moved"), ", debits ", cents("debits"), ", credits ", cents("credits")))
+    return checks(t.withColumn("evidence", shown), None, "stage_tie", state, F.when(F.col("k") == 0, f"no {field}").when(state == "PASS", text(F.col("k"), " lines tie to ", F.col("n"), " rows")).otherwise("the lines do not tie to the rows"))
+
+
+def self_claims(claims: DataFrame) -> DataFrame:
+    """Assertions that a run makes about itself (``scope, name, holds, detail, evidence``) as checks; they can only add failures."""
+    return claims.select(F.concat(F.lit("self:"), F.col("name")).alias("name"), "scope", F.when(F.col("holds"), "PASS").otherwise("FAIL").alias("status"), F.substring(F.coalesce("detail", F.lit("")), 1, 120).alias("detail"), F.substring(F.coalesce("evidence", F.lit("")), 1, 400).alias("evidence"))
+
+
+CHECKS: dict[str, Callable[..., DataFrame]] = {
+    "provenance": provenance, "membership": membership, "posting": posting, "resolution_rate": resolution_rate, "pairing": pairing,
+    "completeness": completeness, "vocabulary": vocabulary, "proposals": proposals, "label_rate": label_rate, "agreement": agreement,
+    "double_entry": double_entry, "explanation": explanation, "stage_tie": stage_tie,
+}
+
+
+def run(rows: DataFrame, plan: list[dict], tables: Tables | None = None) -> DataFrame:
+    """Run the checks of a plan, ``{"check": name, ...options}`` each, and put their rows together."""
+    out = None
+    for step in plan:
+        name = step.get("check")
+        if name not in CHECKS:
+            raise ValueError(f"no check {name!r}; there are {', '.join(sorted(CHECKS))}")
+        part = CHECKS[name](rows, step, tables)
+        out = part if out is None else out.unionByName(part)
+    return out
