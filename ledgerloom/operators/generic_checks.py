@@ -199,13 +199,14 @@ def agreement(rows: DataFrame, options: dict, tables: Tables | None = None) -> D
             return F.upper(normalise(c["status"])) if "status" in kind.names else F.lit("")
         return F.upper(normalise(c)) if isinstance(kind, T.StringType) else normalise(c)
 
-    problems = []
-    for f in fields:
+    def dispute(f: str) -> Column:
         mine = value(rows.schema[f].dataType, F.col(f"`{f}`")) if f in rows.columns else F.lit("")
         kind = element[f].dataType if f in element.names else None
-        other = F.transform("_samples", lambda s, f=f, kind=kind: value(kind, s[f]) if kind is not None else F.lit(""))
-        odd = F.get(F.filter(other, lambda x, mine=mine: x != mine), F.lit(0))
-        problems.append(F.when(odd.isNotNull(), _row(f"{f} is ", quoted(mine), " or ", quoted(odd))))
+        others = F.transform("_samples", lambda s: value(kind, s[f]) if kind is not None else F.lit(""))
+        odd = F.get(F.filter(others, lambda x: x != mine), F.lit(0))
+        return F.when(odd.isNotNull(), _row(f"{f} is ", quoted(mine), " or ", quoted(odd)))
+
+    problems = [dispute(f) for f in fields]
     r = rows.withColumn("compared", F.coalesce(F.size("_samples") > 0, F.lit(False))).withColumn("problems", F.filter(F.array(*problems) if problems else F.array().cast("array<string>"), lambda x: x.isNotNull()))
     n = _counts(r, compared=F.count_if("compared"), disputed=F.count_if(F.col("compared") & (F.size("problems") > 0)))
     state = F.when(F.col("compared") == 0, "CANNOT_VERIFY").when(F.col("disputed") == 0, "PASS").otherwise("UNRESOLVED")

@@ -30,8 +30,11 @@ def concentration(holdings: DataFrame, by: str, ceiling: float | Column, within:
     """Share of each holding in the total (of its group), and whether it is over the ceiling."""
     per = holdings.groupBy(*([within] if within else []), by).agg(F.sum(F.col("amount").cast(MONEY)).cast(MONEY).alias("amount"))
     total = F.sum("amount").over(Window.partitionBy(*([within] if within else [])))
-    share = F.bround(F.try_divide(F.col("amount"), total).cast("decimal(38,12)"), 6)
-    return per.withColumn("share", share).withColumn("over", F.col("share") > (F.lit(ceiling) if isinstance(ceiling, float) else ceiling))
+    limit = F.lit(str(ceiling)).cast("decimal(10,8)") if isinstance(ceiling, float) else ceiling.cast("decimal(10,8)")
+    share = F.bround(F.try_divide(F.col("amount").cast("double"), F.col("total").cast("double")), 6)
+    # The comparison multiplies, so it is exact; decimal division keeps six digits.
+    out = per.withColumn("total", total.cast("decimal(26,2)")).withColumn("over", F.col("amount") > F.col("total") * limit)
+    return out.withColumn("share", share).drop("total")
 
 
 def in_band(values: DataFrame, value: str, low: float, high: float) -> DataFrame:
