@@ -19,6 +19,8 @@ without any document in the fold the weights are ``DEFAULT``; an empty table giv
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,17 +48,17 @@ def fold(id_col: Column) -> Column:
 
 
 def _pack(*counts: np.ndarray) -> bytes:
-    """Arrays of counts, each in the least width that holds it."""
+    """Arrays of counts, each in the least width that holds it; most counts are 0 or 1, so they are deflated."""
     out = []
     for c in counts:
         top = int(c.max()) if len(c) else 0
         wide = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2 if top < 1 << 32 else 3
         out += [bytes([wide]), c.astype(_WIDTHS[wide]).tobytes()]
-    return b"".join(out)
+    return zlib.compress(b"".join(out), 1)
 
 
 def _unpack(data: bytes, n: int, arrays: int) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, data = [], 0, zlib.decompress(data)
     for _ in range(arrays):
         kind = np.dtype(_WIDTHS[data[at]])
         out.append(np.frombuffer(data, kind, n, at + 1).astype(np.int64))
@@ -64,6 +66,20 @@ def _unpack(data: bytes, n: int, arrays: int) -> list[np.ndarray]:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as differences: the low five bytes as they are, the high three, mostly zero, deflated."""
+    steps = np.ascontiguousarray(np.diff(keys, prepend=U64(0))).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, :5].tobytes() + zlib.compress(np.ascontiguousarray(steps[:, 5:].T).tobytes(), 1) + len(keys).to_bytes(4, "little")
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[-4:], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
+    steps[:, 5:] = np.frombuffer(zlib.decompress(data[5 * n : -4]), np.uint8).reshape(3, n).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 class _Tokens:
     """Token and context of every token of a bucket, as indices into its distinct words and pairs."""
 
@@ -108,7 +124,7 @@ def _asks(table: pa.Table, blocks: int) -> pa.Table:
                     pa.array([i + 1] * len(spans), pa.int32()),
                     pa.array([j for j, _, _ in spans], pa.int32()),
                     pa.array([bucket] * len(spans), pa.int32()),
-                    pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                    pa.array([pack_keys(keys[a:b]) for _, a, b in spans], pa.binary()),
                     pa.array([_pack(train[i][a:b], own[i][a:b]) for _, a, b in spans], pa.binary()),
                 ],
                 names=["round", "block", "bucket", "keys", "extra"],
@@ -121,7 +137,7 @@ def _reply(table: pa.Table) -> pa.Table:
     """Sum the counts of a block's keys over all buckets; bucket -1 gets the block's word statistics."""
     table = table.combine_chunks()
     rounds = table.column("round").to_numpy()
-    keys = [np.frombuffer(k.as_buffer(), U64) for k in table.column("keys")]
+    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
     sent = [_unpack(x.as_py(), len(k), 2) for x, k in zip(table.column("extra"), keys)]
     answers: list[bytes] = [b""] * len(keys)
     stats = [0, 0, 0]
