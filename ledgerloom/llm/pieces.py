@@ -128,11 +128,12 @@ class Model:
             return known
         into = self.edges(chunk)
         ahead = self.forward(into)
-        agenda = [(-ahead[-1], 0, len(chunk), 0.0, None)]
+        # Of equal scores the hypothesis nearest to the start goes first: ties are followed down, not fanned out.
+        agenda = [(-ahead[-1], len(chunk), 0, 0.0, None)]
         out: list[tuple[float, bytes]] = []
         count = 0
         while agenda and len(out) < n:
-            _, _, at, done, path = heapq.heappop(agenda)
+            _, at, _, done, path = heapq.heappop(agenda)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -142,7 +143,7 @@ class Model:
                 continue
             for s, piece, w in into[at]:
                 count += 1
-                heapq.heappush(agenda, (-(done + w + ahead[s]), count, s, done + w, (s, at, piece, path)))
+                heapq.heappush(agenda, (-(done + w + ahead[s]), s, count, done + w, (s, at, piece, path)))
         if len(self.lists) > CACHED // 4:
             self.lists.clear()
         if len(chunk) <= WIDE:
