@@ -19,6 +19,7 @@ without any document in the fold the weights are ``DEFAULT``; an empty table giv
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -133,13 +134,17 @@ def _asks(table: pa.Table, blocks: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _reply(table: pa.Table) -> pa.Table:
-    """Sum the counts of a block's keys over all buckets; bucket -1 gets the block's word statistics."""
+def _reply(table: pa.Table, fold_from: int | None) -> pa.Table:
+    """Sum the counts of a block's keys over all buckets and answer.
+
+    For scores every bucket gets the training counts.  For the weights only buckets from ``fold_from`` on, which hold the fold,
+    get training and fold counts, and bucket -1 gets the block's word statistics.
+    """
     table = table.combine_chunks()
-    rounds = table.column("round").to_numpy()
+    rounds, buckets = table.column("round").to_numpy(), table.column("bucket").to_numpy()
     keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
     sent = [_unpack(x.as_py(), len(k), 2) for x, k in zip(table.column("extra"), keys)]
-    answers: list[bytes] = [b""] * len(keys)
+    out: list[tuple[int, int, bytes]] = []
     stats = [0, 0, 0]
     for kind in (1, 2):
         mine = np.flatnonzero(rounds == kind)
@@ -156,28 +161,29 @@ def _reply(table: pa.Table) -> pa.Table:
         at = 0
         for i in mine:
             own = inverse[at : at + len(keys[i])]
-            answers[i] = _pack(sums[0][own], sums[1][own])
             at += len(own)
+            if fold_from is None:
+                out.append((kind, int(buckets[i]), _pack(sums[0][own])))
+            elif buckets[i] >= fold_from:
+                out.append((kind, int(buckets[i]), _pack(sums[0][own], sums[1][own])))
+    if fold_from is not None:
+        out.append((0, -1, np.array(stats, np.int64).tobytes()))
+    block = int(table.column("block")[0].as_py())
     return pa.table(
-        [
-            pa.array([*rounds.tolist(), 0], pa.int32()),
-            pa.array([*table.column("block").to_pylist(), int(table.column("block")[0].as_py())], pa.int32()),
-            pa.array([*table.column("bucket").to_pylist(), -1], pa.int32()),
-            pa.array([*answers, np.array(stats, np.int64).tobytes()], pa.binary()),
-        ],
+        [pa.array([r for r, _, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([x for _, x, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.binary())],
         names=["round", "block", "bucket", "answer"],
     )
 
 
-def _known(t: _Tokens, answers: pa.Table, blocks: int) -> list[list[np.ndarray]]:
-    """Corpus and fold counts of the bucket's words and pairs."""
+def _known(t: _Tokens, answers: pa.Table, blocks: int, arrays: int) -> list[list[np.ndarray]]:
+    """Training (and fold) counts of the bucket's words and pairs."""
     rounds, block = answers.column("round").to_numpy(), answers.column("block").to_numpy()
     cells, out = answers.column("answer"), []
     for kind, keys in ((1, t.words), (2, t.pairs)):
         at = {int(block[i]): cells[int(i)].as_py() for i in np.flatnonzero(rounds == kind)}
         cut = np.r_[0, np.searchsorted(keys, B.bounds(blocks)), len(keys)].tolist()
-        parts = [_unpack(at[j], b - a, 2) for j, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-        out.append([np.concatenate([p[i] for p in parts]) for i in (0, 1)])
+        parts = [_unpack(at[j], b - a, arrays) for j, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        out.append([np.concatenate([p[i] for p in parts]) for i in range(arrays)])
     return out
 
 
@@ -233,21 +239,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     size = B.corpus_bytes(docs, text_col)
     key = F.col(f"`{id_col}`")
     inner = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out(key).alias("held_out"), fold(key).alias("fold"))
-    dealt, n = B.deal(inner, ["id", "text"], size, bucket_bytes)
-    dealt = dealt.withColumnRenamed("__bucket", "bucket")
+    # The fold has buckets of its own, so that only those take part in fitting the weights.
+    n = max(8, math.ceil(size / bucket_bytes))
+    folds = math.ceil(n / 10)
+    h = F.xxhash64("id", "text")
+    dealt = inner.withColumn("bucket", F.when(F.col("fold"), n + F.pmod(h, F.lit(folds))).otherwise(F.pmod(h, F.lit(n))).cast("int")).repartition(max((n + folds) // 3, 8), "bucket")
     blocks = B.block_count(size, block_bytes)
     grouped = dealt.groupBy("bucket")
-    replies = grouped.applyInArrow(lambda table: _asks(table, blocks), B.ASK).groupBy("block").applyInArrow(_reply, B.REPLY)
+    asked = grouped.applyInArrow(lambda table: _asks(table, blocks), B.ASK).groupBy("block")
+    for_weights = asked.applyInArrow(lambda table: _reply(table, n), B.REPLY)
+    for_scores = asked.applyInArrow(lambda table: _reply(table, None), B.REPLY)
 
     def cells(table: pa.Table, answers: pa.Table) -> pa.Table:
         if answers.num_rows and answers.column("bucket")[0].as_py() == -1:
             stats = np.sum([np.frombuffer(x.as_py(), np.int64) for x in answers.column("answer")], axis=0)
             return pa.table([pa.array([-1] * 3, pa.int64()), pa.array([0, 1, 2], pa.int64()), pa.array([0] * 3, pa.int64()), pa.array(stats)], names=["b", "ratio", "level", "n"])
-        table = table.filter(table.column("bucket").is_valid())
-        if not table.num_rows or not table.column("fold").to_numpy().any():
+        if not table.num_rows or not answers.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names=["b", "ratio", "level", "n"])
         t = _Tokens(table)
-        return _histogram(t, _known(t, answers, blocks))
+        return _histogram(t, _known(t, answers, blocks, 2))
 
     def fit(table: pa.Table) -> pa.Table:
         b, ratio, level, count = (table.column(c).to_numpy() for c in ("b", "ratio", "level", "n"))
@@ -257,11 +267,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         weights = expectation_maximisation(b[real], ratio[real], level[real], count[real], total - stats.get(2, 0), types)
         return pa.table([pa.array([np.r_[weights.ravel(), float(total), float(types)].tobytes()], pa.binary())], names=["model"])
 
-    histogram = grouped.cogroup(replies.groupBy("bucket")).applyInArrow(cells, "b long, ratio long, level long, n long")
+    histogram = grouped.cogroup(for_weights.groupBy("bucket")).applyInArrow(cells, "b long, ratio long, level long, n long")
     bounded = histogram.groupBy("b", "ratio", "level").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
     model = bounded.groupBy("one").applyInArrow(lambda table: fit(table.drop_columns(["one"])), "model binary")
     # The model is 53 numbers; every bucket gets a copy along with its counts.
-    copies = model.select(F.lit(9).alias("round"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"), F.col("model").alias("answer"))
+    copies = model.select(F.lit(9).alias("round"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n + folds - 1))).alias("bucket"), F.col("model").alias("answer"))
 
     def scores(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -270,7 +280,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         model = np.frombuffer(answers.column("answer")[int(np.flatnonzero(rounds == 9)[0])].as_py())
         weights, total, types = model[:-2].reshape(CONTEXTS, 3), model[-2], model[-1]
         t = _Tokens(table)
-        (words, _), (pairs, _) = _known(t, answers, blocks)
+        (words,), (pairs,) = _known(t, answers, blocks, 1)
         word, over = words[t.word], _context(t, words, pairs)
         w = weights[context_bucket(over)]
         p = w[:, 0] * pairs[t.pair] / np.maximum(over, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (types + 1)
@@ -289,5 +299,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         out = out.add(name, "long")
     out = out.add("base_score", "double").add("score", "double")
     schema = to_arrow_schema(out)
-    done = grouped.cogroup(replies.unionAll(copies).groupBy("bucket")).applyInArrow(scores, out)
+    done = grouped.cogroup(for_scores.unionAll(copies).groupBy("bucket")).applyInArrow(scores, out)
     return done.withColumnRenamed("id", id_col)
