@@ -31,15 +31,23 @@ def corpus_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0)
 
 
-def deal(docs: DataFrame, by: list[str], size: int, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+def grown(size: int, least: int, most: int, parts: int = 20_000) -> int:
+    """Bytes of a part: ``least`` as long as that makes ``parts`` parts or fewer, then more, up to ``most``.
+
+    Questions are one row per bucket and block, so neither number may grow with the input for ever.
+    """
+    return min(most, max(least, size // parts))
+
+
+def deal(docs: DataFrame, by: list[str], size: int, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Add ``__bucket`` from the hash of the columns ``by`` and shuffle documents to their buckets."""
-    n = max(8, math.ceil(size / bucket_bytes))
+    n = max(8, math.ceil(size / (bucket_bytes or grown(size, BUCKET_BYTES, 256 << 20))))
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(n)).cast("int"))
     return dealt.repartition(max(n // 3, 8), "__bucket"), n
 
 
-def block_count(size: int, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(4, math.ceil(size / block_bytes))
+def block_count(size: int, block_bytes: int | None = None) -> int:
+    return max(4, math.ceil(size / (block_bytes or grown(size, BLOCK_BYTES, 1 << 30))))
 
 
 def bounds(blocks: int) -> np.ndarray:

@@ -10,13 +10,14 @@ characters, because UTF-8 never uses those bytes inside a longer sequence.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, HASH_BYTES = 2 << 20, 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,7 +37,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 2 * SLICE_BYTES:
+        if size <= 2 * HASH_BYTES:
             _powers[int(base)] = have
     return have[:n]
 
@@ -74,6 +75,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back: Python workers are kept between tasks, and two or more share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
 
 
 class Words:
@@ -103,11 +114,11 @@ class Words:
         return np.repeat(np.arange(len(self.row) - 1), self.per_row)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, computed over runs of words of about ``SLICE_BYTES``."""
+        """64-bit hash of each word's bytes, computed over runs of words of about ``HASH_BYTES``."""
         out, first = np.empty(self.n, np.uint64), 0
         while first < self.n:
             base = self.start[first]
-            last = max(first + 1, int(np.searchsorted(self.end, base + SLICE_BYTES, "right")))
+            last = max(first + 1, int(np.searchsorted(self.end, base + HASH_BYTES, "right")))
             start, end = self.start[first:last] - base, self.end[first:last] - base
             sums = np.zeros(int(end[-1]) + 1, np.uint64)
             np.cumsum(_BYTE[self.raw[base : base + end[-1]]] * powers(_P, int(end[-1])), out=sums[1:])

@@ -32,7 +32,7 @@ from ledgerloom.llm._words import _SPACE, slices, text_bytes
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1299709019)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import _buckets as B
-from ledgerloom.llm._words import Words, mix
+from ledgerloom.llm._words import Words, mix, tidy
 
 U64 = np.uint64
 END, START = U64(0x51ED270B9F3A7C15), U64(0x3C79AC492BA7B653)
@@ -112,6 +112,7 @@ class _Tokens:
 
 
 def _asks(table: pa.Table, blocks: int) -> pa.Table:
+    tidy()
     t = _Tokens(table)
     bucket = table.column("bucket")[0].as_py()
     train, out = t.counts(t.train), []
@@ -140,6 +141,7 @@ def _reply(table: pa.Table, fold_from: int | None) -> pa.Table:
     For scores every bucket gets the training counts.  For the weights only buckets from ``fold_from`` on, which hold the fold,
     get training and fold counts, and bucket -1 gets the block's word statistics.
     """
+    tidy()
     table = table.combine_chunks()
     rounds, buckets = table.column("round").to_numpy(), table.column("bucket").to_numpy()
     keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
@@ -234,9 +236,10 @@ def expectation_maximisation(b: np.ndarray, ratio: np.ndarray, level: np.ndarray
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int | None = None, block_bytes: int | None = None) -> DataFrame:
     """One row per document: ``id_col, held_out, n_tokens, n_known, train_tokens, types, base_score, score``."""
     size = B.corpus_bytes(docs, text_col)
+    bucket_bytes = bucket_bytes or B.grown(size, B.BUCKET_BYTES, 64 << 20)
     key = F.col(f"`{id_col}`")
     inner = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out(key).alias("held_out"), fold(key).alias("fold"))
     # The fold has buckets of its own, so that only those take part in fitting the weights.

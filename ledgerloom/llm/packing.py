@@ -47,7 +47,7 @@ _SOLID[0xE4:0xF5] = True
 
 #: The byte-level pre-tokeniser's pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 300_000
+CACHED = 200_000
 
 
 class _Encoder:

@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 # Phrases that mark a short line as page furniture, in lower case.
 BOILERPLATE = (
-    "all rights reserved", "click here", "cookie", "follow us", "javascript", "log in", "lorem ipsum",
+    "all rights reserved", "click here", "cookies", "follow us", "javascript", "log in", "lorem ipsum",
     "privacy policy", "read more", "share this", "sign in", "sign up", "subscribe", "terms of service", "terms of use",
 )
 
@@ -60,7 +60,7 @@ def line_fails(s: Column) -> Column:
         | ((2 * odd > n) & (2 * symbols > n))
         | ((5 * odd > 3 * n) & (10 * bangs > 3 * n))
         | ((odd >= 3) & (5 * odd >= n) & (marks >= 3) & (5 * marks >= n))
-        | ((n < 20) & line.rlike("(?i)" + "|".join(BOILERPLATE)))
+        | ((n < 20) & F.lower(line).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(BOILERPLATE) + r")([^\p{L}\p{N}]|$)"))
     )
 
 

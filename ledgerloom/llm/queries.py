@@ -133,7 +133,7 @@ ORACLE: dict[str, str] = {
                      len(regexp_extract_all(line, '[!?]{2,}')) AS bangs,
                      len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x IN ('|', '>', '»', '·', '/'))) AS marks,
                      length(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS letters,
-                     regexp_matches(lower(line), 'all rights reserved|click here|cookie|follow us|javascript|log in|lorem ipsum|privacy policy|read more|share this|sign in|sign up|subscribe|terms of service|terms of use') AS phrase
+                     regexp_matches(lower(line), '(^|[^\p{L}\p{N}])(all rights reserved|click here|cookies|follow us|javascript|log in|lorem ipsum|privacy policy|read more|share this|sign in|sign up|subscribe|terms of service|terms of use)([^\p{L}\p{N}]|$)') AS phrase
               FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
         b AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
                      coalesce(sum(chars) FILTER (2 * symbols > n OR 10 * bangs > 3 * n OR (marks >= 3 AND 5 * marks >= n) OR (phrase AND n < 20) OR (n >= 8 AND 2 * letters < chars)), 0) AS lost

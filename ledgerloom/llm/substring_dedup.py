@@ -78,8 +78,8 @@ def remove_repeats(
     carry: tuple[str, ...] = (),
     window: int = WINDOW,
     gram: int = GRAM,
-    bucket_bytes: int = B.BUCKET_BYTES,
-    block_bytes: int = B.BLOCK_BYTES,
+    bucket_bytes: int | None = None,
+    block_bytes: int | None = None,
     keep_layout: bool = False,
 ) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that starts anywhere else too.
