@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._storage import bounded_batches
+
 U64 = np.uint64
 BUCKET_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
@@ -28,6 +30,7 @@ REPLY = "round int, block int, bucket int, answer binary"
 
 def corpus_bytes(docs: DataFrame, text: str) -> int:
     """Size of the texts; one number, from one aggregation over the column."""
+    bounded_batches(docs.sparkSession)
     return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0)
 
 

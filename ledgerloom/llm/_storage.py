@@ -31,3 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Cap the rows of an Arrow batch: both sides of the exchange with Python hold a whole batch of texts outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > rows:
+        spark.conf.set(key, str(rows))

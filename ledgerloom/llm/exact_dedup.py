@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._storage import written
+from ledgerloom.llm._storage import bounded_batches, written
 from ledgerloom.llm._words import _SPACE, slices, text_bytes
 
 PRIMES = (2147483647, 2147483629)
@@ -140,6 +140,7 @@ def same(left: memoryview, right: memoryview, chunk: int = CHUNK) -> bool:
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, primes, with_text: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._storage import written
+from ledgerloom.llm._storage import bounded_batches, written
 from ledgerloom.llm._words import slices, text_bytes
 
 LENGTH = 1024
@@ -152,6 +152,7 @@ def encode(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nda
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Rows ``part, id, at, n, ids``: a partition's documents with their ids and local offsets."""
+    bounded_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

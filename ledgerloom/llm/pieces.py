@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm._storage import bounded_batches
 from ledgerloom.llm._words import slices, text_bytes
 
 NBEST, CACHED, WIDE = 4, 400_000, 64
@@ -322,6 +323,7 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", nbest: int = NBEST, with_ids: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_pieces, ids_crc32, nbest_scores, nbest_crc32, decoded_sha256`` (and ``ids, nbest_ids``)."""
+    bounded_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = T.StructType().add("id", inner.schema["id"].dataType).add("n_pieces", "long").add("ids_crc32", "long")
     out = out.add("nbest_scores", T.ArrayType(T.DoubleType())).add("nbest_crc32", T.ArrayType(T.LongType())).add("decoded_sha256", "string")

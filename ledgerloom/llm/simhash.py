@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._storage import written
+from ledgerloom.llm._storage import bounded_batches, written
 from ledgerloom.llm._words import Words, slices
 from ledgerloom.llm.components import components
 
@@ -71,6 +71,7 @@ def fingerprints_of(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.nd
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row per document: ``id``, ``text_hash`` (tells rows with equal ids apart) and ``fp``, a signed long."""
+    bounded_batches(docs.sparkSession)
     inner = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
