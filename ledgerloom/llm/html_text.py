@@ -4,9 +4,10 @@
    footers, sidebars, forms, dialogs, scripts, styles, hidden elements and elements named as adverts, notices or comments
    is out; text inside an article or main element (and not inside one of those) is in.
 2. **Host suffix array.**  Blocks that structure leaves open (pages without an article or main element) are decided by their host.
-   The token streams of a host's pages are concatenated, their suffixes sorted by prefix doubling to a depth of ``RUN`` tokens,
-   and every substring of ``RUN`` tokens or more that is found on ``PAGES`` or more distinct pages is boilerplate.  Covered tokens are
-   removed and the unique runs between them stay.  Pages with the same stream count as one, so a copied page is not boilerplate.
+   The token streams of a host's pages are concatenated and their suffixes sorted by prefix doubling to a depth of ``LONG`` tokens.
+   Repeated are substrings of ``LONG`` tokens or more, and runs of whole blocks of ``RUN`` tokens or more, that are found on a share
+   of the host's distinct pages: one in ``SHARE``, ``PAGES`` at least.  Blocks of which such runs cover ``COVERED`` % go as a whole;
+   all others stay as a whole.  Pages with the same blocks count as one, so a copied page is not boilerplate.
 3. Blocks in page order, white space collapsed, joined by one space, are the main text.
 
 Only pages with open blocks go through step 2, and only their open tokens are indexed.  A host with very many such pages is cut into
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm._storage import bounded_batches, written
 
 RUN, PAGES, PART_BYTES = 6, 3, 16 << 20
+LONG, SHARE, COVERED = 20, 10, 90
 OUT, OPEN, MAIN = 0, 1, 2
 # Fixed values of HTML: elements whose content is no markup, never shown, or inline; and those that hold page furniture.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -196,29 +199,53 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
     return np.cumsum(mark[:n]) > 0
 
 
-def decide(pages_blocks: list[list[tuple[str, int]]], run: int = RUN, pages: int = PAGES) -> list[str]:
+def bar(distinct: int, pages: int = PAGES) -> int:
+    """On how many of a host's distinct pages a run is boilerplate."""
+    return max(pages, -(-distinct // SHARE))
+
+
+def block_runs(found: list[str], run: int = RUN) -> list[tuple[int, int]]:
+    """Shortest runs ``[i, j)`` of whole blocks with ``run`` tokens or more, from each start and to each end."""
+    ends = [0]
+    for text in found:
+        ends.append(ends[-1] + text.count(" ") + 1)
+    runs = set()
+    for at in range(len(found)):
+        j = bisect_left(ends, ends[at] + run)
+        if j < len(ends):
+            runs.add((at, j))
+        i = bisect_right(ends, ends[at + 1] - run) - 1
+        if i >= 0:
+            runs.add((i, at + 1))
+    return sorted(runs)
+
+
+def decide(pages_blocks: list[list[tuple[str, int]]], run: int = RUN, pages: int = PAGES, long: int = LONG) -> list[str]:
     """Main texts of pages of one host from their blocks."""
-    streams = [[t for text, kind in blocks_ if kind == OPEN for t in text.split(" ")] if not any(k == MAIN for _, k in blocks_) else [] for blocks_ in pages_blocks]
-    known: dict[tuple, int] = {}
-    for s in map(tuple, streams):
-        if s:
-            known.setdefault(s, len(known))
-    distinct = list(known)
+    streams = [tuple(text for text, kind in found if kind == OPEN) if not any(k == MAIN for _, k in found) else () for found in pages_blocks]
+    distinct = list(dict.fromkeys(s for s in streams if s))
+    least = bar(len(distinct), pages)
     codes: dict[str, int] = {}
-    flat = np.array([codes.setdefault(t, len(codes)) for s in distinct for t in s], np.int64)
-    owner = np.repeat(np.arange(len(distinct)), [len(s) for s in distinct]) if distinct else np.zeros(0, np.int64)
-    gone = repeated(flat, owner, run, pages)
-    first = np.r_[0, np.cumsum([len(s) for s in distinct])].astype(int)
-    texts = []
-    for found, stream in zip(pages_blocks, streams):
-        if any(k == MAIN for _, k in found):
-            texts.append(" ".join(text for text, kind in found if kind == MAIN))
-        elif stream:
-            at = first[known[tuple(stream)]]
-            texts.append(" ".join(t for t, drop in zip(stream, gone[at : at + len(stream)].tolist()) if not drop))
-        else:
-            texts.append("")
-    return texts
+    flat = np.array([codes.setdefault(t, len(codes)) for s in distinct for text in s for t in text.split(" ")], np.int64)
+    owner = np.repeat(np.arange(len(distinct)), [sum(text.count(" ") + 1 for text in s) for s in distinct]) if distinct else np.zeros(0, np.int64)
+    gone = repeated(flat, owner, long, least)
+    runs = [block_runs(s, run) for s in distinct]
+    seen: dict[tuple, int] = {}
+    for s, found in zip(distinct, runs):
+        for key in {s[i:j] for i, j in found}:
+            seen[key] = seen.get(key, 0) + 1
+    kept: dict[tuple, str] = {}
+    at = 0
+    for s, found in zip(distinct, runs):
+        whole = {k for i, j in found if seen[s[i:j]] >= least for k in range(i, j)}
+        texts = []
+        for k, text in enumerate(s):
+            n = text.count(" ") + 1
+            if k not in whole and 100 * int(gone[at : at + n].sum()) < COVERED * n:
+                texts.append(text)
+            at += n
+        kept[s] = " ".join(texts)
+    return [" ".join(text for text, kind in found if kind == MAIN) if any(k == MAIN for _, k in found) else kept.get(s, "") for found, s in zip(pages_blocks, streams)]
 
 
 def host(url: str | None) -> str:

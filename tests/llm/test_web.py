@@ -68,6 +68,34 @@ def test_host_boilerplate_goes_and_unique_text_stays(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def big_host(n=3000):
+    """Pages without article or main: a menu of many blocks, a long footer, passages that five articles share, a stock phrase in each."""
+    word = lambda *key: "w" + hashlib.md5(repr(key).encode()).hexdigest()[:6]
+    text = lambda words, *key: " ".join(word(*key, k) for k in range(words))
+    menu = "".join(f"<div>{w}</div>" for w in "Home News Sport Weather Travel Contact".split())
+    foot = text(40, "foot")
+    own = [[f"{text(15, i)} as our reporter told us on Monday {text(15, i, 'b')}", text(25, "shared", i // 5), text(8, "quote", i // 4), text(12, i, "end")] for i in range(n)]
+    return own, [(i, f"http://big.example/{i}", menu + "".join(f"<p>{p}</p>" for p in body) + f"<div>{foot}</div>") for i, body in enumerate(own)]
+
+
+def test_shared_passages_of_a_big_host_stay(spark):
+    own, rows = big_host()
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(body) for i, body in enumerate(own)}
+
+
+def test_block_runs():
+    rnd = random.Random(5)
+    for _ in range(50):
+        found = [" ".join("x" * rnd.randint(1, 4)) for _ in range(rnd.randint(0, 8))]
+        size = lambda i, j: sum(len(t.split()) for t in found[i:j])
+        got = html_text.block_runs(found, 6)
+        every = [(i, j) for i in range(len(found)) for j in range(i + 1, len(found) + 1) if size(i, j) >= 6]
+        assert set(got) <= set(every)
+        for i, j in every:  # what a run covers, the listed runs inside it cover
+            assert {k for a, b in got if i <= a and b <= j for k in range(a, b)} == set(range(i, j))
+
+
 def pages(spark):
     rows = [(i, f"http://H{i % 3}.example/p?q={i % 2}#f", f"<p>{i}</p>" * 30) for i in range(40)]
     rows += [(100, "http://x/y\r\nz", "a" * 100), (101, None, "a" * 100), (102, "u", None), (103, "u", "\r\n\r\nWARC/1.1 é"), (None, "u", "a" * 100), (104, "u", "b" * 99), (105, "u", "b" * 99), (100, "http://x/y\r\nz", "a" * 100)]
