@@ -11,7 +11,8 @@
 3. Blocks in page order, white space collapsed, joined by one space, are the main text.
 
 Only pages with open blocks go through step 2, and only their open tokens are indexed.  A host with very many such pages is cut into
-parts of about ``PART_BYTES`` by a hash of the page; each part still sees thousands of its pages.
+parts of about ``PART_BYTES`` by a hash of the blocks.  Pages are counted over the whole host: each part sends its runs (a 64-bit hash and a
+count of its pages), packed, to the owners of the hash ranges, and gets back those that are boilerplate on the host.
 
 Edge cases: a null or empty html, and a page without text, give an empty text; a null url is a host of its own; broken and
 cut-off markup is read as far as it goes; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ cut-off markup is read as far as it goes; repeated rows each give a row; an empt
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_left, bisect_right
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,16 +171,16 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Tokens covered by a substring of ``run`` tokens or more that is found on ``pages`` or more distinct pages.
+def suffix_groups(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts of all substrings of ``run`` tokens inside a page, the group of equal ones of each, and the distinct pages of each group.
 
     ``tokens`` is the concatenation of the streams, ``page`` tells whose token it is.  Suffixes are ranked by prefix doubling;
     after the last step equal ranks mean equal prefixes of ``run`` tokens.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
+    none = np.zeros(0, np.int64)
     if n < run:
-        return covered
+        return none, none, none
     rank, depth = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while depth < run:
         step = min(depth, run - depth)
@@ -187,18 +190,28 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
         depth += step
     last = np.searchsorted(page, page, "right")  # page ids ascend
     start = np.flatnonzero(np.arange(n) + run <= last)
+    if not len(start):
+        return none, none, none
     order = start[np.argsort(rank[start], kind="stable")]
     key, owner = rank[order], page[order]
     first = np.r_[True, key[1:] != key[:-1]]
     group = np.cumsum(first) - 1
-    distinct = np.bincount(group, weights=first | np.r_[True, owner[1:] != owner[:-1]]) if len(order) else np.zeros(0)
+    return order, group, np.bincount(group, weights=first | np.r_[True, owner[1:] != owner[:-1]]).astype(np.int64)
+
+
+def covered(n: int, starts: np.ndarray, run: int) -> np.ndarray:
     mark = np.zeros(n + 1, np.int64)
-    hit = order[distinct[group] >= pages] if len(order) else order
-    np.add.at(mark, hit, 1)
-    np.add.at(mark, hit + run, -1)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, starts + run, -1)
     return np.cumsum(mark[:n]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
+    """Tokens covered by a substring of ``run`` tokens or more that is found on ``pages`` or more distinct pages."""
+    order, group, distinct = suffix_groups(tokens, page, run)
+    return covered(len(tokens), order[distinct[group] >= pages], run)
+
+
 def bar(distinct: int, pages: int = PAGES) -> int:
     """On how many of a host's distinct pages a run is boilerplate."""
     return max(pages, -(-distinct // SHARE))
@@ -220,31 +233,62 @@ def block_runs(found: list[str], run: int = RUN) -> list[tuple[int, int]]:
     return sorted(runs)
 
 
+class Part:
+    """Distinct streams of open blocks of a host, or of a part of one, and their runs: hashes and the distinct streams that have each."""
+
+    def __init__(self, distinct: list[tuple[str, ...]], run: int = RUN, long: int = LONG):
+        self.distinct, self.long = distinct, long
+        codes: dict[str, int] = {}
+        flat = np.array([codes.setdefault(t, len(codes)) for s in distinct for text in s for t in text.split(" ")], np.int64)
+        owner = np.repeat(np.arange(len(distinct)), [sum(text.count(" ") + 1 for text in s) for s in distinct]) if distinct else np.zeros(0, np.int64)
+        self.n = len(flat)
+        self.order, self.group, pages = suffix_groups(flat, owner, long)
+        words = np.array([xxhash.xxh64_intdigest(t) for t in codes], np.uint64)
+        at = self.order[np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])] if len(self.order) else self.order
+        self.long_hash = np.zeros(len(at), np.uint64)
+        for k in range(long if len(at) else 0):
+            self.long_hash = self.long_hash * np.uint64(0x9E3779B97F4A7C15) + words[flat[at + k]]
+        self.runs = [[(i, j, xxhash.xxh64_intdigest("\n".join(s[i:j]), 1)) for i, j in block_runs(list(s), run)] for s in distinct]
+        seen: dict[int, int] = {}
+        for found in self.runs:
+            for key in {h for _, _, h in found}:
+                seen[key] = seen.get(key, 0) + 1
+        self.hashes = np.concatenate([self.long_hash, np.fromiter(seen, np.uint64, len(seen))])
+        self.counts = np.concatenate([pages, np.fromiter(seen.values(), np.int64, len(seen))])
+
+    def texts(self, hits: np.ndarray) -> dict[tuple[str, ...], str]:
+        """Main text of each stream, where ``hits`` are the hashes of boilerplate runs."""
+        gone = covered(self.n, self.order[np.isin(self.long_hash, hits)[self.group]] if len(self.order) else self.order, self.long)
+        known = set(hits.tolist())
+        kept: dict[tuple[str, ...], str] = {}
+        at = 0
+        for s, found in zip(self.distinct, self.runs):
+            whole = {k for i, j, h in found if h in known for k in range(i, j)}
+            texts = []
+            for k, text in enumerate(s):
+                n = text.count(" ") + 1
+                if k not in whole and 100 * int(gone[at : at + n].sum()) < COVERED * n:
+                    texts.append(text)
+                at += n
+            kept[s] = " ".join(texts)
+        return kept
+
+
+def total(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their counts."""
+    keys, inverse = np.unique(hashes, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, inverse, counts)
+    return keys, sums
+
+
 def decide(pages_blocks: list[list[tuple[str, int]]], run: int = RUN, pages: int = PAGES, long: int = LONG) -> list[str]:
     """Main texts of pages of one host from their blocks."""
     streams = [tuple(text for text, kind in found if kind == OPEN) if not any(k == MAIN for _, k in found) else () for found in pages_blocks]
     distinct = list(dict.fromkeys(s for s in streams if s))
-    least = bar(len(distinct), pages)
-    codes: dict[str, int] = {}
-    flat = np.array([codes.setdefault(t, len(codes)) for s in distinct for text in s for t in text.split(" ")], np.int64)
-    owner = np.repeat(np.arange(len(distinct)), [sum(text.count(" ") + 1 for text in s) for s in distinct]) if distinct else np.zeros(0, np.int64)
-    gone = repeated(flat, owner, long, least)
-    runs = [block_runs(s, run) for s in distinct]
-    seen: dict[tuple, int] = {}
-    for s, found in zip(distinct, runs):
-        for key in {s[i:j] for i, j in found}:
-            seen[key] = seen.get(key, 0) + 1
-    kept: dict[tuple, str] = {}
-    at = 0
-    for s, found in zip(distinct, runs):
-        whole = {k for i, j in found if seen[s[i:j]] >= least for k in range(i, j)}
-        texts = []
-        for k, text in enumerate(s):
-            n = text.count(" ") + 1
-            if k not in whole and 100 * int(gone[at : at + n].sum()) < COVERED * n:
-                texts.append(text)
-            at += n
-        kept[s] = " ".join(texts)
+    part = Part(distinct, run, long)
+    keys, sums = total(part.hashes, part.counts)
+    kept = part.texts(keys[sums >= bar(len(distinct), pages)])
     return [" ".join(text for text, kind in found if kind == MAIN) if any(k == MAIN for _, k in found) else kept.get(s, "") for found, s in zip(pages_blocks, streams)]
 
 
@@ -258,8 +302,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bounded_batches(pages.sparkSession)
     inner = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     kind = inner.schema["id"].dataType
-    block = T.ArrayType(T.StructType().add("text", "string").add("kind", T.IntegerType()))
-    arrow_block = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,24 +309,59 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 part = batch.slice(at, 256)
                 found = [blocks(h.as_py()) for h in part.column("html")]
                 settled = [" ".join(t for t, k in b if k == MAIN) if any(k == MAIN for _, k in b) or not any(k == OPEN for _, k in b) else None for b in found]
-                rest = [[{"text": t, "kind": k} for t, k in b if k == OPEN] if s is None else None for b, s in zip(found, settled)]
-                size = [sum(len(x["text"]) for x in r) if r else 0 for r in rest]
+                rest = [[t for t, k in b if k == OPEN] if s is None else None for b, s in zip(found, settled)]
+                size = [sum(map(len, r)) if r else 0 for r in rest]
+                stream = [hashlib.blake2b("\n".join(r).encode("utf-8", "surrogatepass"), digest_size=16).digest() if r else None for r in rest]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("url"), pa.array([host(u) for u in part.column("url").to_pylist()]), pa.array(settled, pa.string()), pa.array(rest, arrow_block), pa.array(size, pa.int64())],
-                    names=["id", "url", "host", "settled", "open", "size"],
+                    [part.column("id"), part.column("url"), pa.array([host(u) for u in part.column("url").to_pylist()]), pa.array(settled, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(size, pa.int64()), pa.array(stream, pa.binary())],
+                    names=["id", "url", "host", "settled", "open", "size", "stream"],
                 )
 
-    shape = T.StructType().add("id", kind).add("url", "string").add("host", "string").add("settled", "string").add("open", block).add("size", "long")
+    shape = T.StructType().add("id", kind).add("url", "string").add("host", "string").add("settled", "string").add("open", T.ArrayType(T.StringType())).add("size", "long").add("stream", "binary")
     parsed = inner.mapInArrow(parse, shape)
     parsed = written(parsed, "blocks")  # parsed once; pages that structure settles take no part in the shuffle
     settled = parsed.where("settled IS NOT NULL").select("id", "url", F.col("settled").alias("text"))
     open_ = parsed.where("settled IS NULL")
-    heavy = open_.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts")).where("parts > 1")
-    dealt = open_.join(heavy, "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url", "open"), F.coalesce("parts", F.lit(1))).cast("int")).select("host", "part", "id", "url", "open")
+    # Equal streams of a host are one page, whose blocks travel once.
+    streams = written(open_.groupBy("host", "stream").agg(F.first("open").alias("open"), F.first("size").alias("size")), "streams")
+    heavy = streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts"), F.count(F.lit(1)).alias("pages")).where("parts > 1")
+    dealt = streams.join(heavy, "host").withColumn("part", F.pmod(F.xxhash64("stream"), "parts").cast("int")).select("host", "part", "parts", "pages", "stream", "open")
+    small = streams.join(heavy, "host", "left_anti").select("host", "stream", "open")
 
-    def choose(table: pa.Table) -> pa.Table:
-        found = [[(b["text"], b["kind"]) for b in r] for r in table.column("open").to_pylist()]
-        return pa.table([table.column("id"), table.column("url"), pa.array(decide(found, run, min_pages), pa.string())], names=["id", "url", "text"])
+    def answer(table: pa.Table, kept: dict[tuple[str, ...], str], found: list[tuple[str, ...]]) -> pa.Table:
+        return pa.table([table.column("host"), table.column("stream"), pa.array([kept[s] for s in found], pa.string())], names=["host", "stream", "text"])
 
-    chosen = dealt.groupBy("host", "part").applyInArrow(choose, T.StructType().add("id", kind).add("url", "string").add("text", "string"))
+    def choose(table: pa.Table) -> pa.Table:
+        found = [tuple(r) for r in table.column("open").to_pylist()]
+        part = Part(found, run)
+        keys, sums = total(part.hashes, part.counts)
+        return answer(table, part.texts(keys[sums >= bar(len(found), min_pages)]), found)
+
+    def send(table: pa.Table) -> pa.Table:
+        parts = table.column("parts")[0].as_py()
+        found = Part([tuple(r) for r in table.column("open").to_pylist()], run)
+        keys, sums = total(found.hashes, found.counts)
+        owner = keys >> np.uint64(32)
+        cut = np.searchsorted(owner * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))  # ranges of the sorted hashes
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        one = lambda c: pa.array([table.column(c)[0].as_py()] * parts, table.schema.field(c).type)
+        packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (keys, sums)]
+        return pa.table([one("host"), one("part"), one("pages"), pa.array(range(parts), pa.int32()), *packed], names=["host", "part", "pages", "owner", "keys", "counts"])
+
+    def own(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        every, sums = total(np.concatenate(keys), np.concatenate([np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()]))
+        hits = every[sums >= bar(table.column("pages")[0].as_py(), min_pages)]
+        return pa.table([table.column("host"), table.column("part"), pa.array([k[np.isin(k, hits)].tobytes() for k in keys], pa.binary())], names=["host", "part", "hits"])
+
+    def finish(table: pa.Table, hits: pa.Table) -> pa.Table:
+        found = [tuple(r) for r in table.column("open").to_pylist()]
+        return answer(table, Part(found, run).texts(np.frombuffer(b"".join(hits.column("hits").to_pylist()), np.uint64)), found)
+
+    shape = "host string, stream binary, text string"
+    sent = dealt.groupBy("host", "part").applyInArrow(send, "host string, part int, pages long, owner int, keys binary, counts binary")
+    hits = sent.groupBy("host", "owner").applyInArrow(own, "host string, part int, hits binary")
+    large = dealt.groupBy("host", "part").cogroup(hits.groupBy("host", "part")).applyInArrow(finish, shape)
+    texts = small.groupBy("host").applyInArrow(choose, shape).unionAll(large)
+    chosen = open_.join(texts, ["host", "stream"]).select("id", "url", "text")
     return settled.unionAll(chosen).select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -84,6 +84,17 @@ def test_shared_passages_of_a_big_host_stay(spark):
     assert got == {i: " ".join(body) for i, body in enumerate(own)}
 
 
+def test_parts_of_a_host_count_pages_together(spark):
+    own, rows = big_host(300)
+    notice = "Our offices are closed for the holiday until the second of January"
+    rows = [(i, u, h + f"<div>{notice}</div>" if i % 9 == 0 else h) for i, u, h in rows]  # on 34 of 300 pages, fewer than three in a part
+    rows += [(1000 + k, f"http://big.example/copy/{k}", rows[1][2]) for k in range(200)]  # copies count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: " ".join(body) for i, body in enumerate(own)} | {1000 + k: " ".join(own[1]) for k in range(200)}
+    for part in (16 << 20, 8000):
+        assert {r.page_id: r.text for r in html_text.main_text(df, part_bytes=part).collect()} == want
+
+
 def test_block_runs():
     rnd = random.Random(5)
     for _ in range(50):
