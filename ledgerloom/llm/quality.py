@@ -5,7 +5,8 @@ Each line is judged on its own; lines that fail are removed; a document that los
 Line rules (a line without a word is kept as it is):
 
 * *punctuation*: more than one symbol of ``[#*$%&|<>]`` for every two words, or ``!!``/``??`` runs for over 30 % of the
-  words, or under half of its word characters are letters in lines of 8 words or more;
+  words, or under half of its word characters are letters or their marks (vowel signs, accents) in lines of 8 words or more;
+  in scripts that put no spaces between words (``UNSPACED``), each letter is as good as a word here;
 * *navigation*: three or more stand-alone separators (``|``, ``>``, ``»``, ``·``, ``/``) that make up a fifth of the words;
 * *boilerplate*: the line holds one of the phrases in ``BOILERPLATE`` and has fewer than 20 words.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOST = 20, 8, 30, 50
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 # Phrases that mark a short line as page furniture, in lower case.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookies", "follow us", "javascript", "log in", "lorem ipsum",
@@ -42,7 +44,7 @@ def _line_stats(line: Column) -> Column:
         line.alias("line"),
         F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"),
         F.length(F.regexp_replace(line, GAP + "+", "")).alias("chars"),
-        F.regexp_count(line, F.lit(r"[^\p{L}\x20\x09-\x0D]")).alias("odd"),
+        F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\x20\x09-\x0D]")).alias("odd"),
     )
 
 
@@ -54,13 +56,14 @@ def line_fails(s: Column) -> Column:
     line, n, odd = s["line"], F.size(s["w"]), s["odd"]
     symbols = F.regexp_count(line, F.lit("[" + SYMBOLS + "]"))
     bangs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
+    wide = F.regexp_count(line, F.lit(UNSPACED))
     marks = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|>»·/](?![^\x20\x09-\x0D])"))
     return (n > 0) & (
         ((n >= 8) & (2 * (s["chars"] - odd) < s["chars"]))
-        | ((2 * odd > n) & (2 * symbols > n))
-        | ((5 * odd > 3 * n) & (10 * bangs > 3 * n))
+        | ((2 * odd > n) & (2 * symbols > n) & (2 * symbols > wide))
+        | ((5 * odd > 3 * n) & (10 * bangs > 3 * n) & (10 * bangs > 3 * wide))
         | ((odd >= 3) & (5 * odd >= n) & (marks >= 3) & (5 * marks >= n))
-        | ((n < 20) & F.lower(line).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(BOILERPLATE) + r")([^\p{L}\p{N}]|$)"))
+        | ((n < 20) & F.lower(line).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(BOILERPLATE) + r")([^\p{L}\p{N}]|$)") & (wide < 20))
     )
 
 

@@ -50,6 +50,29 @@ def test_quality_lines(spark):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+SCRIPTS = {
+    "Burmese": "လူတိုင်းသည် တူညီ လွတ်လပ်သော ဂုဏ်သိက္ခာဖြင့် လည်းကောင်း၊ တူညီလွတ်လပ်သော အခွင့်အရေးများဖြင့် လည်းကောင်း၊ မွေးဖွားလာသူများ ဖြစ်သည်။",
+    "Hindi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में (1948) जन्मजात स्वतन्त्रता और समानता प्राप्त है।",
+    "Malayalam": "മനുഷ്യരെല്ലാവരും തുല്യാവകാശങ്ങളോടും അന്തസ്സോടും സ്വാതന്ത്ര്യത്തോടും കൂടി (1948) ജനിച്ചിട്ടുള്ളവരാണ് അവർ എല്ലാവരും.",
+    "Chinese": "今年的产量比去年增长了百分之八,也就是8%,超过了预期。",
+    "Chinese shout": "这个消息真是太好了!!",
+    "Japanese": "研究&開発の予算は今年も増えました。",
+    "Thai": "ยอดขายในปีนี้เพิ่มขึ้น5%จากปีก่อน",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_quality_keeps_other_scripts(spark, script):
+    text = "\n".join(f"{SCRIPTS[script]}{chr(0x430 + i)}" for i in range(25))
+    r = quality.judge(frame(spark, [(1, text)])).first()
+    assert r.q_lost_chars == 0 and r.q_text == text
+
+
+def test_quality_still_removes_symbols_in_unspaced_scripts(spark):
+    junk = "产量###***$$$ 增长%%%&&&|||<<<"
+    assert quality.judge(frame(spark, [(1, junk), (2, "好!! 好!! 好!!")])).where("q_lost_chars < q_chars").count() == 0
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.keep_good(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
