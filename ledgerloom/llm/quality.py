@@ -8,7 +8,8 @@ Line rules (a line without a word is kept as it is):
   words, or under half of its word characters are letters or their marks (vowel signs, accents) in lines of 8 words or more;
   in scripts that put no spaces between words (``UNSPACED``), each letter is as good as a word here;
 * *navigation*: three or more stand-alone separators (``|``, ``>``, ``»``, ``·``, ``/``) that make up a fifth of the words;
-* *boilerplate*: the line holds one of the phrases in ``BOILERPLATE`` and has fewer than 20 words.
+* *boilerplate*: the line has fewer than 20 words and holds one of the phrases in ``BOILERPLATE``, or those in ``EVERYDAY`` are over half
+  of its word characters.
 
 Document rules: the base rules (fewer than ``MIN_WORDS`` words, or over 30 % of the words inside an 8-word window that
 occurs twice or more in the text), then: removed lines held over ``MAX_LOST`` of the word characters.
@@ -28,11 +29,17 @@ MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOST = 20, 8, 30, 50
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-# Phrases that mark a short line as page furniture, in lower case.
+# Fixed values, in lower case: phrases that only page furniture uses, and everyday ones that are furniture where they are most of a short line.
 BOILERPLATE = (
-    "all rights reserved", "click here", "cookies", "follow us", "javascript", "log in", "lorem ipsum",
-    "privacy policy", "read more", "share this", "sign in", "sign up", "subscribe", "terms of service", "terms of use",
+    "accept all cookies", "all rights reserved", "click here to subscribe", "cookie policy", "cookie settings", "enable javascript", "follow us on facebook", "follow us on instagram",
+    "follow us on twitter", "javascript is disabled", "log in to comment", "lorem ipsum", "sign up for our newsletter", "subscribe to our newsletter",
+    "this site uses cookies", "this website uses cookies", "we use cookies",
 )
+EVERYDAY = ("click here", "follow us", "log in", "privacy policy", "read more", "share this", "sign in", "sign up", "subscribe", "terms of service", "terms of use")
+
+
+def _phrases(phrases: tuple[str, ...]) -> str:
+    return r"(?<![\p{L}\p{M}\p{N}])(" + "|".join(phrases) + r")(?![\p{L}\p{M}\p{N}])"
 
 
 GAP = r"[\x20\x09-\x0D]"
@@ -58,12 +65,15 @@ def line_fails(s: Column) -> Column:
     bangs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     wide = F.regexp_count(line, F.lit(UNSPACED))
     marks = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|>»·/](?![^\x20\x09-\x0D])"))
+    low = F.lower(line)
+    rest = F.length(F.regexp_replace(F.regexp_replace(low, _phrases(EVERYDAY), ""), GAP + "+", ""))
+    furniture = low.rlike(_phrases(BOILERPLATE + EVERYDAY)) & (low.rlike(_phrases(BOILERPLATE)) | (2 * rest < s["chars"]))
     return (n > 0) & (
         ((n >= 8) & (2 * (s["chars"] - odd) < s["chars"]))
         | ((2 * odd > n) & (2 * symbols > n) & (2 * symbols > wide))
         | ((5 * odd > 3 * n) & (10 * bangs > 3 * n) & (10 * bangs > 3 * wide))
         | ((odd >= 3) & (5 * odd >= n) & (marks >= 3) & (5 * marks >= n))
-        | ((n < 20) & F.lower(line).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(BOILERPLATE) + r")([^\p{L}\p{N}]|$)") & (wide < 20))
+        | ((n < 20) & furniture & (wide < 20))
     )
 
 

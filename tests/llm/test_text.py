@@ -73,6 +73,15 @@ def test_quality_still_removes_symbols_in_unspaced_scripts(spark):
     assert quality.judge(frame(spark, [(1, junk), (2, "好!! 好!! 好!!")])).where("q_lost_chars < q_chars").count() == 0
 
 
+def test_quality_keeps_everyday_words(spark):
+    clean = ["Bake the cookies for ten minutes.", "Cookies", "JavaScript runs in every browser.", "She told them to sign in at the desk.", "He would read more at night.", "They did not follow us to the river.",
+             "I subscribe to that view of the matter.", "Log in hand, he walked to the stove.", "The minister defended the privacy policy of the bank."]
+    furniture = ["We use cookies to improve your visit.", "Please enable JavaScript.", "Subscribe to our newsletter!", "Sign in | Sign up", "Read more »", "Follow us", "Terms of use - Privacy policy"]
+    text = "\n".join(clean)
+    r = quality.judge(frame(spark, [(1, text + "\n" + "\n".join(furniture))])).first()
+    assert r.q_text == text and r.q_kept
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.keep_good(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
