@@ -44,13 +44,13 @@ def grown(size: int, least: int, most: int, parts: int = 20_000) -> int:
 
 def deal(docs: DataFrame, by: list[str], size: int, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Add ``__bucket`` from the hash of the columns ``by`` and shuffle documents to their buckets."""
-    n = max(8, math.ceil(size / (bucket_bytes or grown(size, BUCKET_BYTES, 256 << 20))))
+    n = max(8, math.ceil(size / (bucket_bytes or grown(size, BUCKET_BYTES, 128 << 20))))
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(n)).cast("int"))
     return dealt.repartition(max(n // 3, 8), "__bucket"), n
 
 
 def block_count(size: int, block_bytes: int | None = None) -> int:
-    return max(4, math.ceil(size / (block_bytes or grown(size, BLOCK_BYTES, 1 << 30))))
+    return max(4, math.ceil(size / (block_bytes or grown(size, BLOCK_BYTES, 256 << 20))))
 
 
 def bounds(blocks: int) -> np.ndarray:
@@ -74,10 +74,10 @@ def ask(round_: int, bucket: int, keys: np.ndarray, extra: np.ndarray | None, bl
     )
 
 
-def answered(asks: DataFrame, answer: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray]) -> DataFrame:
-    """Group questions by block and let ``answer(keys, owner_row, extra) -> bytes per key`` reply.
+def answered(asks: DataFrame, answer: Callable[[np.ndarray, bytes, np.ndarray], np.ndarray]) -> DataFrame:
+    """Group questions by block and let ``answer(keys, extra, owner)`` reply.
 
-    ``answer`` gets the concatenated keys of all buckets and their concatenated ``extra`` bytes and returns an
+    ``answer`` gets the concatenated keys of all buckets, their concatenated ``extra`` bytes and the bucket of each key, and returns an
     array with one entry per key; it is cut back into one packed reply per bucket.
     """
 
@@ -85,8 +85,9 @@ def answered(asks: DataFrame, answer: Callable[[np.ndarray, np.ndarray, bytes],
         table = table.combine_chunks()
         parts = [np.frombuffer(k.as_buffer(), U64) for k in table.column("keys")]
         extra = b"".join(x.as_py() for x in table.column("extra"))
-        out = answer(np.concatenate(parts), extra)
-        ends = np.cumsum([len(p) for p in parts])
+        sizes = [len(p) for p in parts]
+        out = answer(np.concatenate(parts), extra, np.repeat(table.column("bucket").to_numpy(), sizes))
+        ends = np.cumsum(sizes)
         packed = [out[e - len(p) : e].tobytes() for p, e in zip(parts, ends.tolist())]
         return pa.table(
             [table.column("round"), table.column("block"), table.column("bucket"), pa.array(packed, pa.binary())],
@@ -105,7 +106,7 @@ def read_answers(table: pa.Table, round_: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(cells[int(i)].as_py() for i in pick), dtype)
 
 
-def seen_twice(keys: np.ndarray, many: bytes) -> np.ndarray:
+def seen_twice(keys: np.ndarray, many: bytes, _: np.ndarray) -> np.ndarray:
     """Per key: does it occur twice or more, in two buckets or (``many``) twice in one?"""
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     twice = counts > 1

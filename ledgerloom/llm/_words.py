@@ -22,10 +22,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_P = U64(0x9E3779B97F4A7C13)
-_P_INV = U64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
+_PLACES = 1 << 16
 _WORD_P = U64(0xD6E8FEB86659FD93)
+_lanes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -42,6 +41,14 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _lane(lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random odd numbers for each byte value and for each place in a word; every lane has its own."""
+    if lane not in _lanes:
+        rnd = np.random.default_rng(20240229 + lane)
+        _lanes[lane] = tuple(rnd.integers(1, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1) for n in (256, _PLACES))
+    return _lanes[lane]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all output bits."""
     h = h ^ (h >> U64(33))
@@ -113,17 +120,25 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.row) - 1), self.per_row)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, computed over runs of words of about ``HASH_BYTES``."""
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """64-bit hash of each word's bytes, over runs of words of about ``HASH_BYTES``; lanes are independent of each other.
+
+        A byte's random number is multiplied by one of its place, so no pattern of repeated bytes makes two words equal.
+        """
+        of_byte, of_place = _lane(lane)
         out, first = np.empty(self.n, np.uint64), 0
         while first < self.n:
             base = self.start[first]
             last = max(first + 1, int(np.searchsorted(self.end, base + HASH_BYTES, "right")))
             start, end = self.start[first:last] - base, self.end[first:last] - base
-            sums = np.zeros(int(end[-1]) + 1, np.uint64)
-            np.cumsum(_BYTE[self.raw[base : base + end[-1]]] * powers(_P, int(end[-1])), out=sums[1:])
-            back = powers(_P_INV, int(end[-1]))[start]
-            out[first:last] = mix((sums[end] - sums[start]) * back + (end - start).astype(np.uint64))
+            n = int(end[-1])
+            place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
+            factor = of_place[place & (_PLACES - 1)]
+            if n > _PLACES and int((end - start).max()) > _PLACES:
+                factor = factor * (mix((place >> 16).astype(np.uint64) + U64(1)) | U64(1))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(of_byte[self.raw[base : base + n]] * factor, out=sums[1:])
+            out[first:last] = mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * of_place[-1])
             first = last
         return out
 

@@ -1,18 +1,24 @@
 """Main text of web pages, with boilerplate found by host suffix arrays.
 
-1. **Blocks.**  Each page is cut into blocks at block-level tags.  Structure decides what it can: text inside menus, headers,
-   footers, sidebars, forms, dialogs, scripts, styles, hidden elements and elements named as adverts, notices or comments
-   is out; text inside an article or main element (and not inside one of those) is in.
-2. **Host suffix array.**  Blocks that structure leaves open (pages without an article or main element) are decided by their host.
-   The token streams of a host's pages are concatenated and their suffixes sorted by prefix doubling to a depth of ``LONG`` tokens.
-   Repeated are substrings of ``LONG`` tokens or more, and runs of whole blocks of ``RUN`` tokens or more, that are found on a share
-   of the host's distinct pages: one in ``SHARE``, ``PAGES`` at least.  Blocks of which such runs cover ``COVERED`` % go as a whole;
-   all others stay as a whole.  Pages with the same blocks count as one, so a copied page is not boilerplate.
-3. Blocks in page order, white space collapsed, joined by one space, are the main text.
-
-Only pages with open blocks go through step 2, and only their open tokens are indexed.  A host with very many such pages is cut into
-parts of about ``PART_BYTES`` by a hash of the blocks.  Pages are counted over the whole host: each part sends its runs (a 64-bit hash and a
-count of its pages), packed, to the owners of the hash ranges, and gets back those that are boilerplate on the host.
+1. **Blocks.**  Each page is cut into blocks at block-level tags.  Structure gives each block a kind: ``OUT`` inside menus, headers, footers,
+   sidebars, forms, dialogs, scripts, styles, hidden elements and elements named as adverts, notices or comments; ``MAIN`` inside an article
+   or main element (and not inside one of those); ``OPEN`` elsewhere.
+2. **Host suffix array.**  The token streams of *all* pages of a host, whatever their kinds, are concatenated and their suffixes sorted by prefix
+   doubling to a depth of ``LONG`` tokens.  *Runs* are substrings of ``LONG`` tokens, and stretches of whole blocks of ``RUN`` tokens or
+   more.  A run is boilerplate if it is found on a share of the host's distinct pages (one in ``SHARE``, ``PAGES`` at least), and fewer than half of
+   these have it inside their article: structure decides what a passage that many pages repeat is, furniture or a quotation.
+3. **Removal.**  Blocks of which boilerplate runs cover ``COVERED`` % or more go as a whole, inside articles too; all others stay whole.
+   The ``MAIN`` blocks that are left, or the ``OPEN`` ones on a page without any ``MAIN`` block, in page order, joined by one space, are the main text.
+
+Pages with the same blocks count as one, so a copied page is not boilerplate.
+
+Tokens are dealt into *cells* of about ``PART_BYTES``.  A host of that size or less lies in one cell, which decides alone.  The pages of a larger
+host are spread over cells by their row numbers (so no page, however often copied, makes a cell large), and counted over the whole host:
+
+* cells agree by page digests which of them counts a page that several hold;
+* a run on a share of a host's pages is on that share of the pages of at least one of its cells, so each cell *nominates* the runs
+  that its suffix array finds on that share of its own pages;
+* all cells of the host count the pages of the nominated runs, and the sums decide.  Results are the same for any size of cells.
 
 Edge cases: a null or empty html, and a page without text, give an empty text; a null url is a host of its own; broken and
 cut-off markup is read as far as it goes; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -20,21 +26,23 @@ cut-off markup is read as far as it goes; repeated rows each give a row; an empt
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
+import math
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import _buckets as B
 from ledgerloom.llm._storage import bounded_batches, written
+from ledgerloom.llm._words import Words, mix, rolling, tidy
 
+U64 = np.uint64
 RUN, PAGES, PART_BYTES = 6, 3, 16 << 20
 LONG, SHARE, COVERED = 20, 10, 90
 OUT, OPEN, MAIN = 0, 1, 2
@@ -54,6 +62,7 @@ COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</[^a-zA-Z][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[\s_\-]+")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*)[\s>]")
 
 
 def _furniture(tag: str, attributes: str) -> int:
@@ -90,6 +99,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
     stack = [_Open("", False, False, False)]
     links = at = 0
     lowered: str | None = None
+    last_end: dict[str, int] | None = None  # where the last end tag of each name stands
+    opened: dict[str, int] = {}  # elements on the stack by name, so that stray end tags cost nothing
 
     def close() -> None:
         nonlocal linked, total
@@ -109,6 +120,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
             linked += len(piece)
         total += len(piece)
 
+    def push(element: _Open) -> None:
+        stack.append(element)
+        opened[element.tag] = opened.get(element.tag, 0) + 1
+
+    def drop(i: int) -> None:
+        for element in stack[i:]:
+            opened[element.tag] -= 1
+        del stack[i:]
+
     while True:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -126,12 +146,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if tag in INLINE:
                 if len(stack) > 1 and stack[-1].tag == tag:
                     close()
-                    stack.pop()
+                    drop(len(stack) - 1)
                 continue
             close()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened.get(tag) else 0, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                     break  # a stray end tag does not end the article
@@ -155,213 +175,309 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if tag in INLINE:
             if named and not m[3].rstrip().endswith("/"):
                 close()
-                stack.append(_Open(tag, True, True, stack[-1].main))
+                push(_Open(tag, True, True, stack[-1].main))
             continue
         close()
         top = stack[-1]
         article = tag in ("article", "main")
         if article and not named and (not top.out or top.named):
-            stack.append(_Open(tag, False, False, True))  # an article counts even inside a block with a suspicious name
+            push(_Open(tag, False, False, True))  # an article counts even inside a block with a suspicious name
         elif tag in FURNITURE or tag in NEVER or named:
-            ends = re.compile(f"</{tag}[\\s>]", re.I).search(page, at)
-            stack.append(_Open(tag, bool(ends) or top.out, named == 1 and tag not in FURNITURE and tag not in NEVER and (top.named or not top.out), top.main))
+            if last_end is None:
+                last_end = {m[1].lower(): m.start() for m in _END.finditer(page)}
+            push(_Open(tag, last_end.get(tag, -1) >= at or top.out, named == 1 and tag not in FURNITURE and tag not in NEVER and (top.named or not top.out), top.main))
         elif tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "html", "body"):
-            stack.append(_Open(tag, top.out, top.named, top.main))
+            push(_Open(tag, top.out, top.named, top.main))
     close()
     return out
 
 
-def suffix_groups(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted starts of all substrings of ``run`` tokens inside a page, the group of equal ones of each, and the distinct pages of each group.
+def suffix_groups(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted starts of the substrings of ``run`` tokens inside a page that occur twice or more, and the group of equal ones of each.
 
-    ``tokens`` is the concatenation of the streams, ``page`` tells whose token it is.  Suffixes are ranked by prefix doubling;
-    after the last step equal ranks mean equal prefixes of ``run`` tokens.
+    ``tokens`` is the concatenation of the streams, ``page`` tells whose token it is (ascending).  Suffixes are ranked by prefix doubling; one whose
+    prefix is unique is settled and takes no part in later steps.  After the last step equal ranks mean equal prefixes of ``run`` tokens.
     """
-    n = len(tokens)
     none = np.zeros(0, np.int64)
-    if n < run:
-        return none, none, none
-    rank, depth = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while depth < run:
+    n = len(tokens)
+    at = np.arange(n)
+    key, depth = tokens, 1
+    while len(at):
+        order = np.argsort(key)
+        ordered = key[order]
+        first = np.r_[True, ordered[1:] != ordered[:-1]]
+        group = np.cumsum(first) - 1
+        often = np.bincount(group)[group] > 1
+        rank = np.full(n, -1, np.int64)  # -1: settled
+        rank[at[order[often]]] = group[often]
+        if depth == run:
+            kept = at[order[often]]
+            return kept, np.unique(group[often], return_inverse=True)[1]
         step = min(depth, run - depth)
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        at = np.sort(at[order[often]])
+        at = at[at + depth + step <= n]
+        at = at[(rank[at + step] >= 0) & (page[at + depth + step - 1] == page[at])]
+        key = rank[at] * (n + 1) + rank[at + step]
         depth += step
-    last = np.searchsorted(page, page, "right")  # page ids ascend
-    start = np.flatnonzero(np.arange(n) + run <= last)
-    if not len(start):
-        return none, none, none
-    order = start[np.argsort(rank[start], kind="stable")]
-    key, owner = rank[order], page[order]
-    first = np.r_[True, key[1:] != key[:-1]]
-    group = np.cumsum(first) - 1
-    return order, group, np.bincount(group, weights=first | np.r_[True, owner[1:] != owner[:-1]]).astype(np.int64)
-
-
-def covered(n: int, starts: np.ndarray, run: int) -> np.ndarray:
+    return none, none
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` tokens lie in one of the ranges."""
     mark = np.zeros(n + 1, np.int64)
     np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + run, -1)
+    np.add.at(mark, ends, -1)
     return np.cumsum(mark[:n]) > 0
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Tokens covered by a substring of ``run`` tokens or more that is found on ``pages`` or more distinct pages."""
-    order, group, distinct = suffix_groups(tokens, page, run)
-    return covered(len(tokens), order[distinct[group] >= pages], run)
+def bar(distinct, pages: int = PAGES):
+    """On how many of a host's distinct pages a run is boilerplate."""
+    return np.maximum(pages, -(-np.asarray(distinct) // SHARE))
 
 
-def bar(distinct: int, pages: int = PAGES) -> int:
-    """On how many of a host's distinct pages a run is boilerplate."""
-    return max(pages, -(-distinct // SHARE))
-
-
-def block_runs(found: list[str], run: int = RUN) -> list[tuple[int, int]]:
-    """Shortest runs ``[i, j)`` of whole blocks with ``run`` tokens or more, from each start and to each end."""
-    ends = [0]
-    for text in found:
-        ends.append(ends[-1] + text.count(" ") + 1)
-    runs = set()
-    for at in range(len(found)):
-        j = bisect_left(ends, ends[at] + run)
-        if j < len(ends):
-            runs.add((at, j))
-        i = bisect_right(ends, ends[at + 1] - run) - 1
-        if i >= 0:
-            runs.add((i, at + 1))
-    return sorted(runs)
-
-
-class Part:
-    """Distinct streams of open blocks of a host, or of a part of one, and their runs: hashes and the distinct streams that have each."""
-
-    def __init__(self, distinct: list[tuple[str, ...]], run: int = RUN, long: int = LONG):
-        self.distinct, self.long = distinct, long
-        codes: dict[str, int] = {}
-        flat = np.array([codes.setdefault(t, len(codes)) for s in distinct for text in s for t in text.split(" ")], np.int64)
-        owner = np.repeat(np.arange(len(distinct)), [sum(text.count(" ") + 1 for text in s) for s in distinct]) if distinct else np.zeros(0, np.int64)
-        self.n = len(flat)
-        self.order, self.group, pages = suffix_groups(flat, owner, long)
-        words = np.array([xxhash.xxh64_intdigest(t) for t in codes], np.uint64)
-        at = self.order[np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])] if len(self.order) else self.order
-        self.long_hash = np.zeros(len(at), np.uint64)
-        for k in range(long if len(at) else 0):
-            self.long_hash = self.long_hash * np.uint64(0x9E3779B97F4A7C15) + words[flat[at + k]]
-        self.runs = [[(i, j, xxhash.xxh64_intdigest("\n".join(s[i:j]), 1)) for i, j in block_runs(list(s), run)] for s in distinct]
-        seen: dict[int, int] = {}
-        for found in self.runs:
-            for key in {h for _, _, h in found}:
-                seen[key] = seen.get(key, 0) + 1
-        self.hashes = np.concatenate([self.long_hash, np.fromiter(seen, np.uint64, len(seen))])
-        self.counts = np.concatenate([pages, np.fromiter(seen.values(), np.int64, len(seen))])
-
-    def texts(self, hits: np.ndarray) -> dict[tuple[str, ...], str]:
-        """Main text of each stream, where ``hits`` are the hashes of boilerplate runs."""
-        gone = covered(self.n, self.order[np.isin(self.long_hash, hits)[self.group]] if len(self.order) else self.order, self.long)
-        known = set(hits.tolist())
-        kept: dict[tuple[str, ...], str] = {}
-        at = 0
-        for s, found in zip(self.distinct, self.runs):
-            whole = {k for i, j, h in found if h in known for k in range(i, j)}
-            texts = []
-            for k, text in enumerate(s):
-                n = text.count(" ") + 1
-                if k not in whole and 100 * int(gone[at : at + n].sum()) < COVERED * n:
-                    texts.append(text)
-                at += n
-            kept[s] = " ".join(texts)
-        return kept
-
-
-def total(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and the sums of their counts."""
-    keys, inverse = np.unique(hashes, return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, inverse, counts)
-    return keys, sums
-
-
-def decide(pages_blocks: list[list[tuple[str, int]]], run: int = RUN, pages: int = PAGES, long: int = LONG) -> list[str]:
-    """Main texts of pages of one host from their blocks."""
-    streams = [tuple(text for text, kind in found if kind == OPEN) if not any(k == MAIN for _, k in found) else () for found in pages_blocks]
-    distinct = list(dict.fromkeys(s for s in streams if s))
-    part = Part(distinct, run, long)
-    keys, sums = total(part.hashes, part.counts)
-    kept = part.texts(keys[sums >= bar(len(distinct), pages)])
-    return [" ".join(text for text, kind in found if kind == MAIN) if any(k == MAIN for _, k in found) else kept.get(s, "") for found, s in zip(pages_blocks, streams)]
-
-
-def host(url: str | None) -> str:
-    rest = (url or "").partition("://")[2] or (url or "")
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower()
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
+def block_runs(start: np.ndarray, end: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest stretches ``(i, j)``, both included, of whole blocks of a page with ``run`` tokens or more, from each start and to each end."""
+    each = np.arange(len(start))
+    j = np.searchsorted(end, start + run)
+    ahead = j < len(end)
+    ahead[ahead] = page[j[ahead]] == page[ahead]
+    i = np.searchsorted(start, end - run, "right") - 1
+    back = i >= 0
+    back[back] = page[i[back]] == page[back]
+    pairs = np.unique(np.r_[each[ahead] * len(start) + j[ahead], i[back] * len(start) + each[back]])
+    return pairs // max(1, len(start)), pairs % max(1, len(start))
+
+
+class Cell:
+    """Token streams of some pages: blocks, runs, and on how many pages runs are found.
+
+    Columns of ``table``: ``row`` (a number), ``host``, ``parts``, ``text`` (blocks, one a line) and ``kinds`` (a byte for each block).
+    """
+
+    def __init__(self, table: pa.Table, run: int, long: int):
+        tidy()
+        table = table.combine_chunks().sort_by("row")
+        self.table, self.run, self.long = table, run, long
+        texts = table.column("text").to_pylist()
+        w = Words(table.column("text").combine_chunks())
+        self.n = w.n
+        self.page = w.row_of()
+        hosts = table.column("host").to_pylist()
+        self.host_key = np.array([xxhash.xxh64_intdigest(h.encode("utf-8", "surrogatepass")) for h in hosts], np.uint64)
+        self.names = dict(zip(self.host_key.tolist(), hosts))
+        self.spread = table.column("parts").to_numpy() > 1
+        self.kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8)
+        counts = np.array([len(k) for k in table.column("kinds").to_pylist()], np.int64)
+        self.block_page = np.repeat(np.arange(len(texts)), counts)
+        # A block ends where its line does.
+        self.tokens = mix(w.hashes() + self.host_key[self.page]) if w.n else np.zeros(0, np.uint64)
+        opens = np.zeros(w.n, bool)
+        opens[w.row[:-1][w.per_row > 0]] = True
+        line = np.flatnonzero(w.raw == 10)
+        opens[np.searchsorted(w.start, line)] = True
+        self.start = np.flatnonzero(opens)
+        self.end = np.r_[self.start[1:], w.n] if w.n else self.start
+        main = np.repeat(self.kinds == MAIN, self.end - self.start)
+        self._main = np.r_[0, np.cumsum(main)]
+        self.stream = np.array([xxhash.xxh64_intdigest(k + t.encode("utf-8", "surrogatepass"), h) for t, k, h in zip(texts, table.column("kinds").to_pylist(), self.host_key.tolist())], np.uint64)
+        self._runs()
+
+    def _runs(self) -> None:
+        """Every run of whole blocks and every long substring: hash, token range and page."""
+        ended = self.tokens.copy()
+        if self.n:
+            ended[self.end - 1] = mix(ended[self.end - 1])
+        i, j = block_runs(self.start, self.end, self.block_page, self.run)
+        a, b = self.start[i], self.end[j]
+        powers = np.multiply.accumulate(np.r_[U64(1), np.full(int((b - a).max(initial=0)), 0x9E3779B97F4A7C15, np.uint64)])
+        size = b - a
+        flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        terms = ended[np.repeat(a, size) + flat] * powers[flat]
+        h = mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
+        self.block_run = (h, a, b, self.page[a])
+        at = np.flatnonzero(np.arange(self.n) + self.long <= np.searchsorted(self.page, self.page, "right")) if self.n else np.zeros(0, np.int64)
+        self.long_run = (rolling(self.tokens, self.long)[at] if len(at) else np.zeros(0, np.uint64), at, at + self.long, self.page[at])
+
+    def counted(self, lead: np.ndarray, only: np.ndarray | None, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Host key, hash, and pages of each run (and those that have it in their article); pages count that ``lead`` and are in ``pages``.
+
+        Long substrings come from the suffix array, or with ``only`` (sorted hashes) are those asked for.
+        """
+        found = []
+        for kind, (h, a, b, page) in enumerate((self.long_run, self.block_run)):
+            if kind == 0 and only is None:
+                inside = np.flatnonzero(pages[self.page]) if len(self.page) else self.page
+                starts, group = suffix_groups(self.tokens[inside], self.page[inside], self.long)
+                place = np.searchsorted(a, inside[starts])  # the long runs that repeat
+                pick = np.unique(place)
+            else:
+                pick = np.arange(len(h)) if only is None else np.flatnonzero(_within(h, only))
+            pick = pick[(lead & pages)[page[pick]]]
+            found.append((h[pick], page[pick], self._main[b[pick]] - self._main[a[pick]] == b[pick] - a[pick]))
+        h, page, main = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((~main, page, h))
+        h, page, main = h[order], page[order], main[order]
+        one = np.r_[True, (h[1:] != h[:-1]) | (page[1:] != page[:-1])] if len(h) else np.zeros(0, bool)
+        h, page, main = h[one], page[one], main[one]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(h)])
+        inside = np.add.reduceat(main.astype(np.int64), first) if len(h) else first
+        return self.host_key[page[first]], h[first], count, inside
+
+    def led(self, answers: pa.Table | None) -> np.ndarray:
+        """Pages that count: the first with their blocks, here and (by the answers) among all cells."""
+        lead = np.zeros(self.table.num_rows, bool)
+        lead[np.unique(self.stream, return_index=True)[1]] = True
+        if answers is not None and self.spread.any():
+            keys = np.unique(self.stream[self.spread])
+            mine = B.read_answers(answers, 1, np.uint8) > 0
+            lead[self.spread] &= mine[np.searchsorted(keys, self.stream[self.spread])]
+        return lead
+
+    def totals(self, lead: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hosts of ``pages`` and their distinct pages here."""
+        return np.unique(self.host_key[lead & pages], return_counts=True)
+
+    def texts(self, hits: np.ndarray) -> list[str]:
+        """Main text of each page, where ``hits`` are the sorted hashes of boilerplate runs."""
+        starts, ends = [], []
+        for h, a, b, _ in (self.long_run, self.block_run):
+            pick = _within(h, hits)
+            starts.append(a[pick])
+            ends.append(b[pick])
+        gone = np.r_[0, np.cumsum(covered(self.n, np.concatenate(starts), np.concatenate(ends)))]
+        size = self.end - self.start
+        stays = 100 * (gone[self.end] - gone[self.start]) < COVERED * size
+        first = np.searchsorted(self.block_page, np.arange(self.table.num_rows + 1))
+        out = []
+        for k, text in enumerate(self.table.column("text").to_pylist()):
+            i, j = int(first[k]), int(first[k + 1])
+            kind = MAIN if MAIN in self.kinds[i:j] else OPEN
+            out.append(" ".join(t for t, stay, c in zip(text.split("\n"), stays[i:j].tolist(), self.kinds[i:j].tolist()) if stay and c == kind))
+        return out
+
+
+def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
+
+
+def furniture(hosts: np.ndarray, hashes: np.ndarray, count: np.ndarray, inside: np.ndarray, known: np.ndarray, distinct: np.ndarray, pages: int) -> np.ndarray:
+    """Sorted hashes of the boilerplate runs; ``known`` are sorted host keys with their ``distinct`` pages."""
+    if not len(hashes):
+        return hashes
+    least = bar(distinct, pages)[np.searchsorted(known, hosts)]
+    return np.unique(hashes[(count >= least) & (2 * inside < count)])
+
+
+def leaders(keys: np.ndarray, _: bytes, owner: np.ndarray) -> np.ndarray:
+    """Per key: is its cell the first of those that hold it?"""
+    order = np.lexsort((owner, keys))
+    out = np.zeros(len(keys), np.uint8)
+    out[order[np.r_[True, np.diff(keys[order]) != 0]]] = 1
+    return out
+
+
+def host(url: Column) -> Column:
+    """Host of a URL, lower case; null and a URL without one give what stands in its place."""
+    rest = F.regexp_replace(F.coalesce(url.cast("string"), F.lit("")), "(?s)^.*?://", "")
+    return F.lower(F.regexp_replace(F.regexp_extract(rest, "(?s)^[^/?#]*", 0), "(?s)^.*@", ""))
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``html`` by its blocks, one a line, and their kinds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [blocks(h.as_py()) for h in part.column("html")]
+            rest = [c for c in part.schema.names if c != "html"]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in rest], pa.array(["\n".join(t for t, _ in b) for b in found], pa.string()), pa.array([bytes(k for _, k in b) for b in found], pa.binary())], names=[*rest, "text", "kinds"]
+            )
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = PAGES, part_bytes: int | None = None, long: int = LONG) -> DataFrame:
     """One row per page: ``id_col, url, text, n_chars``."""
     bounded_batches(pages.sparkSession)
-    inner = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    url = F.col(f"`{url_col}`").cast("string")
+    inner = pages.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), host(url).alias("host"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    sizes = inner.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size"))
+    total = int(sizes.agg(F.sum("size")).first()[0] or 0)
+    part = part_bytes or B.grown(total, PART_BYTES, 128 << 20)
+    cells = max(8, math.ceil(2 * total / part))
+    # Hosts above the size of a part are total / part at most: a few MB unless there are millions, which are joined without a hint.
+    large = written(sizes.where(F.col("size") > part).select("host", F.ceil(F.col("size") / part).cast("int").alias("parts")), "large-hosts")
+    large = F.broadcast(large) if total // part < 1_000_000 else large
     kind = inner.schema["id"].dataType
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [blocks(h.as_py()) for h in part.column("html")]
-                settled = [" ".join(t for t, k in b if k == MAIN) if any(k == MAIN for _, k in b) or not any(k == OPEN for _, k in b) else None for b in found]
-                rest = [[t for t, k in b if k == OPEN] if s is None else None for b, s in zip(found, settled)]
-                size = [sum(map(len, r)) if r else 0 for r in rest]
-                stream = [hashlib.blake2b("\n".join(r).encode("utf-8", "surrogatepass"), digest_size=16).digest() if r else None for r in rest]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("url"), pa.array([host(u) for u in part.column("url").to_pylist()]), pa.array(settled, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(size, pa.int64()), pa.array(stream, pa.binary())],
-                    names=["id", "url", "host", "settled", "open", "size", "stream"],
-                )
-
-    shape = T.StructType().add("id", kind).add("url", "string").add("host", "string").add("settled", "string").add("open", T.ArrayType(T.StringType())).add("size", "long").add("stream", "binary")
-    parsed = inner.mapInArrow(parse, shape)
-    parsed = written(parsed, "blocks")  # parsed once; pages that structure settles take no part in the shuffle
-    settled = parsed.where("settled IS NOT NULL").select("id", "url", F.col("settled").alias("text"))
-    open_ = parsed.where("settled IS NULL")
-    # Equal streams of a host are one page, whose blocks travel once.
-    streams = written(open_.groupBy("host", "stream").agg(F.first("open").alias("open"), F.first("size").alias("size")), "streams")
-    heavy = streams.groupBy("host").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts"), F.count(F.lit(1)).alias("pages")).where("parts > 1")
-    dealt = streams.join(heavy, "host").withColumn("part", F.pmod(F.xxhash64("stream"), "parts").cast("int")).select("host", "part", "parts", "pages", "stream", "open")
-    small = streams.join(heavy, "host", "left_anti").select("host", "stream", "open")
-
-    def answer(table: pa.Table, kept: dict[tuple[str, ...], str], found: list[tuple[str, ...]]) -> pa.Table:
-        return pa.table([table.column("host"), table.column("stream"), pa.array([kept[s] for s in found], pa.string())], names=["host", "stream", "text"])
-
-    def choose(table: pa.Table) -> pa.Table:
-        found = [tuple(r) for r in table.column("open").to_pylist()]
-        part = Part(found, run)
-        keys, sums = total(part.hashes, part.counts)
-        return answer(table, part.texts(keys[sums >= bar(len(found), min_pages)]), found)
-
-    def send(table: pa.Table) -> pa.Table:
-        parts = table.column("parts")[0].as_py()
-        found = Part([tuple(r) for r in table.column("open").to_pylist()], run)
-        keys, sums = total(found.hashes, found.counts)
-        owner = keys >> np.uint64(32)
-        cut = np.searchsorted(owner * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))  # ranges of the sorted hashes
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-        one = lambda c: pa.array([table.column(c)[0].as_py()] * parts, table.schema.field(c).type)
-        packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (keys, sums)]
-        return pa.table([one("host"), one("part"), one("pages"), pa.array(range(parts), pa.int32()), *packed], names=["host", "part", "pages", "owner", "keys", "counts"])
-
-    def own(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        every, sums = total(np.concatenate(keys), np.concatenate([np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()]))
-        hits = every[sums >= bar(table.column("pages")[0].as_py(), min_pages)]
-        return pa.table([table.column("host"), table.column("part"), pa.array([k[np.isin(k, hits)].tobytes() for k in keys], pa.binary())], names=["host", "part", "hits"])
+    numbered = inner.withColumn("row", F.monotonically_increasing_id())
+    shape = T.StructType().add("id", kind).add("url", "string").add("host", "string").add("row", "long").add("text", "string").add("kinds", "binary")
+    rows = numbered.mapInArrow(parsed, shape).join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spread = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), "parts")).otherwise(0)
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("host", spread), F.lit(cells)).cast("int")).repartition(max(cells // 2, 8), "cell")
+    grouped = dealt.groupBy("cell")
+    blocks_ = B.block_count(total // 64)
+    nominee = T.StructType().add("host", "string").add("hash", "long").add("n", "long").add("inside", "long")
+    empty = lambda shape: pa.table([pa.array([], t) for t in shape.values()], names=list(shape))
+    run_shape = {"host": pa.string(), "hash": pa.int64(), "n": pa.int64(), "inside": pa.int64()}
+
+    def ask(table: pa.Table) -> pa.Table:
+        """Digests of the pages of large hosts."""
+        if not (table.column("parts").to_numpy() > 1).any():
+            return pa.Table.from_batches([B.ask(1, 0, np.zeros(0, np.uint64), None, blocks_)])
+        cell = Cell(table, run, long)
+        return pa.Table.from_batches([B.ask(1, table.column("cell")[0].as_py(), np.unique(cell.stream[cell.spread]), None, blocks_)])
+
+    def as_rows(cell: Cell, hosts, hashes, n, inside) -> pa.Table:
+        return pa.table([pa.array([cell.names[h] for h in hosts.tolist()], pa.string()), pa.array(hashes.view(np.int64)), pa.array(n), pa.array(inside)], names=list(run_shape))
+
+    def nominate(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """Runs on a share of this cell's pages of their host; a row of hash 0 and ``inside`` -1 has the number of pages."""
+        if not table.num_rows or not (table.column("parts").to_numpy() > 1).any():
+            return empty(run_shape)
+        cell = Cell(table, run, long)
+        lead = cell.led(answers)
+        hosts, pages_here = cell.totals(lead, cell.spread)
+        of, h, n, inside = cell.counted(lead, None, cell.spread)
+        due = n >= bar(pages_here, 1)[np.searchsorted(hosts, of)] if len(of) else np.zeros(0, bool)
+        return pa.concat_tables([as_rows(cell, of[due], h[due], n[due], inside[due]), as_rows(cell, hosts, np.zeros(len(hosts), np.uint64), pages_here.astype(np.int64), np.full(len(hosts), -1))])
+
+    def count(table: pa.Table, asked: pa.Table) -> pa.Table:
+        """Pages of the nominated runs in this cell."""
+        rounds = asked.column("kind").to_numpy()
+        if not table.num_rows or not (rounds == 2).any():
+            return empty(run_shape)
+        cell = Cell(table, run, long)
+        only = np.unique(asked.column("hash").to_numpy()[rounds == 2].view(np.uint64))
+        return as_rows(cell, *cell.counted(cell.led(asked), only, cell.spread))
 
     def finish(table: pa.Table, hits: pa.Table) -> pa.Table:
-        found = [tuple(r) for r in table.column("open").to_pylist()]
-        return answer(table, Part(found, run).texts(np.frombuffer(b"".join(hits.column("hits").to_pylist()), np.uint64)), found)
-
-    shape = "host string, stream binary, text string"
-    sent = dealt.groupBy("host", "part").applyInArrow(send, "host string, part int, pages long, owner int, keys binary, counts binary")
-    hits = sent.groupBy("host", "owner").applyInArrow(own, "host string, part int, hits binary")
-    large = dealt.groupBy("host", "part").cogroup(hits.groupBy("host", "part")).applyInArrow(finish, shape)
-    texts = small.groupBy("host").applyInArrow(choose, shape).unionAll(large)
-    chosen = open_.join(texts, ["host", "stream"]).select("id", "url", "text")
-    return settled.unionAll(chosen).select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", F.length("text").cast("bigint").alias("n_chars"))
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in out_arrow.types], schema=out_arrow)
+        cell = Cell(table, run, long)
+        own = ~cell.spread
+        lead = cell.led(None)
+        known, distinct = cell.totals(lead, own)
+        here = furniture(*cell.counted(lead, None, own), known, distinct, min_pages)
+        texts = cell.texts(np.union1d(here, hits.column("hash").to_numpy().view(np.uint64)))
+        return pa.table([cell.table.column("id"), cell.table.column("url"), pa.array(texts, pa.string())], schema=out_arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType().add("id", kind).add("url", "string").add("text", "string")
+    out_arrow = to_arrow_schema(out)
+    one = B.answered(grouped.applyInArrow(ask, B.ASK), leaders)
+    nominated = grouped.cogroup(one.groupBy("bucket")).applyInArrow(nominate, nominee)
+    # Cells of a large host: one row for each of its parts.
+    at = large.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("k")).select("host", F.pmod(F.xxhash64("host", "k"), F.lit(cells)).cast("int").alias("cell")).distinct()
+    wanted = nominated.where("inside >= 0").select("host", "hash").distinct().join(at, "host").select("cell", "hash", F.lit(2).alias("kind"))
+    asked = one.select(F.col("bucket").alias("cell"), "round", "block", "answer", F.lit(0).cast("bigint").alias("hash"), F.lit(1).alias("kind")).unionByName(wanted, allowMissingColumns=True)
+    counted = grouped.cogroup(asked.groupBy("cell")).applyInArrow(count, nominee)
+    distinct = nominated.where("inside < 0").groupBy("host").agg(F.sum("n").alias("pages"))
+    sums = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).join(distinct, "host")
+    due = sums.where((F.col("n") >= F.greatest(F.lit(min_pages), F.ceil(F.col("pages") / SHARE))) & (2 * F.col("inside") < F.col("n")))
+    hits = due.select("host", "hash").join(at, "host").select("cell", "hash")
+    done = grouped.cogroup(hits.groupBy("cell")).applyInArrow(finish, out)
+    return done.select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", F.length("text").cast("bigint").alias("n_chars"))
