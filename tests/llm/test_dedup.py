@@ -36,6 +36,58 @@ def test_substring_matches_brute_force(spark, window, gram, bucket):
         assert sum(s.end - s.first for s in r.spans) == r.n_removed
 
 
+@pytest.mark.parametrize("window,bucket", [(35, None), (8, 700)])
+def test_factors_are_copies_of_their_sources(spark, window, bucket):
+    """A factor's words stand at its source, another place; factors are as long as their sources agree, and cover what is removed."""
+    rows = texts() + [(200, " ".join("abab" for _ in range(70))), (201, texts()[5][1][40:]), (201, texts()[5][1][40:])]
+    got = substring_dedup.remove_repeats(frame(spark, rows), carry=("text",), window=window, gram=3, bucket_bytes=bucket, block_bytes=2000)
+    rows_ = got.collect()
+    docs = [words(r.in_text) for r in rows_]
+    counts = Counter(tuple(w[i : i + window]) for w in docs for i in range(len(w) - window + 1))
+    for r, w in zip(rows_, docs):
+        marked = set()
+        for f in r.factors:
+            assert f.end - f.first >= window and counts[tuple(w[f.first : f.first + window])] > 1
+            marked |= set(range(f.first, f.end))
+        assert marked == {k for s in r.spans for k in range(s.first, s.end)}
+        assert [f.first for f in r.factors] == sorted(f.first for f in r.factors)
+        assert all(a.source_first + (b.first - a.first) != b.source_first or a.source_bucket != b.source_bucket for a, b in zip(r.factors, r.factors[1:]) if b.first == a.end - window + 1)
+
+
+def test_factors_point_at_equal_words():
+    """One bucket, so that a source's place can be read off."""
+    import pyarrow as pa
+
+    docs = [t for _, t in texts() if t][:20] + ["x y z " * 30]
+    flat = [w for t in docs for w in words(t)]
+    p = substring_dedup._Parse(pa.array(docs), 10, 3)
+    shared = np.unique(p.anchor)
+    index = substring_dedup._Index([p], shared)
+    nowhere = np.full(len(index.keys), substring_dedup.NOWHERE)
+    first, end, source = substring_dedup.factors(p, shared, index, nowhere, 7)
+    assert len(first) and (source >> np.uint64(32) == 7).all()
+    for a, b, s in zip(first.tolist(), end.tolist(), (source & np.uint64(0xFFFFFFFF)).tolist()):
+        assert a != s and flat[a:b] == flat[s : s + b - a]
+
+
+def test_homes_need_both_hashes_and_another_bucket():
+    keys = np.array([5, 5, 5, 9, 9, 4], np.uint64)
+    sent = np.array([(3, 1), (1, 1), (0, 2), (8, 1), (2, 1), (6, 1)], substring_dedup.SENT)
+    got = substring_dedup.homes(keys, sent.tobytes(), np.array([2, 1, 0, 4, 6, 0], np.int32)).tolist()
+    place = lambda b, w: (b << 32) + w
+    assert got == [place(1, 1), place(2, 3), 2**64 - 1, place(6, 2), place(4, 8), 2**64 - 1]
+
+
+def test_words_of_one_pattern_are_not_equal(spark):
+    """Words that polynomial hashes modulo 2**64 cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{i}" for i in range(34))
+    got = substring_dedup.remove_repeats(frame(spark, [(1, f"{a} {rest}"), (2, f"{b} {rest}")])).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
 def test_substring_carries_columns_and_layout(spark):
     got = substring_dedup.remove_repeats(frame(spark), carry=("lang", "bucket", "n_words", "in_x"), keep_layout=True)
     assert {"in_lang", "in_bucket", "in_n_words", "in_in_x"} <= set(got.columns)
