@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._storage import bounded_batches, written
+from ledgerloom.llm._storage import bounded_batches, only, written
 from ledgerloom.llm._words import _SPACE, slices, text_bytes
 
 PRIMES = (2147483647, 2147483629)
@@ -204,11 +204,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows of ``docs``, with all their columns, that stay: of equal texts the one with the smallest id."""
     classes = _classes(docs, id_col, text_col, primes)
     keep = classes.groupBy("fp", "n", "variant").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "x")).alias("k"))
-    keep = keep.select(F.col("k.id").alias("__k"), F.col("k.x").alias("__x"))
-    names = docs.columns
+    keep = keep.select("k.id", "k.x")
     plain = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumn("__i", F.col(f"`{id_col}`")).withColumn("__s", F.sha2(plain, 256))
-    stay = rows.join(keep, F.col("__i").eqNullSafe(F.col("__k")) & (F.col("__s") == F.col("__x")), "left_semi")
-    if not classes.groupBy("id", "x").count().where("count > 1").isEmpty():  # rows that repeat both id and text: one of them
-        stay = stay.dropDuplicates(["__i", "__s"])
-    return stay.select(*[F.col(f"`{c}`") for c in names])
+    repeated = not classes.groupBy("id", "x").count().where("count > 1").isEmpty()
+    return only(docs, keep, [F.col(f"`{id_col}`"), F.sha2(plain, 256)], repeated)

@@ -43,7 +43,7 @@ from ledgerloom.llm._storage import bounded_batches, written
 from ledgerloom.llm._words import Words, mix, rolling, tidy
 
 U64 = np.uint64
-RUN, PAGES, PART_BYTES = 6, 3, 16 << 20
+RUN, PAGES, PART_BYTES = 6, 3, 4 << 20
 LONG, SHARE, COVERED = 20, 10, 90
 OUT, OPEN, MAIN = 0, 1, 2
 # Fixed values of HTML: elements whose content is no markup, never shown, or inline; and those that hold page furniture.
@@ -415,8 +415,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     numbered = inner.withColumn("row", F.monotonically_increasing_id())
     shape = T.StructType().add("id", kind).add("url", "string").add("host", "string").add("row", "long").add("text", "string").add("kinds", "binary")
     rows = numbered.mapInArrow(parsed, shape).join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spread = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), "parts")).otherwise(0)
-    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("host", spread), F.lit(cells)).cast("int")).repartition(max(cells // 2, 8), "cell")
+    cell = lambda k: F.pmod(F.pmod(F.xxhash64("host"), F.lit(cells)) + k, F.lit(cells)).cast("int")  # noqa: E731  a host's parts lie side by side
+    dealt = rows.withColumn("cell", cell(F.pmod(F.xxhash64("row"), "parts"))).repartition(cells, "cell")
     grouped = dealt.groupBy("cell")
     blocks_ = B.block_count(total // 64)
     nominee = T.StructType().add("host", "string").add("hash", "long").add("n", "long").add("inside", "long")
@@ -471,7 +471,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     one = B.answered(grouped.applyInArrow(ask, B.ASK), leaders)
     nominated = grouped.cogroup(one.groupBy("bucket")).applyInArrow(nominate, nominee)
     # Cells of a large host: one row for each of its parts.
-    at = large.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("k")).select("host", F.pmod(F.xxhash64("host", "k"), F.lit(cells)).cast("int").alias("cell")).distinct()
+    at = large.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("k")).select("host", cell(F.col("k")).alias("cell")).distinct()
     wanted = nominated.where("inside >= 0").select("host", "hash").distinct().join(at, "host").select("cell", "hash", F.lit(2).alias("kind"))
     asked = one.select(F.col("bucket").alias("cell"), "round", "block", "answer", F.lit(0).cast("bigint").alias("hash"), F.lit(1).alias("kind")).unionByName(wanted, allowMissingColumns=True)
     counted = grouped.cogroup(asked.groupBy("cell")).applyInArrow(count, nominee)

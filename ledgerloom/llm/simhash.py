@@ -1,19 +1,27 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-* **Fingerprints.**  Word shingles are hashed with XXH64; a bit of the 64-bit fingerprint is one if it is one in
-  over half of the hashes.
-* **Tiles.**  Distinct fingerprints are laid out in tiles by the population counts of their first two 16-bit
-  quarters.  Fingerprints within ``radius`` bits differ by at most ``radius`` in the sum of the differences of
-  these counts, so only 13 of the 289 tiles around a tile are compared with it (each pair of tiles once).
-  Inside a pair of tiles the counts of the other two quarters skip in the same way, and what is left is
-  compared exactly with numpy exclusive-or and bit counts.
-* Tiles with many fingerprints are cut into parts; each task holds ``HOME`` + ``OTHER`` fingerprints at most in
-  expectation, however many there are.  A task returns a spanning forest of the links it finds, never all pairs.
+* **Fingerprints.**  Word shingles are hashed with XXH64; a bit of the 64-bit fingerprint is one if it is one in over half of the hashes.
+* **Tiles.**  Distinct fingerprints are laid out in tiles by the population counts of their first two 16-bit quarters.  Fingerprints within
+  ``radius`` bits differ by at most ``radius`` in the sum of the differences of these counts, so only 13 of the 289 tiles around a tile are
+  compared with it (each pair of tiles once).  Inside a pair of tiles the counts of the other two quarters skip in the same way, and what is left
+  is compared exactly with numpy exclusive-or and bit counts.
+* Tiles with many fingerprints are cut into parts; each task holds ``HOME`` + ``OTHER`` fingerprints at most in expectation, however many there
+  are.  A task returns a spanning forest of the links it finds, never all pairs.
 * Components come from the links by large-star and small-star rounds (``components``).
 
-Edge cases: null and empty texts have no words, fingerprint zero, and link like any other; fewer words than a
-shingle are hashed as a whole; repeated rows share a fingerprint; an empty table gives an empty result; with a
-null id the component takes the smallest id that is not null.
+``near_duplicates`` does this for a given radius.  ``near_copies`` finds documents by the *similarity* (Jaccard) of their sets of five-word shingles:
+
+* four 64-bit lanes make a 256-bit fingerprint of the distinct shingles; documents of similarity 0.8 differ in 39 bits on average (deviation 6),
+  unrelated ones in 128 (deviation 8), so a radius of ``WIDE_RADIUS`` bits takes in nearly all of the former and none of the latter;
+* tiles are size classes, steps of 1 / 0.8 in the number of shingles: documents of one similarity class lie in the same or the next one.  Inside
+  a pair of tiles only documents whose sizes and population counts allow it are compared;
+* a task returns a *minimum* spanning forest (by differing bits) of the pairs that it finds, and each of its links is then held against the
+  documents' shingles: links below the similarity are dropped.  So no document goes for a link that does not hold, and a link that holds is
+  missed only beyond the radius, or where all links that are closer in bits on its way fail.
+
+Edge cases: null and empty texts have no words, fingerprint zero, and link like any other (of ``near_copies``, to each other); fewer words than a
+shingle are hashed as a whole; repeated rows share a fingerprint, and one of them stays; an empty table gives an empty result; with a null id the
+component takes the smallest id that is not null.
 """
 
 from __future__ import annotations
@@ -25,15 +33,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._storage import bounded_batches, written
-from ledgerloom.llm._words import Words, slices
+from ledgerloom.llm._storage import bounded_batches, only, written
+from ledgerloom.llm._words import Words, mix, slices
 from ledgerloom.llm.components import components
 
 HOME, OTHER = 1 << 15, 1 << 19
+LANES, SHINGLE, SIMILARITY, WIDE_RADIUS = 4, 5, 0.8, 58
+WIDE_HOME, WIDE_OTHER = 1 << 13, 1 << 16
 U64 = np.uint64
 
 
@@ -48,8 +58,8 @@ def _joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), start, start + length
 
 
-def fingerprints_of(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text as an unsigned 64-bit integer."""
+def _shingle_hashes(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles, in the order of the texts, and how many each text has."""
     w = Words(column, lower=True)
     text, start, end = _joined(w)
     n = w.per_row
@@ -59,14 +69,38 @@ def fingerprints_of(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.nd
     begin = w.row[:-1][row] + np.arange(len(row)) - first[row]
     final = np.minimum(begin + shingle, w.row[1:][row]) - 1
     cuts = map(slice, start[begin].tolist(), end[final].tolist())
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), repeat(seed)), np.uint64, len(row))
-    out = np.zeros(len(n), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), repeat(seed)), np.uint64, len(row)), per
+
+
+#: Byte value -> its eight bits, one in each byte of a word.
+_SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
+
+
+def majority(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Per text, the 64 bits that are one in over half of its ``per`` hashes.
+
+    Bits are added eight at a time in the bytes of a word, in groups of 255 hashes at most, so that no byte runs over.
+    """
+    out = np.zeros((len(per), 8), np.uint8)
     some = np.flatnonzero(per)
-    if len(some):
-        for bit in range(64):
-            ones = np.add.reduceat((hashes >> U64(bit)) & U64(1), first[some])
-            out[some] |= (2 * ones > per[some].astype(np.uint64)).astype(np.uint64) << U64(bit)
-    return out
+    if not len(some):
+        return out.view(np.uint64).ravel()
+    groups = -(-per[some] // 255)
+    first = np.cumsum(per[some]) - per[some]
+    inner = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    cuts = np.repeat(first, groups) + 255 * inner
+    own = np.cumsum(groups) - groups
+    each = np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        sums = np.add.reduceat(_SPREAD[each[:, k]], cuts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(sums.astype(np.int64), own, axis=0)
+        out[some, k] = np.packbits(2 * ones > per[some][:, None], axis=1, bitorder="little")[:, 0]
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def fingerprints_of(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text as an unsigned 64-bit integer."""
+    return majority(*_shingle_hashes(column, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -178,23 +212,204 @@ def links(fps: DataFrame, radius: int = 3, home: int = HOME, other: int = OTHER)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """One row per document: ``id_col``, ``text_hash``, ``fp`` and ``component_id``, the smallest id reachable."""
+    """One row per document: ``id_col``, ``text_hash``, ``fp``, its component's ``root`` fingerprint and ``component_id``, the smallest id reachable."""
     rows = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes.select("fp"), radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id")
+    found = named.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "root", "component_id")
+
+
+def _drop(docs: DataFrame, found: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """Of each component the row that stands first by id, then by ``key`` (called so in ``found`` too)."""
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "key")).alias("k")).select("k.id", "k.key")
+    repeated = not found.groupBy("id", "key").count().where("count > 1").isEmpty()
+    return only(docs, best, [F.col(f"`{id_col}`"), key], repeated)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that stand first (by id, then text hash) in their component."""
+    """Rows of ``docs``, with all their columns, that stand first (by id, then text hash) in their component; of repeated rows, one."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("__i"), F.col("text_hash").alias("__h"))).alias("k")).select("k.__i", "k.__h")
-    names = docs.columns
-    return (
-        docs.withColumn("__i", F.col(f"`{id_col}`")).withColumn("__h", F.xxhash64(F.col(f"`{text_col}`"))).alias("d")
-        .join(best.alias("k"), F.col("d.__i").eqNullSafe(F.col("k.__i")) & (F.col("d.__h") == F.col("k.__h")), "left_semi")
-        .select(*[F.col(f"`{c}`") for c in names])
+    found = found.select(F.col(f"`{id_col}`").alias("id"), F.col("text_hash").alias("key"), "root")
+    return _drop(docs, found, id_col, F.xxhash64(F.col(f"`{text_col}`")))
+
+
+# Near copies by similarity
+
+
+def _distinct(hashes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text, and how many."""
+    row = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    one = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
+    return hashes[one], np.bincount(row[one], minlength=len(per))
+
+
+def _node(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets that are ``similarity`` alike have sizes in a ratio of ``similarity`` at least, so classes that are equal or next to each other."""
+    return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity) + 1e-9), -9).astype(np.int32)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """One row per document: ``id``, ``node``, number of distinct shingles ``n``, size class ``c`` and the ``LANES`` lanes of its fingerprint."""
+    bounded_batches(docs.sparkSession)
+    inner = docs.select(F.col(f"`{id_col}`").alias("id"), _node(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, per = _distinct(*_shingle_hashes(part.column("text"), shingle, seed))
+                lanes = [majority(hashes if k == 0 else mix(hashes + U64(k) * U64(0x9E3779B97F4A7C15)), per) for k in range(LANES)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("node"), pa.array(per.astype(np.int32)), pa.array(size_class(per, similarity)), *[pa.array(x.view(np.int64)) for x in lanes]],
+                    names=["id", "node", "n", "c", *[f"f{k}" for k in range(LANES)]],
+                )
+
+    out = T.StructType().add("id", inner.schema["id"].dataType).add("node", "binary").add("n", "integer").add("c", "integer")
+    for k in range(LANES):
+        out = out.add(f"f{k}", "long")
+    return inner.mapInArrow(run, out)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indices of the links ``a[i] - b[i]`` of a minimum spanning forest by ``d``; equal ones by their place."""
+    by = np.argsort(d, kind="stable")
+    nodes, flat = np.unique(np.concatenate([a[by], b[by]]), return_inverse=True)
+    x, y, place = flat[: len(a)], flat[len(a) :], np.arange(len(a))
+    kept = []
+    while True:
+        apart = x != y
+        x, y, place = x[apart], y[apart], place[apart]
+        if not len(x):
+            break
+        first = np.full(len(nodes), len(x))
+        np.minimum.at(first, x, np.arange(len(x)))
+        np.minimum.at(first, y, np.arange(len(x)))
+        chosen = np.unique(first[first < len(x)])
+        kept.append(place[chosen])
+        label = np.arange(len(nodes))
+        node, least = forest(x[chosen].astype(np.uint64), y[chosen].astype(np.uint64))
+        label[node.astype(np.int64)] = least.astype(np.int64)
+        x, y = label[x], label[y]
+    return by[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
+
+
+def wide_compare(home: np.ndarray, home_n: np.ndarray, other: np.ndarray, other_n: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``(i, j, d)`` within ``radius`` bits whose sizes allow the similarity: a minimum spanning forest of them.
+
+    Fingerprints are rows of lanes; ``i`` and ``j`` are rows of ``home`` and of ``other``.
+    """
+    count = lambda f: np.bitwise_count(f).sum(axis=1, dtype=np.int64)
+    by_home, by_other = np.argsort(home_n, kind="stable"), np.argsort(other_n, kind="stable")
+    ones, others, sizes = count(home), count(other)[by_other], other_n[by_other]
+    lanes = [np.ascontiguousarray(other[by_other, k]) for k in range(other.shape[1])]
+    found = [np.zeros((3, 0), np.int64)]
+    held = at = 0
+    while at < len(by_home):
+        mine = by_home[at : at + 64]
+        low = np.searchsorted(sizes, np.floor(home_n[mine[0]] * similarity))
+        high = np.searchsorted(sizes, np.ceil(home_n[mine[-1]] / similarity), "right")
+        near = low + np.flatnonzero((others[low:high] >= ones[mine].min() - radius) & (others[low:high] <= ones[mine].max() + radius))
+        for cut in range(0, len(near), 1 << 14):
+            some = near[cut : cut + (1 << 14)]
+            bits = np.zeros((len(mine), len(some)), np.uint16)
+            for k, lane in enumerate(lanes):
+                bits += np.bitwise_count(home[mine, k][:, None] ^ lane[some][None, :])
+            x, y = np.nonzero(bits <= radius)
+            i, j = mine[x], by_other[some[y]]
+            fits = np.minimum(home_n[i], other_n[j]) >= similarity * np.maximum(home_n[i], other_n[j]) - 1e-9
+            found.append(np.stack([i, j, bits[x, y].astype(np.int64)])[:, fits])
+            held += int(fits.sum())
+        at += len(mine)
+        if held > 1 << 20:
+            all_ = np.concatenate(found, axis=1)
+            found = [all_[:, spanning(all_[0], all_[1] + len(home), all_[2])]]
+            held = found[0].shape[1]
+    all_ = np.concatenate(found, axis=1)
+    return tuple(all_[:, spanning(all_[0], all_[1] + len(home), all_[2])])
+
+
+def wide_links(rows: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, home: int = WIDE_HOME, other: int = WIDE_OTHER) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``rows`` (one row per node), from the tiles' minimum spanning forests."""
+    spark = rows.sparkSession
+    size = {r.c: r.m for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("m")).collect()}  # a row per step of the size: about 100
+    parts = [(c, math.ceil(n / home), math.ceil((n + size.get(c + 1, 0)) / other)) for c, n in size.items()]
+    table = F.broadcast(spark.createDataFrame(parts, "tile int, homes int, others int"))
+    lanes = [f"f{k}" for k in range(LANES)]
+    mine = rows.withColumn("tile", F.col("c")).join(table, "tile").select(
+        "tile", F.pmod(F.xxhash64("node"), "homes").cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"), F.lit(True).alias("at_home"), "node", "n", *lanes
     )
+    theirs = rows.withColumn("tile", F.explode(F.array("c", F.col("c") - 1))).join(table, "tile").select(
+        "tile", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("h"), F.pmod(F.hash("node"), "others").cast("int").alias("o"), F.lit(False).alias("at_home"), "node", "n", *lanes
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        at_home = table.column("at_home").to_numpy()
+        f = np.stack([table.column(c).to_numpy().view(np.uint64) for c in lanes], axis=1)
+        n = table.column("n").to_numpy().astype(np.int64)
+        x, y = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+        i, j, d = wide_compare(f[x], n[x], f[y], n[y], similarity, radius)
+        node = table.column("node")
+        a, b = node.take(pa.array(x[i])), node.take(pa.array(y[j]))
+        return pa.table([a, b, pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+    pairs = mine.unionAll(theirs).groupBy("tile", "h", "o").applyInArrow(run, "a binary, b binary, d int").where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _alike(docs: DataFrame, links: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """Links whose shingle sets are as similar as asked: only texts with a link are read again, and links meet two sets at a time."""
+    linked = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+    texts = docs.select(_node(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")).join(linked, "node")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, per = _distinct(*_shingle_hashes(part.column("text"), shingle, seed))
+                cut, data = (np.r_[0, np.cumsum(per)] * 8).tolist(), hashes.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([data[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], names=["node", "s"])
+
+    shingles = written(texts.mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"]), "shingles")
+    side = lambda c: shingles.select(F.col("node").alias(c), F.col("s").alias("s" + c))
+    pairs = links.join(side("a"), "a").join(side("b"), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                if both >= similarity * (len(p) + len(q) - both) - 1e-9:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.mapInArrow(check, "a binary, b binary")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, home: int = WIDE_HOME, other: int = WIDE_OTHER
+) -> DataFrame:
+    """One row per document: ``id``, ``key`` (its text's 128 bits), its component's ``root`` key and ``component_id``, the smallest id reachable."""
+    rows = written(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "simhash")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "c", *[f"f{k}" for k in range(LANES)])]), "nodes")
+    links = written(wide_links(nodes.drop("least"), similarity, radius, home, other), "links")
+    roots = components(_alike(docs, links, text_col, shingle, similarity))
+    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = named.join(ids, "root").select("node", "root", "component_id")
+    return rows.join(found, "node").select("id", F.col("node").alias("key"), "root", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that stand first (by id, then key) among their near copies; of repeated rows, one."""
+    found = written(near_copies(docs, id_col, text_col, **options), "near-copies")
+    return _drop(docs, found, id_col, _node(F.col(f"`{text_col}`")))

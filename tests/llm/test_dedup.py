@@ -1,6 +1,7 @@
 """Substring, exact and near dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -193,6 +194,95 @@ def test_components_of_a_star_and_a_chain(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 for i in range(61)) and len(got) == 361
 
 
+def shingles(t, k=5):
+    w = words(lower(t))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edited(seed=6, families=25):
+    """Families of texts that differ in some words each, sizes from a few words to some hundred."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randint(0, 3000)}"
+    out = [(None, None), (0, ""), (1, " "), (2, "one"), (3, "one"), (4, "one two")]
+    for f in range(families):
+        base = [word() for _ in range(rnd.choice([20, 60, 150, 400, 900]))]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(w) // 40))):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice([[word()], [], [w[at], word()]])
+            out.append((10 + 10 * f + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("home,other", [(1 << 13, 1 << 16), (20, 30)])
+def test_near_copies_against_all_pairs(spark, home, other):
+    rows = edited()
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [b if x == a else x for x in root]
+    got = {}
+    for r in simhash.near_copies(frame(spark, rows), home=home, other=other).collect():
+        got.setdefault((r.id, bytes(r.key)), r.component_id)
+    of = {i: got[(i, hashlib.md5((t or "").encode()).digest())] for i, t in rows}
+    ids = [i for i, _ in rows]
+    least = {}
+    for i, r in zip(ids, root):
+        least[r] = min([x for x in (least.get(r), i) if x is not None], default=None)
+    true = {i: least[r] for i, r in zip(ids, root)}
+    for i in of:  # nothing is joined that does not belong together
+        assert true[of[i]] == true[i]
+    found = sum(of[ids[i]] == of[ids[j]] for i, j in pairs)
+    assert found >= 0.97 * len(pairs) > 100
+    kept = simhash.drop_near_copies(frame(spark, rows), home=home, other=other)
+    assert kept.columns == frame(spark).columns and {r.doc_id for r in kept.collect()} == set(of.values()) and kept.count() == len(set(of.values()))
+
+
+def test_spanning_forest_is_minimal():
+    rnd = random.Random(8)
+    for _ in range(40):
+        n, m = rnd.randint(2, 12), rnd.randint(1, 40)
+        links = [(rnd.randrange(n), rnd.randrange(n), rnd.randint(0, 9)) for _ in range(m)]
+        a, b, d = (np.array(x) for x in zip(*links))
+        root = list(range(n))
+        want = 0
+        for x, y, w in sorted(links, key=lambda e: e[2]):
+            if root[x] != root[y]:
+                want += w
+                p, q = root[x], root[y]
+                root = [q if r == p else r for r in root]
+        at = simhash.spanning(a, b, d)
+        assert int(d[at].sum()) == want and len(at) == n - len(set(root))
+
+
+def test_majority_counts_every_bit():
+    rnd = np.random.default_rng(2)
+    per = np.array([0, 1, 2, 700, 0, 255, 256])
+    h = rnd.integers(0, 2**64, int(per.sum()), dtype=np.uint64)
+    at, want = 0, []
+    for n in per.tolist():
+        want.append(sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[at : at + n]) > n))
+        at += n
+    assert simhash.majority(h, per).tolist() == want
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, simhash.drop_near_copies, exact_dedup.drop_copies])
+def test_of_repeated_rows_one_stays_and_names_may_clash(spark, drop):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "quite another text of eight words here now"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("__i", "__s", "__h", "__k", "row", "k0", "s0", "z", "id", "key", "a.b")})
+    got = drop(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r["__i"], r["a.b"]) for r in got.collect()), key=repr) == sorted({(i, t, "__i", "a.b") for i, t in rows}, key=repr)
+    assert drop(df.limit(0)).count() == 0
+
+
 def test_forest_spans():
     a, b = simhash.forest(np.array([3, 5, 9], np.uint64), np.array([5, 8, 2], np.uint64))
     assert sorted(zip(a.tolist(), b.tolist())) == [(5, 3), (8, 3), (9, 2)]
