@@ -9,9 +9,11 @@ with one weight triple per bucket.  Counts come from all training documents.  Th
 are those that make that fold likely.  Scored documents outside the training set take no part in counting or weights.
 
 Counts travel by the packed key exchange of ``_buckets``: a bucket of documents asks for each of its distinct words and
-word pairs once, sending its own counts along, and gets the corpus counts back.  Nothing is pruned.  The expectation
-step sees the fold as a histogram over (bucket, log ratio c(v,w)/c(v), log c(w)), whose size is bounded by the range of a
-64-bit count, so the weights are fitted in one small task.
+word pairs once, sending its own counts along, and gets the corpus counts back.  Nothing is pruned.  Documents are dealt by their row numbers.
+
+The mixtures of the context buckets do not depend on each other, so each is fitted in a task of its own.  It sees the tokens of the fold in cells of
+equal c(v,w)/c(v) and c(w), up to a sixteenth of an octave, with the mean of both in the cell: at most 1,024 x 1,024 cells a bucket, since
+counts have 64 bits, however large the corpus is.
 
 Edge cases: a null or empty text is one end token; a null id counts as training; repeated rows are separate documents;
 without any document in the fold the weights are ``DEFAULT``; an empty table gives an empty result.
@@ -33,9 +35,9 @@ from ledgerloom.llm._words import Words, mix, tidy
 
 U64 = np.uint64
 END, START = U64(0x51ED270B9F3A7C15), U64(0x3C79AC492BA7B653)
-CONTEXTS = 17
+CONTEXTS, STEPS = 17, 16
 DEFAULT = (0.3, 0.6, 0.1)
-ROUNDS = 200
+ROUNDS = 2000
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
@@ -201,39 +203,42 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(count + 1.0).astype(np.int64), CONTEXTS - 1)
 
 
-def _histogram(t: _Tokens, known) -> pa.Table:
-    """Tokens of the fold by (bucket, log ratio, log count), from counts without the fold."""
+CELLS = "b long, ratio long, level long, n long, r double, w double"
+
+
+def _cells(t: _Tokens, known) -> pa.Table:
+    """Tokens of the fold by cell, with counts that leave the fold out: how many, and sums of c(v,w)/c(v) and of c(w)."""
     words, pairs = known[0][0] - known[0][1], known[1][0] - known[1][1]
     pick = t.fold[t.row]
     over, pair, word = _context(t, words, pairs)[pick], pairs[t.pair][pick], words[t.word][pick]
-    some = (pair > 0) & (over > 0)
-    ratio = np.zeros(len(pair), np.int64)
-    ratio[some] = 1 + np.floor(-4 * np.log2(pair[some] / over[some])).astype(np.int64)
-    level = np.zeros(len(word), np.int64)
-    level[word > 0] = 1 + np.floor(4 * np.log2(word[word > 0])).astype(np.int64)
-    cell, n = np.unique((context_bucket(over) << 20) | (ratio << 10) | level, return_counts=True)
-    return pa.table([pa.array(cell >> 20), pa.array((cell >> 10) & 1023), pa.array(cell & 1023), pa.array(n.astype(np.int64))], names=["b", "ratio", "level", "n"])
-
-
-def expectation_maximisation(b: np.ndarray, ratio: np.ndarray, level: np.ndarray, n: np.ndarray, total: int, types: int) -> np.ndarray:
-    """Weights (pair, word, uniform) of each context bucket."""
-    pair = np.where(ratio > 0, 2.0 ** (-(ratio - 0.5) / 4), 0.0)
-    word = np.where(level > 0, 2.0 ** ((level - 0.5) / 4), 0.0) / max(1, total)
-    each = np.stack([pair, word, np.full(len(b), 1.0 / (types + 1))], axis=1)
-    out = np.tile(np.array(DEFAULT), (CONTEXTS, 1))
-    out[0] = [0.0, DEFAULT[0] + DEFAULT[1], DEFAULT[2]]  # an unseen context has no pairs
-    for k in range(CONTEXTS):
-        mine = b == k
-        if not mine.any():
-            continue
-        x, c, weight = each[mine], n[mine].astype(float), out[k].copy()
+    share = np.where(over > 0, pair / np.maximum(over, 1), 0.0)
+    ratio, level = np.zeros(len(pair), np.int64), np.zeros(len(word), np.int64)
+    ratio[share > 0] = 1 + np.floor(-STEPS * np.log2(share[share > 0])).astype(np.int64)
+    level[word > 0] = 1 + np.floor(STEPS * np.log2(word[word > 0])).astype(np.int64)
+    cell, at = np.unique((context_bucket(over) << 40) | (ratio << 20) | level, return_inverse=True)
+    sums = [np.bincount(at, weights=x, minlength=len(cell)) for x in (share, word.astype(float))]
+    return pa.table(
+        [pa.array(cell >> 40), pa.array((cell >> 20) & 0xFFFFF), pa.array(cell & 0xFFFFF), pa.array(np.bincount(at, minlength=len(cell)).astype(np.int64)), *map(pa.array, sums)],
+        names=["b", "ratio", "level", "n", "r", "w"],
+    )
+
+
+def mixture(b: int, n: np.ndarray, share: np.ndarray, word: np.ndarray, total: int, types: int) -> np.ndarray:
+    """Weights (pair, word, uniform) of context bucket ``b`` by expectation-maximisation, from cells of ``n`` tokens with c(v,w)/c(v) and c(w)."""
+    # An unseen context has no pairs.
+    weight = np.array([0.0, DEFAULT[0] + DEFAULT[1], DEFAULT[2]] if b == 0 else DEFAULT)
+    if len(n):
+        each = np.stack([share, word / max(1, total), np.full(len(n), 1.0 / (types + 1))], axis=1)
         for _ in range(ROUNDS):
-            share = x * weight
-            share *= (c / share.sum(axis=1))[:, None]
-            weight = share.sum(axis=0) / c.sum()
-        weight = np.maximum(np.round(weight, 9), [0.0 if k == 0 else 1e-9, 1e-9, 1e-9])
-        out[k] = weight / weight.sum()
-    return out
+            part = each * weight
+            part *= (n / part.sum(axis=1))[:, None]
+            new = part.sum(axis=0) / n.sum()
+            still = np.abs(new - weight).max() < 1e-10
+            weight = new
+            if still:
+                break
+    weight = np.maximum(np.round(weight, 9), [0.0 if b == 0 else 1e-9, 1e-9, 1e-9])
+    return weight / weight.sum()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int | None = None, block_bytes: int | None = None) -> DataFrame:
@@ -241,11 +246,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     size = B.corpus_bytes(docs, text_col)
     bucket_bytes = bucket_bytes or B.grown(size, B.BUCKET_BYTES, 64 << 20)
     key = F.col(f"`{id_col}`")
-    inner = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out(key).alias("held_out"), fold(key).alias("fold"))
+    inner = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out(key).alias("held_out"), fold(key).alias("fold"), F.monotonically_increasing_id().alias("row"))
     # The fold has buckets of its own, so that only those take part in fitting the weights.
     n = max(8, math.ceil(size / bucket_bytes))
     folds = math.ceil(n / 10)
-    h = F.xxhash64("id", "text")
+    h = F.xxhash64("row")
     dealt = inner.withColumn("bucket", F.when(F.col("fold"), n + F.pmod(h, F.lit(folds))).otherwise(F.pmod(h, F.lit(n))).cast("int")).repartition(max((n + folds) // 3, 8), "bucket")
     blocks = B.block_count(size, block_bytes)
     grouped = dealt.groupBy("bucket")
@@ -254,25 +259,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     for_scores = asked.applyInArrow(lambda table: _reply(table, None), B.REPLY)
 
     def cells(table: pa.Table, answers: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in CELLS.split(", ")]
         if answers.num_rows and answers.column("bucket")[0].as_py() == -1:
+            # Word statistics, for the fit of each context bucket: types, tokens, and tokens of the fold.
             stats = np.sum([np.frombuffer(x.as_py(), np.int64) for x in answers.column("answer")], axis=0)
-            return pa.table([pa.array([-1] * 3, pa.int64()), pa.array([0, 1, 2], pa.int64()), pa.array([0] * 3, pa.int64()), pa.array(stats)], names=["b", "ratio", "level", "n"])
+            b, level = np.divmod(np.arange(3 * CONTEXTS), 3)
+            none = np.zeros(len(b))
+            return pa.table([pa.array(x) for x in (b, np.full(len(b), -1), level, np.tile(stats, CONTEXTS), none, none)], names=names)
         if not table.num_rows or not answers.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names=["b", "ratio", "level", "n"])
+            return pa.table([pa.array([], pa.float64() if c in "rw" else pa.int64()) for c in names], names=names)
         t = _Tokens(table)
-        return _histogram(t, _known(t, answers, blocks, 2))
+        return _cells(t, _known(t, answers, blocks, 2))
 
     def fit(table: pa.Table) -> pa.Table:
-        b, ratio, level, count = (table.column(c).to_numpy() for c in ("b", "ratio", "level", "n"))
-        stats = {int(r): int(x) for r, x in zip(ratio[b < 0], count[b < 0])}
-        types, total = stats.get(0, 0), stats.get(1, 0)
-        real = b >= 0
-        weights = expectation_maximisation(b[real], ratio[real], level[real], count[real], total - stats.get(2, 0), types)
-        return pa.table([pa.array([np.r_[weights.ravel(), float(total), float(types)].tobytes()], pa.binary())], names=["model"])
-
-    histogram = grouped.cogroup(for_weights.groupBy("bucket")).applyInArrow(cells, "b long, ratio long, level long, n long")
-    bounded = histogram.groupBy("b", "ratio", "level").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
-    model = bounded.groupBy("one").applyInArrow(lambda table: fit(table.drop_columns(["one"])), "model binary")
+        b, ratio, level, count, share, word = (table.column(c).to_numpy() for c in ("b", "ratio", "level", "n", "r", "w"))
+        stats = dict(zip(level[ratio < 0].tolist(), count[ratio < 0].tolist()))
+        n, share, word = count[ratio >= 0], share[ratio >= 0], word[ratio >= 0]
+        types, total, own = stats.get(0, 0), stats.get(1, 0), stats.get(2, 0)
+        weights = mixture(int(b[0]), n, share / n, word / n, total - own, types)
+        return pa.table([pa.array([int(b[0])], pa.int64()), pa.array([[*weights.tolist(), float(total), float(types)]], pa.list_(pa.float64()))], names=["b", "model"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        rows = [m for _, m in sorted(zip(table.column("b").to_pylist(), table.column("model").to_pylist()))]
+        return pa.table([pa.array([np.array([x for m in rows for x in m[:3]] + rows[0][3:]).tobytes()], pa.binary())], names=["model"])
+
+    found = grouped.cogroup(for_weights.groupBy("bucket")).applyInArrow(cells, CELLS)
+    bounded = found.groupBy("b", "ratio", "level").agg(*[F.sum(c).alias(c) for c in ("n", "r", "w")])
+    fitted = bounded.groupBy("b").applyInArrow(fit, "b long, model array<double>")  # CONTEXTS rows
+    model = fitted.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(joined, "model binary")
     # The model is 53 numbers; every bucket gets a copy along with its counts.
     copies = model.select(F.lit(9).alias("round"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n + folds - 1))).alias("bucket"), F.col("model").alias("answer"))
 

@@ -109,17 +109,18 @@ def normal(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (11, 13)])
-def test_exact_matches_brute_force_even_with_collisions(spark, primes):
+@pytest.mark.parametrize("primes,huge,salted", [(exact_dedup.PRIMES, exact_dedup.HUGE, 500), ((11, 13), exact_dedup.HUGE, 500), (exact_dedup.PRIMES, 300, 1)])
+def test_exact_matches_brute_force_even_with_collisions(spark, primes, huge, salted, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CHUNK", 100 if huge == 300 else exact_dedup.CHUNK)
     rows = texts()
     groups = {}
     for i, t in rows:
         groups.setdefault(normal(t), []).append(i)
     least = {n: min([i for i in ids if i is not None], default=None) for n, ids in groups.items()}
     want = sorted([(i, least[normal(t)], len(groups[normal(t)]), i == least[normal(t)], hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows], key=repr)
-    got = exact_dedup.exact_duplicates(frame(spark), primes=primes).collect()
+    got = exact_dedup.exact_duplicates(frame(spark), primes=primes, huge=huge, salted=salted).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got], key=repr) == want
-    kept = exact_dedup.drop_copies(frame(spark), primes=primes)
+    kept = exact_dedup.drop_copies(frame(spark), primes=primes, huge=huge, salted=salted)
     assert kept.columns == frame(spark).columns
     assert sorted(map(repr, ((r.doc_id, normal(r.text)) for r in kept.collect()))) == sorted(repr((least[n], n)) for n in groups)
 
