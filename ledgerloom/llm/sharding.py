@@ -1,15 +1,17 @@
 """Shard store with size-tiered compaction and a versioned manifest, in DataFrame functions only.
 
 * **Append.**  An arrival is written as small immutable shards (Parquet files of at most ``shard_rows`` rows), in place of where its
-  partitions are: no shuffle.
-* **Manifest.**  A version is a table of the live shards (path, bytes, rows, tier).  It is written beside the others and renamed into place;
-  the rename fails if another writer took the version, so a version is there whole or not at all.  Readers see one version.
-* **Compaction.**  Shards of one size tier (powers of ``fanout``) are merged once there are ``fanout`` of them or enough for a file of
-  ``target_bytes``.  A merge reads the tier's shards and coalesces them into target-sized files without a shuffle, and a new version
-  swaps them.  Shards of ``target_bytes`` / 2 or more are left alone.
-* **Vacuum** deletes the files that no kept version lists.
-
-Only the manifest (one row per shard) is looked at for planning, as sums per tier; documents stay on the executors.
+  partitions are: no shuffle.  The shards of one write are a *run*, a folder of its own; a run is live as a whole or not at all.
+* **Manifest.**  A version is a table of the live shards (run, path, bytes, rows).  It is written beside the others and renamed into place;
+  the rename fails if another writer took the version, so a version is there whole or not at all.  (That a rename is one step holds for HDFS
+  and local disks; an object store needs a committer of its own.)  Readers see one version.
+* **Compaction.**  Runs are of one *tier* if their bytes lie between the same powers of ``fanout``.  A tier is merged once it has ``fanout`` runs, and
+  a single run whose shards are small although they would fill a file of ``target_bytes``.  A merge reads the tier's runs, coalesces them into
+  target-sized files without a shuffle, and a new version swaps the runs.  Runs of shards of ``target_bytes`` / 2 or more are left alone.
+* **Vacuum** deletes the runs that no kept version lists.
+
+The driver looks at runs only (a few per tier and one per large arrival, as sums over the manifest), never at single shards; documents stay on the
+executors.  Rows of a shard are counted from file footers.
 
 Edge cases: nulls, empty and very long texts and repeated rows are kept as they are; an empty arrival adds no shard, and an
 empty store reads as an empty table with the columns of its first arrival; columns may have any names, as shards hold nothing else.
@@ -19,12 +21,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES, SHARD_ROWS, FANOUT, LEAST_BYTES = 64 << 20, 2_000, 4, 64 << 10
-MANIFEST = "shard string, bytes bigint, rows bigint, tier int, since bigint"
+MANIFEST = "run string, shard string, bytes bigint, rows bigint, since bigint"
 
 
 class ShardStore:
@@ -54,6 +57,11 @@ class ShardStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v-{version:010d}")
 
+    def _runs(self, version: int | None = None) -> list:
+        """Live runs of a version with their shards, bytes and rows."""
+        sums = [F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")]
+        return self.manifest(version).groupBy("run").agg(*sums).orderBy("run").collect()
+
     def _commit(self, rows: DataFrame, version: int) -> int:
         """Make ``rows`` the manifest of ``version``; raises if that version exists."""
         draft = f"draft-{uuid.uuid4().hex}"
@@ -65,63 +73,64 @@ class ShardStore:
         context.rename(self._path(draft), self._path("manifest", f"v-{version:010d}"), none)
         return version
 
-    def _described(self, folder: str, version: int) -> DataFrame:
-        """Manifest rows of the files in ``folder``, in the order of their sizes."""
-        data = self.spark.read.parquet(folder)
+    def _folder(self, run: str) -> str:
+        return f"{self.root}/data/{run}"
+
+    def _described(self, run: str, version: int) -> DataFrame:
+        """Manifest rows of the shards of a run; no column is read, so the rows come from the files' footers."""
+        data = self.spark.read.schema(self._schema()).parquet(self._folder(run))
         info = data.metadataColumn("_metadata")
         files = data.select(info["file_path"].alias("shard"), info["file_size"].alias("bytes")).groupBy("shard", "bytes").agg(F.count(F.lit(1)).alias("rows"))
-        tier = F.floor(F.log(float(self.fanout), F.greatest(F.col("bytes"), F.lit(LEAST_BYTES)) / LEAST_BYTES)).cast("int")
-        return files.select("shard", "bytes", "rows", tier.alias("tier"), F.lit(version).cast("bigint").alias("since"))
+        return files.select(F.lit(run).alias("run"), "shard", "bytes", "rows", F.lit(version).cast("bigint").alias("since"))
 
     # Operations
 
     def append(self, docs: DataFrame) -> int:
         """Write an arrival as small shards and commit them."""
-        last = max(self.versions(), default=0)
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        docs.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(folder)
+        last, run = max(self.versions(), default=0), uuid.uuid4().hex
+        docs.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(self._folder(run))
         if not self._files().exists(self._path("schema")):
-            docs.limit(0).coalesce(1).write.parquet(f"{self.root}/schema")
-        return self._commit(self.manifest(last).unionAll(self._described(folder, last + 1)), last + 1)
+            self.spark.createDataFrame([], docs.schema).coalesce(1).write.parquet(f"{self.root}/schema")
+        return self._commit(self.manifest(last).unionAll(self._described(run, last + 1)), last + 1)
+
+    def tier(self, bytes_: int) -> int:
+        return int(math.log(max(bytes_, LEAST_BYTES) / LEAST_BYTES, self.fanout) + 1e-9)
+
+    def due(self) -> list[list]:
+        """Tiers of similarly sized runs that a compaction merges now, each as its runs."""
+        tiers = defaultdict(list)
+        for run in self._runs():
+            if run.bytes * 2 < self.target * run.shards:
+                tiers[self.tier(run.bytes)].append(run)
+        fills = lambda runs: sum(r.shards for r in runs) > 1 and sum(r.bytes for r in runs) >= self.target
+        return [runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fanout or fills(runs)]
 
     def compact(self) -> int:
         """Merge tiers that are due until none is; returns the last version."""
-        while True:
+        while due := self.due():
             last = max(self.versions(), default=0)
-            live = self.manifest(last)
-            small = live.where(F.col("bytes") * 2 < self.target)
-            tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).orderBy("tier").collect()  # one row per power of fanout
-            due = [t for t in tiers if t.n >= self.fanout or (t.n > 1 and t.bytes >= self.target)]
-            if not due:
-                return last
-            rows = live
-            for t in due:
-                chosen = small.where(F.col("tier") == t.tier)
-                folder = f"{self.root}/data/{uuid.uuid4().hex}"
-                paths = [r.shard for r in chosen.select("shard").collect()]  # paths, as a file scan lists them too
-                merged = self.spark.read.schema(self._schema()).parquet(*paths).coalesce(max(1, math.ceil(t.bytes / self.target)))
-                merged.write.option("compression", "zstd").parquet(folder)
-                rows = rows.join(chosen.select("shard"), "shard", "left_anti").unionAll(self._described(folder, last + 1))
+            rows = self.manifest(last)
+            for runs in due:
+                names, run = [r.run for r in runs], uuid.uuid4().hex
+                size = sum(r.bytes for r in runs)
+                merged = self.spark.read.schema(self._schema()).parquet(*map(self._folder, names)).coalesce(max(1, math.ceil(size / self.target)))
+                merged.write.option("compression", "zstd").parquet(self._folder(run))
+                rows = rows.where(~F.col("run").isin(names)).unionAll(self._described(run, last + 1))
             self._commit(rows, last + 1)
+        return max(self.versions(), default=0)
 
     def _schema(self):
         return self.spark.read.parquet(f"{self.root}/schema").schema
 
     def read(self, version: int | None = None) -> DataFrame:
         """Documents of a version."""
-        paths = [r.shard for r in self.manifest(version).select("shard").collect()]
+        runs = [self._folder(r.run) for r in self._runs(version)]
         schema = self._schema()
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*runs) if runs else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete the data files that none of the last ``keep`` versions lists; returns how many went."""
-        live = {self._fs.Path(r.shard).getName() for v in self.versions()[-keep:] for r in self.manifest(v).select("shard").collect()}
-        files, gone = self._files(), 0
-        if not files.exists(self._path("data")):
-            return 0
-        found = files.listFiles(self._path("data"), True)
-        while found.hasNext():
-            path = found.next().getPath()
-            if path.getName().startswith("part-") and path.getName() not in live:
-                gone += bool(files.delete(path, False))
-        return gone
+        """Delete the runs that none of the last ``keep`` versions lists; returns how many went."""
+        live = {r.run for v in self.versions()[-keep:] for r in self._runs(v)}
+        files, data = self._files(), self._path("data")
+        runs = [s.getPath() for s in files.listStatus(data)] if files.exists(data) else []
+        return sum(bool(files.delete(p, True)) for p in runs if p.getName() not in live)

@@ -219,24 +219,42 @@ def test_loser_tree_merges():
 
 
 def test_shard_store(spark):
-    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.md5(F.col("id").cast("string")), 20)).alias("text"), F.lit("x").alias("shard"), F.lit(1).alias("bytes"))
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.md5(F.col("id").cast("string")), 20)).alias("text"), F.lit("x").alias("shard"), F.lit(1).alias("bytes"), F.lit("r").alias("run"))
     store = sharding.ShardStore(spark, new_path(spark, "store"), target_bytes=200_000, shard_rows=20, fanout=3)
     for k in range(4):
         assert store.append(rows.where(F.col("doc_id") % 4 == k)) == k + 1
     before = store.manifest().count()
+    assert [len(runs) for runs in store.due()] == [4]
     last = store.compact()
     live = store.manifest()
-    assert last > 4 and live.count() < before and live.agg(F.sum("rows")).first()[0] == 300
+    assert last > 4 and live.count() < before and live.agg(F.sum("rows")).first()[0] == 300 and store.due() == []
     assert store.read().exceptAll(rows).isEmpty() and rows.exceptAll(store.read()).isEmpty()
     assert store.read(1).count() == 75 and store.compact() == last
     with pytest.raises(Exception, match="exist"):
         store._commit(live, last)
-    assert store.vacuum() == before and store.read().count() == 300
+    assert store.vacuum() == 4 and store.read().count() == 300
     empty = sharding.ShardStore(spark, new_path(spark, "store"))
     empty.append(rows.limit(0))
     assert empty.compact() == 1 and empty.read().columns == rows.columns and empty.read().count() == 0
 
 
+def test_runs_of_one_tier_are_merged_and_large_ones_left(spark):
+    """Arrivals of different sizes: similar ones meet, a large one with small shards is rewritten, one of full shards stays."""
+    rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store = sharding.ShardStore(spark, new_path(spark, "store"), target_bytes=100_000, shard_rows=50, fanout=3)
+    store.append(rows.where("id < 3000").coalesce(1))
+    assert [len(x) for x in store.due()] == [1]
+    store.compact()
+    large = {r.run for r in store._runs()}
+    assert all(r.bytes * 2 >= store.target * r.shards for r in store._runs())
+    for k in range(2):
+        store.append(rows.where(f"id >= {3000 + 10 * k} AND id < {3010 + 10 * k}"))
+        assert store.due() == []
+    store.append(rows.where("id >= 3020 AND id < 3030"))
+    store.compact()
+    assert large < {r.run for r in store._runs()} and len(store._runs()) == 2 and store.read().count() == 3030
+
+
 def test_sharding_runs_no_python(spark):
     store = sharding.ShardStore(spark, new_path(spark, "store"))
     store.append(spark.range(5).withColumn("text", F.lit("t")))
