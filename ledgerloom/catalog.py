@@ -117,20 +117,31 @@ def lists(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def run_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as run events, one run per user."""
-    e = table(spark, sf, "events")
-    kind = F.create_map(*[F.lit(x) for kv in (("click", "tool"), ("view", "output"), ("error", "check"), ("signup", "attempt"), ("purchase", "accepted")) for x in kv])
-    idx = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint")
-    state = F.element_at(F.array(F.lit("PASS"), F.lit("FAIL"), F.lit("UNRESOLVED")), (F.col("event_id") % 3 + 1).cast("int"))
+    """Events as a recorded trace, one run per user: the opening event, tools, output, attempts and what became of them, verdicts with checks."""
+    i, t = F.col("event_id"), F.col("event_type")
+    e = table(spark, sf, "events").withColumn("idx", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
+    first, pick = F.col("idx") == 0, lambda *names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    kind = F.when(first, "state").when(t == "click", "tool").when(t == "view", pick("stdout", "stdout", "stderr")).when(t == "error", "verdict").otherwise("state")
+    label = F.when(first, "starting").when(t == "click", pick("t0", "t1", "t2")).when(t == "signup", "attempt").when(t == "purchase", pick("accepted", "rejected", "exhausted", "rejected"))
+    check = F.concat(F.lit('[{"name":"'), pick("c0", "c1", "c2"), F.lit('","status":"'), pick("PASS", "FAIL", "UNRESOLVED"), F.lit('"},{"name":"total","status":"'), pick("PASS", "PASS", "FAIL", "PASS", "PASS"), F.lit('"}]'))
+    meta = F.map_from_arrays(
+        F.array(*map(F.lit, ("passes", "stage", "rows", "checks"))),
+        F.array(F.when(first, "s1, s9, s0"), F.when(~first & t.isin("signup", "purchase", "error"), pick("s0", "s1", "s2", "s3")), F.when(~first & t.isin("signup", "purchase"), (i % 7).cast("string")), F.when(~first & (t == "error"), check)),
+    )
     return e.select(
-        F.col("user_id").alias("run"), idx.alias("idx"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.concat(F.lit("s"), F.col("event_id") % 3).alias("label"), state.alias("status"),
-        F.col("props").alias("body"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"),
+        F.col("user_id").alias("run"), "idx", kind.alias("kind"), label.alias("label"), pick("running", "ok").alias("status"), F.col("props").alias("body"), meta.alias("meta"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"),
     )
 
 
-EVENTS = """e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
-    CASE event_type WHEN 'click' THEN 'tool' WHEN 'view' THEN 'output' WHEN 'error' THEN 'check' WHEN 'signup' THEN 'attempt' ELSE 'accepted' END AS kind,
-    's' || (event_id % 3) AS label, ['PASS', 'FAIL', 'UNRESOLVED'][event_id % 3 + 1] AS status, epoch_us(ts) / 1e6 AS sec FROM events)"""
+EVENTS = """o AS (SELECT *, user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_id AS i, event_type AS t FROM events),
+    p AS (SELECT run, idx, epoch_us(ts) / 1e6 AS sec, props AS body, ['running', 'ok'][i % 2 + 1] AS status,
+    CASE WHEN idx = 0 THEN 'state' WHEN t = 'click' THEN 'tool' WHEN t = 'view' THEN ['stdout', 'stdout', 'stderr'][i % 3 + 1] WHEN t = 'error' THEN 'verdict' ELSE 'state' END AS kind,
+    CASE WHEN idx = 0 THEN 'starting' WHEN t = 'click' THEN 't' || (i % 3) WHEN t = 'signup' THEN 'attempt' WHEN t = 'purchase' THEN ['accepted', 'rejected', 'exhausted', 'rejected'][i % 4 + 1] END AS label,
+    CASE WHEN idx = 0 THEN 's1, s9, s0' END AS passes, CASE WHEN idx > 0 AND t IN ('signup', 'purchase', 'error') THEN 's' || (i % 4) END AS stage, CASE WHEN idx > 0 AND t IN ('signup', 'purchase') THEN i % 7 END AS "rows",
+    CASE WHEN idx > 0 AND t = 'error' THEN '[{"name":"c' || (i % 3) || '","status":"' || ['PASS', 'FAIL', 'UNRESOLVED'][i % 3 + 1] || '"},{"name":"total","status":"' || CASE WHEN i % 5 = 2 THEN 'FAIL' ELSE 'PASS' END || '"}]' END AS checks FROM o),
+    e AS (SELECT *, coalesce(len(list_filter(json_extract_string(checks, '$[*].status'), lambda x: x = 'PASS')), 0) AS n_pass, coalesce(len(list_filter(json_extract_string(checks, '$[*].status'), lambda x: x = 'FAIL')), 0) AS n_fail,
+    coalesce(len(list_filter(json_extract_string(checks, '$[*].status'), lambda x: x = 'UNRESOLVED')), 0) AS n_unresolved FROM p)"""
 
 
 # Statement checks
@@ -468,13 +479,13 @@ def idf_weights(spark, sf):
 
 
 @query(
-    f"""WITH {WEIGHTS}, q AS (SELECT DISTINCT p_name || ' ' || p_type AS value FROM part WHERE p_partkey % 5 = 0), m AS (SELECT DISTINCT value, unnest(string_split(lower(value), ' ')) AS word FROM q), t AS (SELECT value, sum(weight) AS mine FROM m JOIN x USING (word) GROUP BY value),
+    f"""WITH {WEIGHTS}, q AS (SELECT DISTINCT p_name || ' ' || p_type AS value FROM part), m AS (SELECT DISTINCT value, unnest(string_split(lower(value), ' ')) AS word FROM q), t AS (SELECT value, sum(weight) AS mine FROM m JOIN x USING (word) GROUP BY value),
     z AS (SELECT pool, entry, sum(weight) AS theirs FROM w JOIN x USING (word) GROUP BY pool, entry), c AS (SELECT value, pool, entry, sum(weight) AS shared FROM m JOIN w USING (word) JOIN x USING (word) GROUP BY value, pool, entry),
     s AS (SELECT value, pool, entry, round_even(least(shared / mine, shared / theirs), 3) AS score FROM c JOIN t USING (value) JOIN z USING (pool, entry)),
     r AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, pool, entry) AS rank FROM s) SELECT value, CAST(rank AS BIGINT) AS rank, entry AS matched_name, score FROM r WHERE rank <= 5"""
 )
 def candidates_topk(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.concat_ws(" ", "p_name", "p_type").alias("v"))
+    rows = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("v"))
     return reference.candidates(rows, "v", [("part", "p_name"), ("part", "p_type")], lists(spark, sf)).select("value", F.col("rank").cast("bigint").alias("rank"), "matched_name", "score")
 
 
@@ -578,49 +589,82 @@ def event_tally(spark, sf):
 
 
 @query(
-    f"""WITH {EVENTS}, g AS (SELECT *, sec - lag(sec) OVER w AS gap, sec - first_value(sec) OVER w AS elapsed, last_value(CASE WHEN kind = 'tool' THEN label END IGNORE NULLS) OVER (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM e WINDOW w AS (PARTITION BY run ORDER BY idx))
-    SELECT run, idx, round(gap, 3) AS gap, round(elapsed, 3) AS elapsed, CASE WHEN gap >= 3 THEN f END AS in_flight FROM g"""
+    f"""WITH {EVENTS}, g AS (SELECT *, sec - lag(sec) OVER w AS gap, sec - first_value(sec) OVER w AS elapsed, max(CASE WHEN kind = 'tool' THEN idx END) OVER (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM e WINDOW w AS (PARTITION BY run ORDER BY idx))
+    SELECT g.run, g.idx, round(gap, 3) AS gap, round(elapsed, 3) AS elapsed, CASE WHEN gap >= 3 AND x.status = 'running' THEN x.label END AS in_flight FROM g LEFT JOIN e x ON x.run = g.run AND x.idx = g.f"""
 )
 def event_gaps(spark, sf):
     return events.gaps(run_events(spark, sf)).select("run", "idx", F.round("gap", 3).alias("gap"), F.round("elapsed", 3).alias("elapsed"), "in_flight")
 
 
-@query(
-    f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN kind = 'output' AND coalesce(lag(kind) OVER (PARTITION BY run ORDER BY idx), '') <> 'output' THEN 1 ELSE 0 END AS st FROM e), i AS (SELECT *, sum(st) OVER (PARTITION BY run ORDER BY idx) AS island FROM s)
-    SELECT run, CAST(island AS BIGINT) AS island, min(idx) AS "first", max(idx) AS "last", count(*) AS n FROM i WHERE kind = 'output' GROUP BY run, island"""
-)
+ISLANDS = """s AS (SELECT *, CASE WHEN kind IN ('stdout', 'stderr') AND coalesce(lag(kind) OVER (PARTITION BY run ORDER BY idx), '') NOT IN ('stdout', 'stderr') THEN 1 ELSE 0 END AS st FROM e),
+    i AS (SELECT * FROM (SELECT *, CAST(sum(st) OVER (PARTITION BY run ORDER BY idx) AS BIGINT) AS island FROM s) WHERE kind IN ('stdout', 'stderr'))"""
+
+
+@query(f"""WITH {EVENTS}, {ISLANDS} SELECT run, island, min(idx) AS "first", max(idx) AS "last", count(*) AS n FROM i GROUP BY run, island""")
 def event_islands(spark, sf):
     return events.islands(run_events(spark, sf))
 
 
+@query(
+    f"""WITH {EVENTS}, {ISLANDS}, l AS (SELECT run, island, idx, kind, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM i),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY idx DESC, pos DESC) AS k FROM l WHERE trim(line) <> '')
+    SELECT run, island, count(*) AS n_lines, count_if(kind = 'stderr') AS n_errors, string_agg(line, '~' ORDER BY k DESC) FILTER (k <= 8) AS tail, max(line) FILTER (k = 1) AS "last" FROM r GROUP BY run, island"""
+)
+def output_folds(spark, sf):
+    return events.folded_output(run_events(spark, sf)).withColumn("tail", F.array_join("tail", "~"))
+
+
+@query(f"WITH {EVENTS} SELECT run, arg_max(coalesce(stage, ''), idx) AS failed_stage FROM e WHERE kind = 'state' AND label = 'exhausted' GROUP BY run")
+def failed_stages(spark, sf):
+    return events.failed_stage(run_events(spark, sf))
+
+
 @query(f"WITH {EVENTS}, g AS (SELECT *, coalesce(sec - lag(sec) OVER (PARTITION BY run ORDER BY idx), 0.0) AS gap FROM e) SELECT run, idx, round(least(gap * 0.35, 1.2) / 2, 6) AS delay, round(least(gap / 2, 1.2), 6) AS cli_delay FROM g")
 def replay_delay(spark, sf):
     return events.replay(run_events(spark, sf), 2.0).select("run", "idx", F.round("delay", 6).alias("delay"), F.round("cli_delay", 6).alias("cli_delay"))
 
 
 @query(
-    f"""WITH {EVENTS}, a AS (SELECT *, count_if(kind = 'attempt') OVER w AS attempts, count_if(kind = 'check' AND status = 'FAIL') OVER w AS all_fail, last_value(CASE WHEN kind = 'attempt' THEN label END IGNORE NULLS) OVER w AS stage FROM e WINDOW w AS (PARTITION BY run ORDER BY idx))
-    SELECT run, idx, CAST(attempts AS BIGINT) AS attempts, stage, CAST(all_fail AS BIGINT) AS all_fail, CAST(count_if(kind = 'check' AND status = 'FAIL') OVER (PARTITION BY run, attempts ORDER BY idx) AS BIGINT) AS latest_fail FROM a"""
+    f"""WITH {EVENTS}, a AS (SELECT run, idx, kind, n_pass, n_fail, n_unresolved, stage AS own, count_if(kind = 'state' AND label = 'attempt') OVER w AS attempts,
+    last_value(CASE WHEN kind = 'state' AND "rows" <> 0 THEN "rows" END IGNORE NULLS) OVER w AS "rows", last_value(CASE WHEN kind = 'state' THEN stage END IGNORE NULLS) OVER w AS stage FROM e WINDOW w AS (PARTITION BY run ORDER BY idx)),
+    d AS (SELECT *, n_pass - coalesce(lag(n_pass) OVER v, 0) AS dp, n_fail - coalesce(lag(n_fail) OVER v, 0) AS df FROM a WINDOW v AS (PARTITION BY run, kind = 'verdict', coalesce(own, stage) ORDER BY idx))
+    SELECT run, idx, CAST(attempts AS BIGINT) AS attempts, CAST("rows" AS BIGINT) AS "rows", stage, CAST(sum(n_pass) OVER w AS BIGINT) AS all_pass, CAST(sum(n_fail) OVER w AS BIGINT) AS all_fail, CAST(sum(n_unresolved) OVER w AS BIGINT) AS all_unresolved,
+    CAST(sum(dp) OVER w AS BIGINT) AS latest_pass, CAST(sum(df) OVER w AS BIGINT) AS latest_fail FROM d WINDOW w AS (PARTITION BY run ORDER BY idx)"""
 )
 def running_score(spark, sf):
-    return events.running_score(run_events(spark, sf)).select("run", "idx", "attempts", "stage", "all_fail", "latest_fail")
+    return events.running_score(run_events(spark, sf)).select("run", "idx", "attempts", "rows", "stage", "all_pass", "all_fail", "all_unresolved", "latest_pass", "latest_fail")
 
 
 @query(
-    f"""WITH {EVENTS}, m AS (SELECT * FROM e WHERE kind IN ('attempt', 'accepted')) SELECT run, label AS stage, CASE arg_max(kind, idx) WHEN 'accepted' THEN 'done' ELSE 'current' END AS state, count_if(kind = 'attempt') AS attempts FROM m GROUP BY run, label"""
+    f"""WITH {EVENTS}, m AS (SELECT *, count_if(label = 'attempt') OVER (PARTITION BY run, stage ORDER BY idx) AS n FROM e WHERE kind = 'state' AND stage IS NOT NULL),
+    y AS (SELECT run, stage, n, coalesce(arg_max(CASE label WHEN 'accepted' THEN 'ok' ELSE 'bad' END, idx) FILTER (label IN ('accepted', 'rejected')), 'live') AS outcome FROM m WHERE n > 0 GROUP BY run, stage, n),
+    z AS (SELECT run, stage, string_agg(outcome, ',' ORDER BY n) AS outcomes, count(*) AS attempts, count_if(outcome = 'bad') AS bad FROM y GROUP BY run, stage),
+    g AS (SELECT run, stage, arg_max(label, idx) AS last, min(idx) AS first FROM m GROUP BY run, stage),
+    k AS (SELECT run, unnest(['s1', 's9', 's0']) AS stage, unnest([0, 1, 2]) AS k FROM e WHERE idx = 0)
+    SELECT run, stage, row_number() OVER (PARTITION BY run ORDER BY k NULLS LAST, first) AS position, CASE last WHEN 'accepted' THEN 'done' WHEN 'exhausted' THEN 'failed' ELSE CASE WHEN last IS NULL THEN 'seen' ELSE 'current' END END AS state,
+    coalesce(outcomes, '') AS outcomes, coalesce(attempts, 0) AS attempts, coalesce(bad, 0) AS bad FROM k FULL JOIN g USING (run, stage) LEFT JOIN z USING (run, stage)"""
 )
 def stage_states(spark, sf):
-    return events.stage_states(run_events(spark, sf)).select("run", "stage", "state", "attempts")
+    found = events.stage_states(run_events(spark, sf))
+    return found.select("run", "stage", F.col("position").cast("bigint").alias("position"), "state", F.array_join("outcomes", ",").alias("outcomes"), F.col("attempts").cast("bigint").alias("attempts"), F.col("bad").cast("bigint").alias("bad"))
 
 
-@query(f"WITH {EVENTS} SELECT run, count(*) AS events, round(max(sec) - min(sec), 3) AS elapsed, count_if(kind = 'check' AND status = 'FAIL') = 0 AS won FROM e GROUP BY run")
+@query(
+    f"""WITH {EVENTS} SELECT run, count(*) AS events, round(arg_max(sec, idx) - arg_min(sec, idx), 3) AS elapsed, CAST(arg_max("rows", idx) FILTER (kind = 'state' AND "rows" <> 0) AS BIGINT) AS "rows", count_if(kind = 'state' AND label = 'attempt') AS attempts,
+    CAST(sum(n_pass) AS BIGINT) AS passed, CAST(sum(n_fail) AS BIGINT) AS failed, CAST(sum(n_unresolved) AS BIGINT) AS unresolved, coalesce(any_value(run % 2 = 0) FILTER (run % 3 > 0), sum(n_fail) = 0) AS won FROM e GROUP BY run"""
+)
 def closing_card(spark, sf):
-    return events.closing_card(run_events(spark, sf)).select("run", "events", F.round("elapsed", 3).alias("elapsed"), "won")
+    e = run_events(spark, sf)
+    finished = e.select("run").distinct().where("run % 3 > 0").select(F.col("run").alias("run_id"), (F.col("run") % 2 == 0).alias("accepted"))
+    return events.closing_card(e, finished).withColumn("elapsed", F.round("elapsed", 3))
 
 
-@query(f"WITH {EVENTS} SELECT run, 'check' AS what, 's1' AS name, max(idx) AS idx FROM e WHERE kind = 'check' AND label = 's1' GROUP BY run UNION ALL SELECT run, 'stage', label, min(idx) FROM e WHERE kind = 'attempt' GROUP BY run, label")
+@query(
+    f"""WITH {EVENTS} SELECT run, 'check' AS what, 'c1' AS name, max(idx) AS idx FROM e WHERE list_contains(json_extract_string(checks, '$[*].name'), 'c1') GROUP BY run
+    UNION ALL SELECT run, 'stage', stage, min(idx) FROM e WHERE kind = 'state' AND label = 'attempt' AND stage IS NOT NULL GROUP BY run, stage"""
+)
 def jump_targets(spark, sf):
-    return events.jump_targets(run_events(spark, sf), "s1")
+    return events.jump_targets(run_events(spark, sf), "c1")
 
 
 @query(f"WITH {EVENTS} SELECT run, md5(string_agg(props, '' ORDER BY idx)) AS text_md5 FROM (SELECT e.*, props FROM e JOIN (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) x ON e.run = x.user_id AND e.idx = x.i) GROUP BY run")
@@ -649,7 +693,7 @@ def batch_runs(spark, sf):
 
 
 def _fees(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal IS NOT NULL")
+    c = table(spark, sf, "customer")
     base = F.col("c_acctbal").cast("decimal(20,2)")
     exact = F.round(base * F.lit("0.005").cast("decimal(10,4)"), 2)
     return c.select(F.col("c_custkey").alias("id"), base.alias("base"), F.lit("2.0").cast("decimal(10,4)").alias("rate"), F.when(F.col("c_custkey") % 8 == 0, exact + 1).otherwise(exact).cast("decimal(20,2)").alias("administrator"), F.lit(1).alias("version"), F.lit("DONE").alias("human_state"))
@@ -668,10 +712,19 @@ def finding_counts(spark, sf):
     return review.counts(review.recomputed(_fees(spark, sf)))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'fee_schedule' WHEN p_type = 'LARGE' THEN 'bank_statement' WHEN p_type = 'MEDIUM' THEN 'side_letter' ELSE 'unknown' END AS role FROM part")
+FILES = ("%s NAV.xlsx", "%s nav.pdf", "%s_LPA_2024.pdf", "Side-Letter %s.docx", "Investor %s.csv", "register %s.pdf", "%s navigator.csv", "Partnership Agreement %s.PDF", "administrator %s.xlsx", "lpa %s.docx", "input %s.XLSX")
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, lower(replace({list(FILES)!r}[p_partkey % {len(FILES)} + 1], '%s', p_name)) AS n FROM part),
+    g AS (SELECT p_partkey, CASE WHEN regexp_matches(n, '[.](xlsx|csv)$') AND regexp_matches(n, '\\bnav\\b|administrator') THEN 'NAV_WORKBOOK' WHEN n LIKE '%.pdf' AND regexp_matches(n, '(^|[^a-z0-9])lpa([^a-z0-9]|$)|partnership.agreement') THEN 'LPA'
+    WHEN regexp_matches(n, 'side.?letter') THEN 'SIDE_LETTER' WHEN regexp_matches(n, '[.](xlsx|csv)$') AND regexp_matches(n, 'investor|register|input') THEN 'INVESTOR_REGISTER' ELSE 'SUPPORTING' END AS role FROM f)
+    SELECT p_partkey, role, role <> 'SUPPORTING' AS recognised FROM g"""
+)
 def role_guess(spark, sf):
-    name = F.when(F.col("p_type") == "PROMO", "Fee_Schedule 2024.pdf").when(F.col("p_type") == "LARGE", "My Statement.PDF").when(F.col("p_type") == "MEDIUM", "side letter.docx").otherwise("scan.pdf")
-    return table(spark, sf, "part").select("p_partkey", review.role_guess(name).alias("role"))
+    shape = F.element_at(F.array(*map(F.lit, FILES)), (F.col("p_partkey") % len(FILES) + 1).cast("int"))
+    role = review.role_guess(F.replace(shape, F.lit("%s"), F.col("p_name")))
+    return table(spark, sf, "part").select("p_partkey", role.alias("role")).withColumn("recognised", review.recognised("role"))
 
 
 @query(

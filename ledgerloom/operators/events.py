@@ -1,4 +1,8 @@
-"""Analysis of run events: ``run, idx, kind, label, detail, status, body, at`` (epoch seconds); ``idx`` orders a run."""
+"""Analysis of run events: ``run, idx, kind, label, detail, status, body, meta, at`` (epoch seconds); ``idx`` orders a run.
+
+Kinds are those of recorded traces: ``state`` (labels ``attempt``, ``accepted``, ``rejected``, ``exhausted``; ``meta`` holds ``stage``, ``rows`` and, on the
+opening event, ``passes``), ``tool``, ``stdout``, ``stderr``, and ``verdict`` (``meta`` holds ``checks``).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP, REPLAY, SLOWEST = 3.0, 0.35, 1.2
+OUTPUT = ("stdout", "stderr")
+CHECKS = "array<struct<name:string,status:string>>"
 
 
 def _order() -> Window:
@@ -16,12 +22,31 @@ def tally(events: DataFrame) -> DataFrame:
     return events.groupBy("run", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gaps(events: DataFrame, least: float = GAP, kinds: tuple[str, ...] = ("tool",)) -> DataFrame:
-    """Elapsed time, the gap before each event, and, for long gaps, the step in flight (the last one of ``kinds``)."""
+def told(name: str) -> Column:
+    """An entry of ``meta``, null where it is blank; lists there are JSON text."""
+    return F.nullif(F.trim(F.try_element_at("meta", F.lit(name))), F.lit(""))
+
+
+def checks() -> Column:
+    """Checks that a verdict reports; none for other events."""
+    none = F.array().cast(CHECKS)
+    return F.when(F.col("kind") == "verdict", F.coalesce(F.from_json(told("checks"), CHECKS), none)).otherwise(none)
+
+
+def _with(status: str) -> Column:
+    return F.size(F.filter(checks(), lambda c: c["status"] == status))
+
+
+def _is(*labels: str) -> Column:
+    return (F.col("kind") == "state") & F.col("label").isin(*labels)
+
+
+def gaps(events: DataFrame, least: float = GAP) -> DataFrame:
+    """Elapsed time, the gap before each event, and, for long gaps, the step in flight: the last tool event, if it is ``running``."""
     w = _order()
-    flight = F.last(F.when(F.col("kind").isin(*kinds), F.col("label")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    tool = F.last(F.when(F.col("kind") == "tool", F.struct("label", "status")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     e = events.withColumn("elapsed", F.col("at") - F.first("at").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("gap", F.col("at") - F.lag("at").over(w))
-    return e.withColumn("in_flight", F.when(F.col("gap") >= least, flight))
+    return e.withColumn("in_flight", F.when((F.col("gap") >= least) & (tool["status"] == "running"), tool["label"]))
 
 
 def replay(events: DataFrame, speed: float = 1.0) -> DataFrame:
@@ -30,21 +55,24 @@ def replay(events: DataFrame, speed: float = 1.0) -> DataFrame:
     return e.withColumn("delay", F.least(F.col("gap") * REPLAY, F.lit(SLOWEST)) / speed).withColumn("cli_delay", F.least(F.col("gap") / max(speed, 0.1), F.lit(SLOWEST)))
 
 
-def islands(events: DataFrame, kind: str = "output") -> DataFrame:
-    """Runs of consecutive events of one kind: ``run, island, first, last, n``."""
-    w = _order()
-    e = events.withColumn("starts", ((F.col("kind") == kind) & ~F.coalesce(F.lag("kind").over(w) == kind, F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.where(F.col("kind") == kind).groupBy("run", "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
+def _on_islands(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Events of ``kinds`` with the number of their island; an event of any other kind ends one."""
+    w, inside = _order(), F.col("kind").isin(*kinds)
+    starts = (inside & ~F.coalesce(F.lag("kind").over(w).isin(*kinds), F.lit(False))).cast("int")
+    return events.withColumn("starts", starts).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(inside)
+
 
+def islands(events: DataFrame, kinds: tuple[str, ...] = OUTPUT) -> DataFrame:
+    """Runs of consecutive events of some kinds: ``run, island, first, last, n``."""
+    return _on_islands(events, kinds).groupBy("run", "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
 
-def folded_output(events: DataFrame, kind: str = "output", shown: int = 8) -> DataFrame:
+
+def folded_output(events: DataFrame, kinds: tuple[str, ...] = OUTPUT, shown: int = 8) -> DataFrame:
     """Output of each island: non-blank lines, those on the error stream, the last line, and the last few."""
-    w = _order()
-    e = events.withColumn("starts", ((F.col("kind") == kind) & ~F.coalesce(F.lag("kind").over(w) == kind, F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    line = e.where(F.col("kind") == kind).select("run", "island", "idx", "label", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    line = _on_islands(events, kinds).select("run", "island", "idx", "kind", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where("trim(line) <> ''")
     rank = Window.partitionBy("run", "island").orderBy(F.desc("idx"), F.desc("pos"))
     tail = line.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= shown).groupBy("run", "island").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line")), asc=False), lambda x: x["line"]).alias("tail"))
-    n = line.groupBy("run", "island").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("label") == "stderr").alias("n_errors"))
+    n = line.groupBy("run", "island").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("kind") == "stderr").alias("n_errors"))
     return n.join(tail, ["run", "island"]).withColumn("last", F.element_at("tail", -1))
 
 
@@ -69,40 +97,61 @@ def reassembled(deltas: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def failed_stage(events: DataFrame) -> DataFrame:
-    return events.where("kind = 'exhausted'").groupBy("run").agg(F.max_by("label", "idx").alias("failed_stage"))
+    """Stage of the last event that says attempts ran out, empty if it names none; runs without one have no row."""
+    return events.where(_is("exhausted")).groupBy("run").agg(F.max_by(F.coalesce(told("stage"), F.lit("")), "idx").alias("failed_stage"))
 
 
 def running_score(events: DataFrame) -> DataFrame:
-    """After each event: attempts, stage, and verdicts so far, of all attempts and of the latest of each stage."""
+    """After each event: attempts, rows, stage, and checks so far: of all verdicts (``all_*``) and of the latest of each stage (``latest_*``)."""
     w = _order().rowsBetween(Window.unboundedPreceding, 0)
-    verdict = F.col("kind") == "check"
-    e = events.withColumn("attempts", F.count_if(F.col("kind") == "attempt").over(w)).withColumn("stage", F.last(F.when(F.col("kind").isin("stage", "attempt"), F.col("label")), ignorenulls=True).over(w))
-    for s in ("PASS", "FAIL", "UNRESOLVED"):
-        e = e.withColumn(f"all_{s.lower()}", F.count_if(verdict & (F.col("status") == s)).over(w))
-    attempt = Window.partitionBy("run", "attempts").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.col("kind") == "state"
+    last = lambda c: F.last(F.when(state, c), ignorenulls=True).over(w)
+    e = events.withColumn("attempts", F.count_if(_is("attempt")).over(w)).withColumn("rows", last(F.nullif(told("rows").try_cast("bigint"), F.lit(0)))).withColumn("stage", last(told("stage")))
+    # What a verdict adds to the latest ones: its checks less those of the verdict before it on the same stage.
+    before = Window.partitionBy("run", F.col("kind") == "verdict", F.coalesce(told("stage"), F.col("stage"))).orderBy("idx")
     for s in ("PASS", "FAIL", "UNRESOLVED"):
-        e = e.withColumn(f"latest_{s.lower()}", F.count_if(verdict & (F.col("status") == s)).over(attempt))
-    return e
+        e = e.withColumn(f"all_{s.lower()}", F.sum(_with(s)).over(w)).withColumn(f"latest_{s.lower()}", _with(s) - F.coalesce(F.lag(_with(s)).over(before), F.lit(0)))
+    return e.withColumns({f"latest_{s}": F.sum(f"latest_{s}").over(w) for s in ("pass", "fail", "unresolved")})
 
 
 def stage_states(events: DataFrame) -> DataFrame:
-    """State of every stage of a run from its attempt, accepted, rejected and exhausted events."""
-    e = events.where(F.col("kind").isin("attempt", "accepted", "rejected", "exhausted"))
-    last = e.groupBy("run", "label").agg(F.max_by("kind", "idx").alias("last"), F.count_if(F.col("kind") == "attempt").alias("attempts"), F.count_if(F.col("kind") == "rejected").alias("bad"))
-    state = F.when(F.col("last") == "accepted", "done").when(F.col("last") == "exhausted", "failed").otherwise("current")
-    return last.select("run", F.col("label").alias("stage"), state.alias("state"), "attempts", "bad")
+    """Stages of each run: ``run, stage, position, state, outcomes, attempts, bad``.
+
+    Passes that the opening event announces come first and are ``seen`` until they start, others follow as they appear.  Each attempt has an
+    outcome: ``ok``, ``bad``, or ``live`` while nothing has been said of it.
+    """
+    moves = events.where((F.col("kind") == "state") & told("stage").isNotNull()).select("run", "idx", "label", told("stage").alias("stage"))
+    n = F.count_if(F.col("label") == "attempt").over(Window.partitionBy("run", "stage").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    said = F.when(F.col("label") == "accepted", "ok").when(F.col("label") == "rejected", "bad")
+    moved = F.when(F.col("label").isin("attempt", "accepted", "rejected", "exhausted"), F.col("idx"))
+    tries = moves.withColumn("n", n).groupBy("run", "stage", "n").agg(
+        F.coalesce(F.max_by(said, F.when(said.isNotNull(), F.col("idx"))), F.lit("live")).alias("outcome"), F.max_by("label", moved).alias("last"), F.max(moved).alias("at"), F.min("idx").alias("first")
+    )
+    attempt = F.when(F.col("n") > 0, F.struct("n", "outcome"))
+    seen = tries.groupBy("run", "stage").agg(F.max_by("last", "at").alias("last"), F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(attempt)), lambda x: x["outcome"]).alias("outcomes"))
+    opening = events.groupBy("run").agg(F.min_by(F.struct("kind", told("passes").alias("passes")), "idx").alias("o")).where("o.kind = 'state'")
+    named = opening.select("run", F.posexplode(F.split("o.passes", ",")).alias("k", "stage")).withColumn("stage", F.trim("stage")).where("stage <> ''").groupBy("run", "stage").agg(F.min("k").alias("k"))
+    state = F.when(F.col("last") == "accepted", "done").when(F.col("last") == "exhausted", "failed").when(F.col("last").isNotNull(), "current").otherwise("seen")
+    position = F.row_number().over(Window.partitionBy("run").orderBy(F.asc_nulls_last("k"), "first"))
+    every = named.join(seen, ["run", "stage"], "full").withColumn("outcomes", F.coalesce("outcomes", F.array().cast("array<string>")))
+    return every.select("run", "stage", position.alias("position"), state.alias("state"), "outcomes", F.size("outcomes").alias("attempts"), F.size(F.filter("outcomes", lambda x: x == "bad")).alias("bad"))
 
 
 def closing_card(events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """One row per run: won, elapsed, events.  A recorded verdict counts; without one, no failed check."""
-    card = events.groupBy("run").agg(F.count(F.lit(1)).alias("events"), (F.max("at") - F.min("at")).alias("elapsed"), (F.count_if((F.col("kind") == "check") & (F.col("status") == "FAIL")) == 0).alias("clean"))
+    """One row per run: won, elapsed, events, rows, attempts and checks by status.  A recorded verdict counts; without one, no failed check."""
+    rows = F.nullif(told("rows").try_cast("bigint"), F.lit(0))
+    card = events.groupBy("run").agg(
+        F.count(F.lit(1)).alias("events"), (F.max_by("at", "idx") - F.min_by("at", "idx")).alias("elapsed"), F.max_by(rows, F.when((F.col("kind") == "state") & rows.isNotNull(), F.col("idx"))).alias("rows"),
+        F.count_if(_is("attempt")).alias("attempts"), F.sum(_with("PASS")).alias("passed"), F.sum(_with("FAIL")).alias("failed"), F.sum(_with("UNRESOLVED")).alias("unresolved"),
+    )
+    clean = F.col("failed") == 0
     if summaries is None:
-        return card.withColumn("won", F.col("clean"))
-    return card.join(summaries.select(F.col("run_id").alias("run"), "accepted"), "run", "left").withColumn("won", F.coalesce("accepted", "clean")).drop("accepted")
+        return card.withColumn("won", clean)
+    return card.join(summaries.select(F.col("run_id").alias("run"), "accepted"), "run", "left").withColumn("won", F.coalesce("accepted", clean)).drop("accepted")
 
 
 def jump_targets(events: DataFrame, check: str) -> DataFrame:
-    """Last verdict of a named check, and the first attempt of each stage."""
-    named = events.where((F.col("kind") == "check") & (F.col("label") == check)).groupBy("run").agg(F.max("idx").alias("idx")).select("run", F.lit("check").alias("what"), F.lit(check).alias("name"), "idx")
-    first = events.where("kind = 'attempt'").groupBy("run", F.col("label").alias("name")).agg(F.min("idx").alias("idx")).select("run", F.lit("stage").alias("what"), "name", "idx")
+    """Last verdict that reports a named check, and the first attempt of each stage."""
+    named = events.where(F.exists(checks(), lambda c: c["name"] == check)).groupBy("run").agg(F.max("idx").alias("idx")).select("run", F.lit("check").alias("what"), F.lit(check).alias("name"), "idx")
+    first = events.where(_is("attempt") & told("stage").isNotNull()).groupBy("run", told("stage").alias("name")).agg(F.min("idx").alias("idx")).select("run", F.lit("stage").alias("what"), "name", "idx")
     return named.unionByName(first)

@@ -13,10 +13,10 @@ from ledgerloom.functions.text import amount
 from ledgerloom.schemas import MONEY
 
 TOLERANCE = 1.5
-# The printed headers of the statement's columns, and the account block of page 1.
+# The words that open the statement's columns, and the account block of page 1.
 HEADERS = {
-    "bank_reference": "Bank reference", "customer_reference": "Customer reference", "trn_type": "TRN type", "value_date": "Value date",
-    "credit": "Credit amount", "debit": "Debit amount", "balance": "Balance", "time": "Time", "post_date": "Post date",
+    "bank_reference": "Bank", "customer_reference": "Customer", "trn_type": "TRN", "value_date": "Value",
+    "credit": "Credit", "debit": "Debit", "balance": "Balance", "time": "Time", "post_date": "Post",
 }
 DETAILS = {
     "Account name": "account_name", "Account number": "account_number", "Bank name": "bank_name", "Currency": "currency", "IBAN": "iban", "BIC": "bic",

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import finding_priority
 
-# File roles by name, first hit counts.
+# Roles of files by extension and name, and of evidence by role and locator; the first hit counts.
+DATA, PDF, ANY = r"\.(xlsx|csv)$", r"\.pdf$", ""
 ROLES = (
-    ("capital_account", r"capital.?account|\bpcap\b"), ("fee_schedule", r"fee.?schedule|\bfees?\b"), ("lpa", r"\blpa\b|partnership.?agreement"),
-    ("investor_register", r"investor.?register|register"), ("side_letter", r"side.?letter"), ("bank_statement", r"bank.?statement|statement"), ("ledger", r"\bgl\b|ledger"),
+    ("NAV_WORKBOOK", DATA, r"\bnav\b|administrator"), ("LPA", PDF, r"(^|[^a-z0-9])lpa([^a-z0-9]|$)|partnership.agreement"),
+    ("SIDE_LETTER", ANY, r"side.?letter"), ("INVESTOR_REGISTER", DATA, r"investor|register|input"),
 )
+EVIDENCE = (
+    (0, "SIDE_LETTER", r"section 3\.1"), (1, "NAV_WORKBOOK", r"![a-z]*f\d+\b"), (2, "INVESTOR_REGISTER", r"fee_base"),
+    (3, "INVESTOR_REGISTER", r"side_letter_(expected|filename)"), (4, "LPA", r"section 8\.1"), (5, "INVESTOR_REGISTER", r"investor_name"),
+)
+UNREVIEWED, OTHER, LAST = "UNREVIEWED", "SUPPORTING", 10
 EXTENSIONS, MAX_BYTES = ("pdf", "xlsx", "xls", "csv", "docx"), 25 << 20
 
 
@@ -24,30 +30,35 @@ def fee(findings: DataFrame) -> DataFrame:
 
 def recomputed(findings: DataFrame) -> DataFrame:
     """Recalculate; the version goes up and the human state starts again."""
-    return fee(findings).withColumn("version", F.coalesce("version", F.lit(0)) + 1).withColumn("human_state", F.lit("PENDING"))
+    return fee(findings).withColumn("version", F.coalesce("version", F.lit(0)) + 1).withColumn("human_state", F.lit(UNREVIEWED))
 
 
 def counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("human_state") == "PENDING").alias("pending"))
+    return findings.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("human_state") == UNREVIEWED).alias("pending"))
 
 
 def ready(findings: DataFrame) -> DataFrame:
     """One row: exceptions that nobody has decided on, and whether there are none."""
-    open_ = F.count_if((F.col("status") != "MATCH") & (F.col("human_state") == "PENDING"))
+    open_ = F.count_if((F.col("status") != "MATCH") & (F.col("human_state") == UNREVIEWED))
     return findings.agg(open_.alias("pending_exceptions"), (open_ == 0).alias("ready"))
 
 
+def _display(findings: DataFrame) -> list[Column | str]:
+    """By status, then investor (where there is one), then id."""
+    return [finding_priority("status"), *(c for c in ("investor_id", "id") if c in findings.columns)]
+
+
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(finding_priority("status"), "id")
+    return findings.orderBy(*_display(findings))
 
 
 def next_exception(findings: DataFrame, after: str | None = None) -> DataFrame:
     """The first undecided exception after a finding, in display order; from the top if there is none after it."""
-    w = Window.orderBy(finding_priority("status"), "id")  # findings of one review
+    w = Window.orderBy(*_display(findings))  # findings of one review
     f = findings.withColumn("k", F.row_number().over(w))
     here = f.where(F.col("id") == F.lit(after)).select("k").first() if after is not None else None
     at = here["k"] if here else 0
-    return f.where((F.col("status") != "MATCH") & (F.col("human_state") == "PENDING")).orderBy(F.col("k") <= at, "k").limit(1).drop("k")
+    return f.where((F.col("status") != "MATCH") & (F.col("human_state") == UNREVIEWED)).orderBy(F.col("k") <= at, "k").limit(1).drop("k")
 
 
 def direction_text(difference: Column | str) -> Column:
@@ -63,12 +74,11 @@ def exportable(findings: DataFrame, version: int) -> DataFrame:
 
 
 def evidence_priority(evidence: DataFrame) -> Column:
-    """Order of evidence: what a finding rests on comes first."""
-    role, where = F.lower(F.coalesce("role", F.lit(""))), F.lower(F.coalesce("locator", F.lit("")))
-    return (
-        F.when(role == "administrator_value", 0).when(role == "expected_input", 1).when((role == "rule") & where.contains("clause"), 2)
-        .when(role == "rule", 3).when(role == "base", 4).when(where.contains("page"), 5).otherwise(10)
-    )
+    """Rank of evidence by role and locator: what a finding rests on comes first; a null role or locator is last."""
+    rank = F.lit(LAST)
+    for k, role, pattern in reversed(EVIDENCE):
+        rank = F.when((F.col("role") == role) & F.lower("locator").rlike(pattern), k).otherwise(rank)
+    return rank
 
 
 def evidence_order(evidence: DataFrame) -> DataFrame:
@@ -76,13 +86,23 @@ def evidence_order(evidence: DataFrame) -> DataFrame:
 
 
 def role_guess(name: Column | str) -> Column:
+    """Role of a file by its name; ``SUPPORTING`` where no rule knows it."""
     n = F.lower(F.col(name) if isinstance(name, str) else name)
-    out = F.lit("unknown")
-    for role, pattern in reversed(ROLES):
-        out = F.when(n.rlike(pattern), role).otherwise(out)
+    out = F.lit(OTHER)
+    for role, extension, pattern in reversed(ROLES):
+        out = F.when(n.rlike(extension) & n.rlike(pattern), role).otherwise(out)
     return out
 
 
+def recognised(role: Column | str) -> Column:
+    return (F.col(role) if isinstance(role, str) else role) != OTHER
+
+
+def label_text(code: Column | str) -> Column:
+    """A code in words: underscores become spaces, the first letter of each word is large."""
+    return F.initcap(F.lower(F.replace(F.col(code) if isinstance(code, str) else code, F.lit("_"), F.lit(" "))))
+
+
 def accepted_files(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Uploads with ``problem``: extension, size, or a copy (name and size) of an existing or earlier file."""
     ext = F.lower(F.element_at(F.split("name", r"\."), -1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +84,12 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON-lines traces with their run (the folder) and order."""
-    e = spark.read.schema(EVENT).json(path).withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    return e.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint"))).withColumn("idx", F.monotonically_increasing_id())
+    """Events of JSON-lines traces with their run (the folder) and ``idx``, their position in it from 0."""
+    file = F.col("_metadata.file_path")
+    e = spark.read.schema(EVENT).json(path).select("*", file.alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    e = e.withColumn("run", F.element_at(F.split("f", "/"), -2)).withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("f", "b", "k")) - 1  # a block's lines are read in order
+    return e.withColumn("idx", place.cast("bigint")).drop("f", "b", "k")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.operators.events import told
 from ledgerloom.schemas import EVENT
 
 
@@ -35,7 +36,7 @@ def stage_states(events: DataFrame) -> DataFrame:
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, last, attempts, bad = state.get if state.exists else (float("-inf"), "", 0, 0)
         for f in frames:
-            for kind, when in sorted(zip(f["kind"], f["at"]), key=lambda x: x[1]):
+            for kind, when in sorted(zip(f["label"], f["at"]), key=lambda x: x[1]):
                 attempts += kind == "attempt"
                 bad += kind == "rejected"
                 if when >= at:
@@ -44,7 +45,8 @@ def stage_states(events: DataFrame) -> DataFrame:
         name = {"accepted": "done", "exhausted": "failed"}.get(last, "current")
         yield pd.DataFrame([(key[0], key[1], name, attempts, bad)], columns=["run", "stage", "state", "attempts", "bad"])
 
-    moves = events.where(F.col("kind").isin("attempt", "accepted", "rejected", "exhausted")).select("run", F.col("label").alias("stage"), "kind", "at")
+    moved = (F.col("kind") == "state") & F.col("label").isin("attempt", "accepted", "rejected", "exhausted") & told("stage").isNotNull()
+    moves = events.where(moved).select("run", told("stage").alias("stage"), "label", "at")
     return moves.groupBy("run", "stage").applyInPandasWithState(update, out, "at double, last string, attempts long, bad long", "update", GroupStateTimeout.NoTimeout)
 
 

@@ -106,7 +106,7 @@ def test_lines_are_anchored_to_their_first_word(spark):
     assert {r.text: r.line for r in got} == {"a": 0, "b": 0, "c": 1, "d": 2}
 
 
-HEADERS = {"bank_reference": "Ref", "customer_reference": "Cust", "trn_type": "Type", "value_date": "Date", "credit": "In", "debit": "Out", "balance": "Bal", "time": "Time", "post_date": "Post"}
+HEADERS = layout.HEADERS
 
 
 def test_parse_statement(spark):
@@ -117,7 +117,7 @@ def test_parse_statement(spark):
     w += [("Narrative", 100, 75), ("PAID", 200, 75), ("TO", 230, 75), ("Narrative", 100, 90), ("more", 200, 90)]
     w += [("Balance", 100, 105), ("brought", 140, 105), ("forward", 180, 105), ("31", 220, 105), ("Mar", 240, 105), ("2026", 260, 105), ("950.00", 700, 105), ("Narrative", 100, 120), ("lost", 200, 120)]
     w += [("R2", 100, 135), ("30", 400, 135), ("Mar", 410, 135), ("2026", 420, 135), ("-9.00", 600, 135), ("950.00", 700, 135)]
-    statements, rows = layout.parse(words(spark, *w), HEADERS)
+    statements, rows = layout.parse(words(spark, *w))
     s, r = statements.first(), rows.orderBy("row_index").collect()
     assert (s.scope, s.currency, s.closing_balance, s.printed_openings) == ("EUR_1", "EUR", D("1000.00"), {"31 Mar 2026": D("950.00")})
     assert [(x.row_index, x.bank_reference, x.credit, x.debit, x.balance, x.narrative) for x in r] == [(0, "R1", D("50.00"), None, D("1000.00"), "PAID TO more"), (1, "R2", None, D("-9.00"), D("950.00"), "")]
@@ -167,20 +167,32 @@ def test_score(spark):
     assert {r.scope: r._samples for r in score.samples_joined(a, b).collect()}["t"] is None
 
 
-EVENT = "run string, idx long, kind string, label string, status string, body string, at double"
+EVENT = "run string, idx long, kind string, label string, status string, body string, meta map<string,string>, at double"
 
 
 def test_events(spark):
-    e = spark.createDataFrame([("r", 0, "stage", "s", None, "", 0.0), ("r", 1, "tool", "grep", None, "", 1.0), ("r", 2, "output", "stdout", None, "a\n\nb", 5.0), ("r", 3, "output", "stderr", None, "c", 5.5), ("r", 4, "exhausted", "s", None, "", 9.0)], EVENT)
+    checks = lambda *x: {"stage": "a", "checks": json.dumps([{"name": f"c{i}", "status": v} for i, v in enumerate(x)])}
+    trace = [
+        ("state", "starting", "ok", "", {"passes": "a, b"}, 0.0), ("tool", "grep", "running", "", {}, 1.0), ("stdout", "", "ok", "a\n\nb", {}, 5.0), ("stderr", "", "ok", "c", {}, 5.5), ("tool", "grep", "ok", "", {}, 9.0),
+        ("state", "attempt", "ok", "", {"stage": "a", "rows": "5"}, 12.5), ("verdict", "", "ok", "", checks("FAIL", "PASS"), 13.0), ("state", "rejected", "ok", "", {"stage": "a"}, 13.5),
+        ("state", "attempt", "ok", "", {"stage": "a"}, 14.0), ("verdict", "", "ok", "", checks("PASS", "PASS"), 15.0), ("state", "exhausted", "ok", "", {"stage": "a", "rows": "0"}, 16.0),
+    ]
+    e = spark.createDataFrame([("r", i, k, l, s_, b, m, at) for i, (k, l, s_, b, m, at) in enumerate(trace)], EVENT)
     g = {r.idx: r for r in events.gaps(e).collect()}
-    assert g[2].in_flight == "grep" and g[1].in_flight is None and g[4].elapsed == 9.0
+    assert g[2].in_flight == "grep" and g[1].in_flight is None and g[4].in_flight == "grep" and g[5].in_flight is None and g[4].elapsed == 9.0
     f = events.folded_output(e).first()
     assert (f.n_lines, f.n_errors, f.last, f.tail) == (3, 1, "c", ["a", "b", "c"])
-    assert events.failed_stage(e).first().failed_stage == "s" and events.stage_states(e).first().state == "failed"
-    d = spark.createDataFrame([("r", i, "delta", "", None, "x" * 100, 0.0) for i in range(6)], EVENT)
+    assert events.failed_stage(e).first().failed_stage == "a"
+    assert [(x.stage, x.state, x.outcomes, x.bad) for x in events.stage_states(e).orderBy("position").collect()] == [("a", "failed", ["bad", "live"], 1), ("b", "seen", [], 0)]
+    last = events.running_score(e).orderBy(F.desc("idx")).first()
+    assert (last.attempts, last.rows, last.stage, last.all_pass, last.all_fail, last.latest_pass, last.latest_fail) == (2, 5, "a", 3, 1, 2, 0)
+    assert {(x.what, x.name, x.idx) for x in events.jump_targets(e, "c1").collect()} == {("check", "c1", 9), ("stage", "a", 5)}
+    c = events.closing_card(e).first()
+    assert (c.won, c.rows, c.attempts, c.passed, c.failed, c.elapsed) == (False, 5, 2, 3, 1, 16.0)
+    assert events.closing_card(e, spark.createDataFrame([("r", True)], "run_id string, accepted boolean")).first().won
+    d = spark.createDataFrame([("r", i, "delta", "", None, "x" * 100, None, 0.0) for i in range(6)], EVENT)
     assert [len(r.body) for r in events.throttled(d).orderBy("flush").collect()] == [300, 300]
     assert events.reassembled(d, spark.createDataFrame([("r", 600)], "run string, total long")).first().complete
-    assert events.closing_card(e).first().won
 
 
 def test_runs(spark):
@@ -196,7 +208,7 @@ def test_runs(spark):
 def test_review(spark):
     f = spark.createDataFrame([("a", D("1000"), D("2"), D("5.00"), 1, "DONE", None), ("b", D("1000"), D("2"), D("6.00"), 1, "DONE", ["n"])], "id string, base decimal(20,2), rate decimal(10,4), administrator decimal(20,2), version int, human_state string, notes array<string>")
     r = review.recomputed(f)
-    assert {x.id: (x.status, x.version, x.human_state) for x in r.collect()} == {"a": ("MATCH", 2, "PENDING"), "b": ("DISCREPANCY", 2, "PENDING")}
+    assert {x.id: (x.status, x.version, x.human_state) for x in r.collect()} == {"a": ("MATCH", 2, "UNREVIEWED"), "b": ("DISCREPANCY", 2, "UNREVIEWED")}
     assert review.ready(r).first().ready is False and review.ordered(r).first().id == "b" and review.next_exception(r).first().id == "b"
     u = review.reviewed(r, spark.createDataFrame([("b", "ACCEPTED", " ok ")], "id string, state string, note string"))
     assert {x.id: (x.version, x.notes) for x in u.collect()} == {"a": (2, []), "b": (3, ["n", "ok"])} and review.ready(u).first().ready
@@ -211,8 +223,8 @@ def test_review(spark):
     assert [x.state for x in review.progress(spark.createDataFrame([(1,)], "polls int"), ["a", "b", "c"]).orderBy("k").collect()] == ["complete", "active", "pending"]
     bad = spark.createDataFrame([("m", 1.0, "d", 1, 1.5), ("m", None, "d", 1, 0.5)], "metric string, value double, document string, page int, confidence double")
     assert {x.problem for x in review.metric_problems(bad).collect()} == {"confidence is out of range", "value is missing"}
-    ev = spark.createDataFrame([("f", "base", "p", 0), ("f", "rule", "clause 3", 1), ("f", "x", "page 2", 2), ("f", "y", "", 3)], "finding_id string, role string, locator string, position int")
-    assert [x.priority for x in review.evidence_order(ev).collect()] == [2, 4, 5, 10]
+    ev = spark.createDataFrame([("f", "LPA", "p", 0), ("f", "NAV_WORKBOOK", "Fees!AF12", 1), ("f", "LPA", "Section 8.1", 2), ("f", None, None, 3)], "finding_id string, role string, locator string, position int")
+    assert [x.priority for x in review.evidence_order(ev).collect()] == [1, 4, 10, 10]
 
 
 def test_ledger(spark):
@@ -253,9 +265,10 @@ def test_readers_and_writers(spark, tmp_path):
     run = tmp_path / "runs" / "20260101-101010-A"
     run.mkdir(parents=True)
     (run / "summary.json").write_text(json.dumps({"run_id": "20260101-101010-A", "accepted": True, "rows": 3}))
-    (run / "trace.jsonl").write_text('{"kind": "tool", "at": 1.5}\n{"kind": "check", "status": "PASS", "at": 2.5}\n')
+    (run / "trace.jsonl").write_text('{"kind": "tool", "at": 1.5}\n{"kind": "verdict", "meta": {"checks": [{"name": "c", "status": "FAIL"}]}, "at": 2.5}\n')
     assert readers.runs(spark, str(tmp_path / "runs/*/summary.json")).first().rows == 3
-    assert [r.kind for r in readers.trace(spark, str(tmp_path / "runs/*/trace.jsonl")).orderBy("idx").collect()] == ["tool", "check"]
+    trace = readers.trace(spark, str(tmp_path / "runs/*/trace.jsonl"))
+    assert [(r.idx, r.kind) for r in trace.orderBy("idx").collect()] == [(0, "tool"), (1, "verdict")] and events.closing_card(trace).first().failed == 1
     rows = spark.createDataFrame([("a", 'say "x"')], "account string, narrative string")
     line = sinks.csv_lines(rows).first().value
     assert line.startswith('"a",') and line.endswith('"say ""x"""') and line.count('","') == 16
@@ -274,7 +287,7 @@ def test_readers_and_writers(spark, tmp_path):
 def test_streams(spark, tmp_path):
     run = tmp_path / "in" / "r1"
     run.mkdir(parents=True)
-    lines = [{"kind": k, "label": "s", "status": "PASS", "at": 60.0 * i} for i, k in enumerate(("attempt", "rejected", "attempt", "accepted"))]
+    lines = [{"kind": "state", "label": k, "status": "ok", "meta": {"stage": "s"}, "at": 60.0 * i} for i, k in enumerate(("attempt", "rejected", "attempt", "accepted"))]
     (run / "trace.jsonl").write_text("\n".join(map(json.dumps, lines)))
     e = stream.read(spark, str(tmp_path / "in"))
     seen = []
