@@ -99,8 +99,11 @@ def recognised(role: Column | str) -> Column:
 
 
 def label_text(code: Column | str) -> Column:
-    """A code in words: underscores become spaces, the first letter of each word is large."""
-    return F.initcap(F.lower(F.replace(F.col(code) if isinstance(code, str) else code, F.lit("_"), F.lit(" "))))
+    """A check's code in words: what a prefix with a colon says goes, underscores become spaces, and the first letter is large."""
+    c = F.col(code) if isinstance(code, str) else code
+    words = F.trim(F.replace(F.regexp_replace(c, r"^[^:]+:\s*", ""), F.lit("_"), F.lit(" ")))
+    shown = F.concat(F.upper(F.left(words, F.lit(1))), F.substr(words, F.lit(2)))
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit("Verification check"))
 
 
 def accepted_files(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:

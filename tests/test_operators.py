@@ -215,6 +215,7 @@ def test_review(spark):
     with pytest.raises(Exception, match="version"):
         review.exportable(u, 2).collect()
     assert one(spark, review.direction_text(F.col("v").cast("decimal(10,2)")), v="-2.5") == "2.50 below"
+    assert [one(spark, review.label_text(F.col("v")), v=v) for v in ("rule: fee_base_agrees", "_", "NAV")] == ["Fee base agrees", "Verification check", "NAV"]
     req = spark.createDataFrame([("lpa",), ("ledger",)], "role string")
     docs = spark.createDataFrame([("lpa", True, True)], "role string, recognised boolean, confirmed boolean")
     assert review.missing_roles(req, docs).first().role == "ledger" and review.can_start(req, docs).first().can_start is False
