@@ -674,7 +674,14 @@ def reassembled_text(spark, sf):
     return events.reassembled(e, totals).where("complete").select("run", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, coalesce(props, '') AS body FROM events),
+    s AS (SELECT run, i, body AS held, 0 AS flush, length(body) >= 250 AS full FROM d WHERE i = 1
+          UNION ALL SELECT d.run, d.i, CASE WHEN s.full THEN d.body ELSE s.held || d.body END, s.flush + CAST(s.full AS INTEGER),
+                           length(CASE WHEN s.full THEN d.body ELSE s.held || d.body END) >= 250 FROM s JOIN d ON d.run = s.run AND d.i = s.i + 1),
+    l AS (SELECT run, max(i) AS i FROM d GROUP BY run)
+    SELECT s.run, CAST(flush AS INTEGER) AS flush, held AS body FROM s JOIN l ON s.run = l.run WHERE s.full OR (s.i = l.i AND held <> '')"""
+)
 def throttled_text(spark, sf):
     return events.throttled(run_events(spark, sf))
 

@@ -6,8 +6,12 @@ opening event, ``passes``), ``tool``, ``stdout``, ``stderr``, and ``verdict`` (`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GAP, REPLAY, SLOWEST = 3.0, 0.35, 1.2
 OUTPUT = ("stdout", "stderr")
@@ -77,17 +81,39 @@ def folded_output(events: DataFrame, kinds: tuple[str, ...] = OUTPUT, shown: int
 
 
 def throttled(deltas: DataFrame, size: int = 250) -> DataFrame:
-    """Text deltas regrouped as they are flushed: when ``size`` characters have gathered, and at the end.  One fold per run."""
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, d: Column) -> Column:
-        text = F.concat(acc["held"], d["body"])
-        full = F.length(text) >= size
-        return F.struct(F.when(full, "").otherwise(text).alias("held"), F.when(full, F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"))
+    """Text deltas regrouped as they are flushed: when ``size`` characters have gathered, and at the end: ``run, flush, body``.
 
-    done = lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
-    gathered = deltas.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("body", F.lit("")).alias("body")))).alias("d"))
-    return gathered.select("run", F.posexplode(F.aggregate("d", start, step, done)).alias("flush", "body"))
+    What is flushed depends on all before it, so a run is read in order by one task, which streams its sorted events and holds only the text not
+    yet flushed.  Null bodies are empty; a null run is a run of its own; a run without text has no row.
+    """
+    schema = T.StructType([deltas.schema["run"], T.StructField("flush", T.IntegerType()), T.StructField("body", T.StringType())])
+
+    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held, length, n, begun, kind = None, [], 0, 0, False, None
+        for batch in batches:
+            kind, out = batch.schema.field("run").type, []
+            for r, body in zip(batch.column("run").to_pylist(), batch.column("body").to_pylist()):
+                if not begun or r != run:
+                    if held:
+                        out.append((run, n, "".join(held)))
+                    run, held, length, n, begun = r, [], 0, 0, True
+                if body:
+                    held.append(body)
+                    length += len(body)
+                if length >= size:
+                    out.append((run, n, "".join(held)))
+                    held, length, n = [], 0, n + 1
+            yield _flushed(out, kind)
+        if held:
+            yield _flushed([(run, n, "".join(held))], kind)
+
+    ordered = deltas.select("run", "idx", "body").repartition("run").sortWithinPartitions("run", "idx", "body")
+    return ordered.select("run", "body").mapInArrow(flush, schema)
+
+
+def _flushed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    run, n, body = zip(*rows) if rows else ((), (), ())
+    return pa.record_batch([pa.array(run, kind), pa.array(n, pa.int32()), pa.array(body, pa.string())], names=["run", "flush", "body"])
 
 
 def reassembled(deltas: DataFrame, totals: DataFrame) -> DataFrame:

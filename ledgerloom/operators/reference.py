@@ -118,14 +118,17 @@ def resemblance(left: Column, right: Column, weights: dict[str, float], unseen:
 def close_matches(rows: DataFrame, column: str, table: DataFrame, list_column: str, limit: int = 5, cutoff: float = 0.6, block: int = 2_000) -> DataFrame:
     """Entries nearest in spelling (matching blocks ratio over folded forms): ``value, rank, matched_name, ratio``.
 
-    A stated query set (the distinct values) meets the list in blocks of ``block`` entries; each task keeps its ``limit`` best per value.
+    A stated query set (the distinct values) meets the list in blocks: a task holds about ``block`` values and ``block`` entries, whatever
+    their number, and keeps its ``limit`` best per value.
     """
     lists = table.select(normalise(list_column).alias("entry")).where("entry <> ''").distinct()
     folded = lists.withColumn("f", fold("entry")).groupBy("f").agg(F.max("entry").alias("entry"))
-    n = folded.count()
-    parts = max(1, -(-n // block))
-    blocks = folded.withColumn("part", F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int"))
-    asked = rows.select(F.col(column).alias("value")).distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = rows.select(F.col(column).alias("value")).distinct()
+    parts, shares = (max(1, -(-df.count() // block)) for df in (folded, asked))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = folded.withColumn("part", dealt("f", parts)).withColumn("share", every(shares))
+    asked = asked.withColumn("share", dealt("value", shares)).withColumn("part", every(parts))
 
     def best(values: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
         pool = dict(zip(entries_["f"], entries_["entry"]))
@@ -141,7 +144,7 @@ def close_matches(rows: DataFrame, column: str, table: DataFrame, list_column: s
             out += [(value, entry, ratio, f) for ratio, f, entry in sorted(scored, reverse=True)[:limit]]
         return pd.DataFrame(out, columns=["value", "matched_name", "ratio", "f"])
 
-    found = asked.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(best, "value string, matched_name string, ratio double, f string")
+    found = asked.groupBy("share", "part").cogroup(blocks.groupBy("share", "part")).applyInPandas(best, "value string, matched_name string, ratio double, f string")
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("ratio"), F.desc("f")))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("value", "rank", "matched_name", "ratio")
 
