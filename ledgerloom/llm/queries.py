@@ -13,7 +13,7 @@ from ledgerloom.llm.html_text import main_text
 from ledgerloom.llm.lm_scoring import score
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pieces import encode
-from ledgerloom.llm.quality import judge
+from ledgerloom.llm.quality import BOILERPLATE, EVERYDAY, judge
 from ledgerloom.llm.sharding import ShardStore
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeats
@@ -139,11 +139,16 @@ ORACLE: dict[str, str] = {
                      length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
                      len(regexp_extract_all(line, '[!?]{2,}')) AS bangs,
                      len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x IN ('|', '>', '»', '·', '/'))) AS marks,
-                     length(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS letters,
-                     regexp_matches(lower(line), '(^|[^\p{L}\p{N}])(all rights reserved|click here|cookies|follow us|javascript|log in|lorem ipsum|privacy policy|read more|share this|sign in|sign up|subscribe|terms of service|terms of use)([^\p{L}\p{N}]|$)') AS phrase
-              FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+                     length(regexp_replace(line, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) AS odd,
+                     length(regexp_replace(line, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+', '', 'g')) AS wide,
+                     regexp_matches(lower(line), '(^|[^\p{L}\p{M}\p{N}])(@FURNITURE)([^\p{L}\p{M}\p{N}]|$)') AS furniture,
+                     lower(line) <> once AS everyday,
+                     length(regexp_replace(regexp_replace(once, '(^|[^\p{L}\p{M}\p{N}])(@EVERYDAY)([^\p{L}\p{M}\p{N}]|$)', '\1\3', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS rest
+              FROM (SELECT *, regexp_replace(lower(line), '(^|[^\p{L}\p{M}\p{N}])(@EVERYDAY)([^\p{L}\p{M}\p{N}]|$)', '\1\3', 'g') AS once
+                    FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d))),
         b AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
-                     coalesce(sum(chars) FILTER (2 * symbols > n OR 10 * bangs > 3 * n OR (marks >= 3 AND 5 * marks >= n) OR (phrase AND n < 20) OR (n >= 8 AND 2 * letters < chars)), 0) AS lost
+                     coalesce(sum(chars) FILTER ((2 * symbols > n AND 2 * symbols > wide) OR (10 * bangs > 3 * n AND 10 * bangs > 3 * wide) OR (marks >= 3 AND 5 * marks >= n)
+                         OR (n < 20 AND wide < 20 AND (furniture OR (everyday AND 2 * rest < chars))) OR (n >= 8 AND 2 * (chars - odd) < chars)), 0) AS lost
               FROM l WHERE n > 0 GROUP BY r),
         x AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
                      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(b.dup, 0) AS n_dup_lines,
@@ -153,7 +158,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT base_failed AND 100 * lost <= 50 * word_chars AS kept
-        FROM y""",
+        FROM y""".replace("@FURNITURE", "|".join(BOILERPLATE)).replace("@EVERYDAY", "|".join(EVERYDAY)),
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

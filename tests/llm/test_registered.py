@@ -6,15 +6,17 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import queries
+from ledgerloom.llm import quality, queries
 from tests.llm.fixtures import lower, words
 from tests.llm.test_dedup import alike, fingerprint, normal, shingles
 from tests.llm.test_dedup import removed as brute_removed
+from tests.llm.test_text import SCRIPTS
 from tests.llm.test_web import plain_texts
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +33,22 @@ def test_query_equals_sql(spark, name):
     assert Counter(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == Counter(map(repr, cur.fetchall()))
 
 
+def test_quality_verdicts_equal_sql_in_other_scripts_and_furniture(spark):
+    lines = list(SCRIPTS.values()) + ["We use cookies to improve your visit.", "Please enable JavaScript.", "Read more »", "Sign in sign up log in", "Sign in | Sign up", "Cookies", "Bake the cookies.", "好!! 好!! 好!!"]
+    lines += ["产量###***$$$ 增长%%%&&&|||<<<", "a#b c#d e", "well!! now!! then", "Log in hand, he walked.", "LOG IN\tto read", "sign  in", "x | y | z > w"]
+    prose = "this line of plain words is here to carry the text over twenty words and it says nothing else at all today"
+    rows = [(i, f"{line}\n{prose[: n]}") for i, (line, n) in enumerate((line, n) for line in lines for n in (0, 20, 200))]
+    rows += [(1000 + i, "\n".join([line + " " + str(k) for k in range(25)])) for i, line in enumerate(lines)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0]: (r[1], r[2]) for r in quality.judge(docs).select("row.doc_id", "q_kept", "q_lost_chars").collect()}
+    con = duckdb.connect()
+    documents = pandas.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    sql = queries.ORACLE["op3_quality_rules"]
+    lost = dict(con.execute(sql[: sql.rindex("SELECT doc_id")] + "SELECT doc_id, lost FROM y").fetchall())
+    verdict = {r[0]: r[-1] for r in con.execute(sql).fetchall()}
+    assert {i: (verdict[i], lost[i]) for i in verdict} == kept and len({n for _, n in kept.values()}) > 3
+
+
 def test_names():
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == [f"op{i}" for i in range(1, 11)]
 
