@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._storage import new_path
 from ledgerloom.llm.exact_dedup import exact_duplicates
+from ledgerloom.llm.fill_middle import fill_in_middle, restored
 from ledgerloom.llm.html_text import main_text
+from ledgerloom.llm.importance import importance_scores
+from ledgerloom.llm.licenses import joined, license_scan
 from ledgerloom.llm.lm_scoring import score
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pieces import encode
@@ -103,6 +106,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of a tenth that looks like ``benchmark``."""
+    scored = importance_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in the middle, as digests of the output and of the text rebuilt from it."""
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and expressions of every document, and how much they restrict reuse."""
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    labels = joined(F.col("base_labels")).alias("base_labels"), joined(F.col("labels")).alias("labels")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *labels, "score", F.size("expressions").cast("bigint").alias("n_expressions"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -114,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_license_scans": op13_license_scans,
 }
 
 ORACLE: dict[str, str] = {
@@ -164,4 +190,30 @@ ORACLE: dict[str, str] = {
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t""",
     "op6_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op11_importance_resampling": r"""
+        WITH w AS (SELECT 0 AS side, doc_id, row_number() OVER () AS r, @WORDS AS w FROM documents UNION ALL SELECT 1, NULL, NULL, @WORDS FROM benchmark),
+        f AS (SELECT side, r, unnest(w) AS word FROM w),
+        v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM f)),
+        b AS (SELECT word, xor(list_reduce(list_transform(range(0, length(x) // 2 + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT) END),
+                  lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, k: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)), 4294967295) % 10000 AS bucket FROM v),
+        c AS (SELECT bucket, count_if(side = 0) AS s, count_if(side = 1) AS t FROM f JOIN b USING (word) GROUP BY bucket),
+        a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+        g AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS gain FROM c, a),
+        m AS (SELECT r, floor(sum(gain) / count(*)) AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+        d AS (SELECT w.r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                     CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) AS h FROM w LEFT JOIN m ON w.r = m.r WHERE side = 0),
+        e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+        k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM e WHERE n_features >= 20),
+        n AS (SELECT 10 * count(*) // 100 AS take FROM k)
+        SELECT doc_id, n_features, weight, score, CASE WHEN k <= (SELECT take FROM n) THEN k END AS rank FROM e LEFT JOIN k ON e.r = k.r""".replace(
+        "@WORDS", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    ),
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS x FROM documents),
+        h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS b, CAST('0x' || x[25:32] AS BIGINT) % 100 AS f FROM d),
+        p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN f < 50 THEN 'spm' ELSE 'psm' END AS form,
+                     array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM h)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
