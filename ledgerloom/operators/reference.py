@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _compact, _folded, compact, fold, normalise, trim_to, variants, words
+from ledgerloom.functions.text import _compacted, _folded, compact, fold, normalise, trim_to, variants, words
 
 Pools = list[tuple[str, str]]
 
@@ -155,7 +155,7 @@ def _span(narrative: str | None, name: str | None) -> str:
     Folding is per character but for combining marks, so the slice grows with a cursor over the target instead of being folded anew.
     """
     text = " ".join((narrative or "").split())
-    target = _compact(pd.Series([name]))[0]
+    target = _compacted(name)
     if not text or not target:
         return ""
     keys = ["".join(c for c in _folded(ch) if c.isalnum()) for ch in text]

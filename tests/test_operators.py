@@ -4,6 +4,7 @@ import json
 import unicodedata
 from decimal import Decimal as D
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -300,3 +301,17 @@ def test_streams(spark, tmp_path):
     q = stream.stage_states(e).writeStream.format("memory").queryName("s").outputMode("update").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert tuple(spark.table("s").first()) == ("r1", "s", "done", 2, 1)
+
+
+def test_folding_equals_the_rules_on_every_code_point_without_python(spark):
+    points = spark.createDataFrame(pd.DataFrame({"c": list(X._points())})).repartition(8)
+    made = points.select("c", X.fold(F.concat(F.lit("x"), "c", F.lit("Y"))).alias("f"), X.casefold("c").alias("k"), X.compact("c").alias("a"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString() and "Arrow" not in made._jdf.queryExecution().executedPlan().toString()
+    bad = [r.c for r in made.toLocalIterator() if (r.f, r.k, r.a) != (X._folded(f"x{r.c}Y"), r.c.casefold(), X._compacted(r.c))]
+    assert not bad and made.count() == 0x110000 - 2048
+
+
+@pytest.mark.parametrize("value", ["Ａǆ ﬃ ŉ", "한국어 텍스트", "ﷺ x ¼½", "ÅÄÖ ß ẞ", "ȩ́ İ ı", "𝔘𝔫𝔦 \u0000 a", "…™ №"])
+def test_folding_of_words_that_become_longer(spark, value):
+    assert one(spark, X.fold("v"), v=value) == X._folded(value) and one(spark, X.casefold("v"), v=value) == value.casefold() and one(spark, X.compact("v"), v=value) == X._compacted(value)
+    assert spark.range(1).select(X.fold(F.lit(None).cast("string")).alias("a"), X.casefold(F.lit(None).cast("string")).alias("b")).first() == ("", None)
