@@ -6,7 +6,6 @@ Lists are reference data, smaller than the rows; whether one is broadcast is lef
 
 from __future__ import annotations
 
-import difflib
 import math
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import _compacted, _folded, compact, fold, normalise, trim_to, variants, words
+from ledgerloom.operators.spelling import Entries, nearest
 
 Pools = list[tuple[str, str]]
 
@@ -79,29 +79,72 @@ def entry_words(all_: DataFrame) -> DataFrame:
 
 def word_weights(all_: DataFrame) -> DataFrame:
     """``word, df, n, weight``: the rarer among the entries, the heavier."""
-    n = all_.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    df = entry_words(all_).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("n", F.lit(n)).withColumn("weight", F.log((F.col("n") + 1) / (F.col("df") + 1)))
+    df = entry_words(all_).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("n", _size(all_))
+    return df.withColumn("weight", F.log((F.col("n") + 1) / (F.col("df") + 1)))
+
+
+def _size(all_: DataFrame) -> Column:
+    return all_.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def _summed(words_: Column) -> Column:
+    return F.aggregate(words_, F.lit(0.0), lambda a, x: a + x["weight"])
+
+
+def _ordered(words_: DataFrame, owner: list[str]) -> DataFrame:
+    """Weighted words of each owner, heaviest first, with their total; the order is the same for all owners, as a word has one weight."""
+    gathered = words_.where("weight > 0").groupBy(*owner).agg(F.sort_array(F.collect_list(F.struct("weight", "word")), asc=False).alias("ws"))
+    return gathered.withColumn("total", _summed(F.col("ws")))
+
+
+def _postings(owned: DataFrame) -> DataFrame:
+    """A row for each word: its position ``p`` and ``tail``, the weight from it on.  Owners whose first common word it is share that much at most."""
+    rows = owned.select("*", F.posexplode("ws").alias("p", "x")).select("*", F.col("x.word").alias("word")).drop("x")
+    return rows.withColumn("tail", _summed(F.slice("ws", F.col("p") + 1, F.size("ws"))))
+
+
+def candidate_pairs(rows: DataFrame, column: str, pools: Pools, tables: dict[str, DataFrame], limit: int = 5) -> DataFrame:
+    """Pairs of a distinct value and an entry that the search has to score: ``value, pool, table, column, entry, raw``.
+
+    The score is what both share by the heavier total.  First every value meets at most ``2 * limit`` entries per word, the shortest and the first ones; its
+    ``limit``-th best of these is a floor.  Then words are taken heaviest first, and a word joins value and entry only where they can still reach that
+    floor: if it is the first that both have, they share no more than the lesser of what either has from it on.  So a word of half of the entries is
+    joined on by those values only whose first ``limit`` ranks it can change, and each pair forms once, at its first common word.
+    """
+    all_ = entries(pools, tables)
+    known = word_weights(all_).select("word", "weight")
+    unseen = F.log(_size(all_) + F.lit(1.0))
+    entry = ["pool", "table", "column", "entry"]
+    theirs = _postings(_ordered(entry_words(all_).join(known, "word"), entry))
+    asked = rows.select(F.col(column).alias("value")).distinct().select("value", F.explode(words(fold("value"))).alias("word"))
+    mine = _postings(_ordered(asked.join(known, "word", "left").withColumn("weight", F.coalesce("weight", unseen)), ["value"]))
+    mine = mine.select("value", "word", F.col("ws").alias("mine_ws"), F.col("total").alias("mine"), F.col("p").alias("mine_p"), F.col("tail").alias("mine_tail"))
+
+    names = lambda ws: F.transform(ws, lambda x: x["word"])
+    fresh = ~F.arrays_overlap(F.slice(names(F.col("mine_ws")), F.lit(1), F.col("mine_p")), names(F.col("ws")))
+    shared = _summed(F.filter("mine_ws", lambda x: F.array_contains(names(F.col("ws")), x["word"])))
+    raw = (shared / F.greatest("mine", "total")).alias("raw")
+
+    first = lambda *order: theirs.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("k") <= limit).drop("k")
+    few = first("total", "pool", "entry").unionAll(first("pool", "entry")).dropDuplicates(["word", "pool", "entry"])
+    seeds = mine.join(few, "word").where(fresh).select("value", "pool", "entry", F.bround(raw, 3).alias("score"))
+    best = Window.partitionBy("value").orderBy(F.desc("score"), "pool", "entry")
+    floor = seeds.withColumn("k", F.row_number().over(best)).where(F.col("k") <= limit).where(F.col("k") == limit)
+    floor = floor.select("value", F.col("score").alias("floor"), F.struct("pool", "entry").alias("floor_place"))
+
+    reach = lambda bound: F.coalesce(F.bround(bound + F.lit(1e-9), 3) >= F.col("floor"), F.lit(True))
+    able = mine.join(floor, "value", "left").where(reach(F.col("mine_tail") / F.col("mine"))).select(F.col("word").alias("w"), "value", "mine_ws", "mine", "mine_p", "mine_tail", "floor", "floor_place")
+    bound = F.bround(F.least("mine_tail", "tail") / F.greatest("mine", "total") + F.lit(1e-9), 3)
+    still = F.col("floor").isNull() | (bound > F.col("floor")) | ((bound == F.col("floor")) & (F.struct("pool", "entry") <= F.col("floor_place")))
+    return able.join(theirs, (F.col("w") == F.col("word")) & still).where(fresh).select("value", *entry, raw)
 
 
 def candidates(rows: DataFrame, column: str, pools: Pools, tables: dict[str, DataFrame], limit: int = 5) -> DataFrame:
     """Entries that share identifying words with each distinct value: ``value, rank, matched_name, table, column, score``.
 
-    The score is the lesser of the weight shares of the common words on both sides.  Only pairs with a common word meet, through the
-    word; words that weigh nothing identify nothing and are not joined on.
+    The score is the lesser of the weight shares of the common words on both sides; words that weigh nothing identify nothing.
     """
-    all_ = entries(pools, tables).withColumn("e", F.xxhash64("pool", "entry"))
-    n = all_.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    known = word_weights(all_).select("word", "weight")
-    unseen = F.lit(math.log(n + 1) if n else 1.0)
-    weighted = entry_words(all_).join(known, "word")
-    size = weighted.groupBy("e").agg(F.sum("weight").alias("theirs"))
-    mine = rows.select(F.col(column).alias("value")).distinct().select("value", F.explode(words(fold(normalise("value")))).alias("word")).join(known, "word", "left").withColumn("weight", F.coalesce("weight", unseen))
-    total = mine.groupBy("value").agg(F.sum("weight").alias("mine"))
-    common = mine.where("weight > 0").select("value", "word", F.col("weight").alias("w")).join(weighted.select("e", "word"), "word").groupBy("value", "e").agg(F.sum("w").alias("shared"))
-    share = lambda c: F.col("shared") / F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
-    scored = common.join(total, "value").join(size, "e").withColumn("raw", F.least(share("mine"), share("theirs"))).where("raw > 0")
-    scored = scored.join(all_, "e").withColumn("score", F.bround("raw", 3))
+    scored = candidate_pairs(rows, column, pools, tables, limit).withColumn("score", F.bround("raw", 3))
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "pool", "entry"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("value", "rank", F.col("entry").alias("matched_name"), "table", "column", "score")
 
@@ -115,36 +158,39 @@ def resemblance(left: Column, right: Column, weights: dict[str, float], unseen:
     return F.when(F.size(mine) == 0, 0.0).otherwise(weigh(F.array_intersect(mine, words(fold(right)))) / F.when(total == 0, 1.0).otherwise(total))
 
 
-def close_matches(rows: DataFrame, column: str, table: DataFrame, list_column: str, limit: int = 5, cutoff: float = 0.6, block: int = 2_000) -> DataFrame:
+#: Length bands to the factor by which the lengths of two strings may differ at most.
+BANDS = 4
+
+
+def close_matches(rows: DataFrame, column: str, table: DataFrame, list_column: str, limit: int = 5, cutoff: float = 0.6, block: int = 4_000) -> DataFrame:
     """Entries nearest in spelling (matching blocks ratio over folded forms): ``value, rank, matched_name, ratio``.
 
-    A stated query set (the distinct values) meets the list in blocks: a task holds about ``block`` values and ``block`` entries, whatever
-    their number, and keeps its ``limit`` best per value.
+    A stated query set, the distinct values, meets the list by length: lengths that differ too much cannot reach the cutoff, so a value goes to the bands
+    of lengths that can.  A task holds ``block`` values and ``block`` entries of a band at most (bands of more are dealt into shares), bounds the ratios from
+    above by letter counts and common subsequences, and scores what can still be among a value's ``limit`` best.  How many shares a band has is counted
+    in the plan; nothing runs on the driver.
     """
-    lists = table.select(normalise(list_column).alias("entry")).where("entry <> ''").distinct()
-    folded = lists.withColumn("f", fold("entry")).groupBy("f").agg(F.max("entry").alias("entry"))
-    asked = rows.select(F.col(column).alias("value")).distinct()
-    parts, shares = (max(1, -(-df.count() // block)) for df in (folded, asked))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = folded.withColumn("part", dealt("f", parts)).withColumn("share", every(shares))
-    asked = asked.withColumn("share", dealt("value", shares)).withColumn("part", every(parts))
+    factor = (2 - cutoff) / cutoff
+    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * F.lit(BANDS / math.log(factor)) + F.lit(1e-9)).cast("int")
+    folded = table.select(normalise(list_column).alias("entry")).where("entry <> ''").distinct().withColumn("f", fold("entry")).groupBy("f").agg(F.max("entry").alias("entry"))
+    folded = folded.withColumn("band", band(F.length("f").cast("double")))
+    asked = rows.select(F.col(column).alias("value")).distinct().withColumn("g", fold("value")).withColumn("n", F.length("g").cast("double"))
+    asked = asked.withColumn("band", F.explode(F.sequence(F.greatest(band(F.col("n") / factor) - 1, F.lit(0)), band(F.col("n") * factor) + 1)))
+    sizes = lambda df, name: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    shares = sizes(folded, "shares").join(sizes(asked, "parts"), "band")  # a row per band of lengths
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = folded.join(shares, "band").withColumn("share", dealt("f", "shares")).withColumn("part", every("parts")).select("band", "share", "part", "f", "entry")
+    asked = asked.join(shares, "band").withColumn("part", dealt("value", "parts")).withColumn("share", every("shares")).select("band", "share", "part", "value", "g")
 
     def best(values: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
-        pool = dict(zip(entries_["f"], entries_["entry"]))
-        out = []
-        for value in values["value"]:
-            matcher = difflib.SequenceMatcher()
-            matcher.set_seq2(_folded(value))
-            scored = []
-            for f, entry in pool.items():
-                matcher.set_seq1(f)
-                if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (ratio := matcher.ratio()) >= cutoff:
-                    scored.append((ratio, f, entry))
-            out += [(value, entry, ratio, f) for ratio, f, entry in sorted(scored, reverse=True)[:limit]]
+        names = dict(zip(entries_["f"], entries_["entry"]))
+        pool = Entries(list(names))
+        out = [(value, names[f], ratio, f) for value, g in zip(values["value"], values["g"]) for ratio, f in nearest(g, pool, limit, cutoff)[0]]
         return pd.DataFrame(out, columns=["value", "matched_name", "ratio", "f"])
 
-    found = asked.groupBy("share", "part").cogroup(blocks.groupBy("share", "part")).applyInPandas(best, "value string, matched_name string, ratio double, f string")
+    at = ("band", "share", "part")
+    found = asked.groupBy(*at).cogroup(blocks.groupBy(*at)).applyInPandas(best, "value string, matched_name string, ratio double, f string")
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("ratio"), F.desc("f")))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("value", "rank", "matched_name", "ratio")
 
