@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from ledgerloom.catalog import ORACLE, QUERIES
+from ledgerloom.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels conversations"
