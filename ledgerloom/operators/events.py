@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.text import let
+
 GAP, REPLAY, SLOWEST = 3.0, 0.35, 1.2
 OUTPUT = ("stdout", "stderr")
 CHECKS = "array<struct<name:string,status:string>>"
@@ -37,8 +39,13 @@ def checks() -> Column:
     return F.when(F.col("kind") == "verdict", F.coalesce(F.from_json(told("checks"), CHECKS), none)).otherwise(none)
 
 
-def _with(status: str) -> Column:
-    return F.size(F.filter(checks(), lambda c: c["status"] == status))
+STATUSES = ("pass", "fail", "unresolved")
+
+
+def check_counts() -> Column:
+    """How many checks of an event passed, failed, or are unresolved; the text is parsed once."""
+    count = lambda found, s: F.size(F.filter(found, lambda c: c["status"] == s.upper())).cast("bigint").alias(s)
+    return let(checks(), lambda found: F.struct(*[count(found, s) for s in STATUSES]))
 
 
 def _is(*labels: str) -> Column:
@@ -132,12 +139,14 @@ def running_score(events: DataFrame) -> DataFrame:
     w = _order().rowsBetween(Window.unboundedPreceding, 0)
     state = F.col("kind") == "state"
     last = lambda c: F.last(F.when(state, c), ignorenulls=True).over(w)
-    e = events.withColumn("attempts", F.count_if(_is("attempt")).over(w)).withColumn("rows", last(F.nullif(told("rows").try_cast("bigint"), F.lit(0)))).withColumn("stage", last(told("stage")))
+    e = events.withColumn("said", check_counts())
+    e = e.withColumn("attempts", F.count_if(_is("attempt")).over(w)).withColumn("rows", last(F.nullif(told("rows").try_cast("bigint"), F.lit(0)))).withColumn("stage", last(told("stage")))
     # What a verdict adds to the latest ones: its checks less those of the verdict before it on the same stage.
     before = Window.partitionBy("run", F.col("kind") == "verdict", F.coalesce(told("stage"), F.col("stage"))).orderBy("idx")
-    for s in ("PASS", "FAIL", "UNRESOLVED"):
-        e = e.withColumn(f"all_{s.lower()}", F.sum(_with(s)).over(w)).withColumn(f"latest_{s.lower()}", _with(s) - F.coalesce(F.lag(_with(s)).over(before), F.lit(0)))
-    return e.withColumns({f"latest_{s}": F.sum(f"latest_{s}").over(w) for s in ("pass", "fail", "unresolved")})
+    for s in STATUSES:
+        n = F.col(f"said.{s}")
+        e = e.withColumn(f"all_{s}", F.sum(n).over(w)).withColumn(f"latest_{s}", n - F.coalesce(F.lag(n).over(before), F.lit(0)))
+    return e.withColumns({f"latest_{s}": F.sum(f"latest_{s}").over(w) for s in STATUSES}).drop("said")
 
 
 def stage_states(events: DataFrame) -> DataFrame:
@@ -166,9 +175,9 @@ def stage_states(events: DataFrame) -> DataFrame:
 def closing_card(events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """One row per run: won, elapsed, events, rows, attempts and checks by status.  A recorded verdict counts; without one, no failed check."""
     rows = F.nullif(told("rows").try_cast("bigint"), F.lit(0))
-    card = events.groupBy("run").agg(
+    card = events.withColumn("said", check_counts()).groupBy("run").agg(
         F.count(F.lit(1)).alias("events"), (F.max_by("at", "idx") - F.min_by("at", "idx")).alias("elapsed"), F.max_by(rows, F.when((F.col("kind") == "state") & rows.isNotNull(), F.col("idx"))).alias("rows"),
-        F.count_if(_is("attempt")).alias("attempts"), F.sum(_with("PASS")).alias("passed"), F.sum(_with("FAIL")).alias("failed"), F.sum(_with("UNRESOLVED")).alias("unresolved"),
+        F.count_if(_is("attempt")).alias("attempts"), F.sum("said.pass").alias("passed"), F.sum("said.fail").alias("failed"), F.sum("said.unresolved").alias("unresolved"),
     )
     clean = F.col("failed") == 0
     if summaries is None:

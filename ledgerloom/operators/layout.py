@@ -69,12 +69,14 @@ def column_positions(lined: DataFrame, headers: dict[str, str]) -> DataFrame:
 
 
 def cells(lined: DataFrame, page_bands: DataFrame) -> DataFrame:
-    """Text of each line in each band, by left edges (half open): ``doc, page, line, name, value``."""
-    w, b = lined.alias("w"), page_bands.alias("b")
-    inside = (F.col("w.doc") == F.col("b.doc")) & (F.col("w.page") == F.col("b.page")) & (F.col("w.x0") >= F.col("b.lo")) & (F.col("w.x0") < F.col("b.hi"))
-    hit = w.join(b, inside).select("w.doc", "w.page", "w.line", "b.name", "b.k", "w.x0", "w.text", "w.top")
-    first = Window.partitionBy("doc", "page", "line", "x0", "top", "text").orderBy("k")
-    return hit.withColumn("r", F.row_number().over(first)).where("r = 1").groupBy("doc", "page", "line", "name").agg(_joined().alias("value"))
+    """Text of each line in each band, by left edges (half open): ``doc, page, line, name, value``.
+
+    A page's bands, as many as its columns, come to its words as one array; of several that hold a word the first counts.
+    """
+    of_page = page_bands.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi", "name"))).alias("bands"))
+    hit = F.get(F.filter("bands", lambda b: (F.col("x0") >= b["lo"]) & (F.col("x0") < b["hi"])), F.lit(0))
+    found = lined.join(of_page, ["doc", "page"]).withColumn("name", hit["name"]).where("name IS NOT NULL")
+    return found.groupBy("doc", "page", "line", "name").agg(_joined().alias("value"))
 
 
 def between(lined: DataFrame, lo: float, hi: float) -> DataFrame:

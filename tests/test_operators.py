@@ -289,7 +289,7 @@ def test_readers_and_writers(spark, tmp_path):
 def test_streams(spark, tmp_path):
     run = tmp_path / "in" / "r1"
     run.mkdir(parents=True)
-    lines = [{"kind": "state", "label": k, "status": "ok", "meta": {"stage": "s"}, "at": 60.0 * i} for i, k in enumerate(("attempt", "rejected", "attempt", "accepted"))]
+    lines = [{"kind": "state", "label": k, "status": "ok", "meta": {"stage": "s"}, "at": 60.0 + 60.0 * i} for i, k in enumerate(("attempt", "rejected", "attempt", "accepted"))]
     (run / "trace.jsonl").write_text("\n".join(map(json.dumps, lines)))
     e = stream.read(spark, str(tmp_path / "in"))
     seen = []
@@ -298,9 +298,10 @@ def test_streams(spark, tmp_path):
     q = stream.windowed(e).writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == 4
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STORE)
     q = stream.stage_states(e).writeStream.format("memory").queryName("s").outputMode("update").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert tuple(spark.table("s").first()) == ("r1", "s", "done", 2, 1)
+    assert tuple(spark.table("s").first()) == ("r1", "s", "done", 2, 1, False)
 
 
 def test_folding_equals_the_rules_on_every_code_point_without_python(spark):
