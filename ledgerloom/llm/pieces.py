@@ -8,8 +8,8 @@ substring are edges of the *piece lattice*; a character that no piece covers is
   exact heuristic, so complete hypotheses leave the agenda in order of score.
 
 No piece holds ``▁`` after another character (checked when a model is loaded), so a text falls into chunks that can be segmented on their own.
-Viterbi runs over all distinct chunks of a batch at once; it also yields the gap to a chunk's second-best segmentation.  The N best
-segmentations of a text differ from its best in chunks among the ``N - 1`` smallest gaps, so A-star runs for those chunks only, and
+Viterbi runs over all distinct chunks of a batch at once; it also yields the gap to a chunk's second-best segmentation.  Where that is nothing, A-star's
+first segmentation counts as the best, so that ties fall the same way everywhere.  The N best segmentations of a text differ from its best in chunks among the ``N - 1`` smallest gaps, so A-star runs for those chunks only, and
 their alternatives are merged into the text's N best.
 
 Scores: a unigram model's own; the scores of a BPE model are merge ranks, no probabilities, so pieces get Zipf's ``-log(rank + 1)``, in
@@ -38,6 +38,8 @@ from ledgerloom.llm._storage import bounded_batches
 from ledgerloom.llm._words import slices, text_bytes
 
 NBEST, CACHED, WIDE = 4, 400_000, 64
+#: Scores that differ by less are equal; sums of a unigram model's scores depend on their order.
+TIE = 1e-9
 SPACE = "▁"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[str, "Model"] = {}
@@ -54,8 +56,12 @@ class Model:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).normalizer_spec
+        if spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
+            raise ValueError("the model normalises texts in another way: only an identity with a space in front and all spaces kept is supported")
         size = sp.vocab_size()
         names = [sp.id_to_piece(i) for i in range(size)]
         raw = [sp.get_score(i) for i in range(size)]
@@ -157,7 +163,7 @@ class Model:
         missing = [i for i, x in enumerate(out) if x is None]
         short = [i for i in missing if len(chunks[i]) <= WIDE]
         for i, found in zip(short, self._viterbi([chunks[i].replace(" ", SPACE) for i in short])):
-            out[i] = found
+            out[i] = found if found[2] > TIE else (self.nbest(chunks[i].replace(" ", SPACE), NBEST)[0][1], *found[1:])
         for i in missing:
             if out[i] is None:
                 two = self.nbest(chunks[i].replace(" ", SPACE), 2)

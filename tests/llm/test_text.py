@@ -250,6 +250,38 @@ def test_nbest_is_the_best_of_all(text):
     assert m.decode(np.frombuffer(ids, "<u4").tolist()).decode() == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("$%&=-ab"), min_size=1, max_size=14), min_size=1, max_size=3))
+def test_nbest_with_ties(words_):
+    m, text = pieces.model(PIECES), " ".join(words_)[:16]
+    (ids, scores, lists), _ = pieces.encode_column(pa.array([text, None]), m, 4)
+    every = all_segmentations(m, text)
+    assert scores == [s for s, _ in every[:4]] and len({*lists}) == len(lists) and lists[0] == ids
+    assert all((s, tuple(np.frombuffer(x, "<u4").tolist())) in set(every) for s, x in zip(scores, lists))
+
+
+def test_ties_fall_the_same_way_everywhere():
+    m = pieces.model(PIECES)
+    (once, *_), (often, *_) = pieces.encode_column(pa.array(["And&&&", " ".join(["And&&&"] * 9)]), m, 4)
+    assert often == once * 9
+
+
+def test_no_list_of_best_segmentations_repeats_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pieces.encode(docs, PIECES, with_ids=True).collect()
+    assert len(got) == 1000 and all(len({tuple(x) for x in r.nbest_ids}) == len(r.nbest_ids) and r.nbest_ids[0] == r.ids for r in got)
+
+
+def test_a_model_that_normalises_is_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(PIECES, "rb").read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.model(str(tmp_path / "m.model"))
+
+
 def test_pieces_round_trip(spark):
     rows = [(i, t) for i, t in texts() if "▁" not in (t or "")]
     got = pieces.encode(frame(spark, rows), PIECES, with_ids=True)
