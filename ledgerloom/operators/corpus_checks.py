@@ -10,22 +10,29 @@ from ledgerloom.operators.verdicts import text
 from ledgerloom.schemas import MONEY
 
 
+def _place(rows: DataFrame) -> list[Column]:
+    """Where a row stands in its table, if it says so: the statement, then the row."""
+    have = [F.col(c).alias(c) for c in ("scope", "row_index") if c in rows.columns]
+    return [F.struct(*have).alias("at")] if len(have) == 2 else []
+
+
 def source_keys(rows: DataFrame) -> DataFrame:
     """Amount and balance of every source row."""
-    return rows.select(movement().alias("amount"), F.col("balance").cast(MONEY).alias("balance"), *([F.col("row_index")] if "row_index" in rows.columns else []))
+    return rows.select(movement().alias("amount"), F.col("balance").cast(MONEY).alias("balance"), *_place(rows))
 
 
 def derived_keys(rows: DataFrame) -> DataFrame:
     """Amount (else credit, else debit) and balance; rows without an amount are left out, a null balance is a key like any other."""
     have = [F.col(c).cast(MONEY) for c in ("amount", "credit", "debit") if c in rows.columns]
-    out = rows.select(F.coalesce(*have).alias("amount"), F.col("balance").cast(MONEY).alias("balance"), *([F.col("row_index")] if "row_index" in rows.columns else []))
-    return out.where("amount IS NOT NULL")
+    return rows.select(F.coalesce(*have).alias("amount"), F.col("balance").cast(MONEY).alias("balance"), *_place(rows)).where("amount IS NOT NULL")
 
 
 def multiset_difference(source: DataFrame, derived: DataFrame, keys: tuple[str, ...] = ("amount", "balance")) -> DataFrame:
-    """Keys whose counts differ: ``n_source, n_derived``, with one shuffle and counts made before it."""
-    both = source.select(*keys, F.lit(1).alias("s"), F.lit(0).alias("d")).unionAll(derived.select(*keys, F.lit(0), F.lit(1)))
-    return both.groupBy(*keys).agg(F.sum("s").alias("n_source"), F.sum("d").alias("n_derived")).where("n_source <> n_derived")
+    """Keys whose counts differ: ``n_source, n_derived``, and the first place of each (``at``) if both sides have places; one shuffle, counts made before it."""
+    placed = ["at"] if "at" in source.columns and "at" in derived.columns else []
+    both = source.select(*keys, *placed, F.lit(1).alias("s"), F.lit(0).alias("d")).unionAll(derived.select(*keys, *placed, F.lit(0), F.lit(1)))
+    first = [F.coalesce(F.min(F.when(F.col(side) == 1, F.col("at"))), F.min("at")).alias(f"at_{side}") for side in ("s", "d") if placed]
+    return both.groupBy(*keys).agg(F.sum("s").alias("n_source"), F.sum("d").alias("n_derived"), *first).where("n_source <> n_derived")
 
 
 def dropped(source: DataFrame, derived: DataFrame) -> DataFrame:
@@ -45,8 +52,9 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 
 def _sample(keys: DataFrame, label: str, limit: int = 5) -> DataFrame:
-    """First keys by amount and balance as one text; one row."""
-    first = keys.orderBy("amount", "balance").limit(limit).withColumn("k", F.row_number().over(Window.orderBy("amount", "balance")))  # five rows at most
+    """First keys by their place (by amount and balance where there is none) as one text; one row."""
+    order = [c for c in ("at", "amount", "balance") if c in keys.columns]
+    first = keys.orderBy(*order).limit(limit).withColumn("k", F.row_number().over(Window.orderBy(*order)))  # five rows at most
     item = text(F.col("amount"), " @ ", F.coalesce(F.col("balance").cast("string"), F.lit("no balance")), F.when(F.col("n") > 1, F.concat(F.lit(" x"), F.col("n"))).otherwise(""))
     shown = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("t")))), lambda x: x["t"]), "; ").alias(f"{label}_shown"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"{label}_in"))
     return one_row(shown, keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{label}_n")))
@@ -56,8 +64,9 @@ def corpus_universe(source_rows: DataFrame, derived_rows: DataFrame, scope: str
     """Does every source row appear in the derived rows exactly once, and nothing else?"""
     s, d = source_keys(source_rows), derived_keys(derived_rows)
     diff = multiset_difference(s, d)
-    lost = _sample(diff.where("n_source > n_derived").select("amount", "balance", (F.col("n_source") - F.col("n_derived")).alias("n")), "lost")
-    new = _sample(diff.where("n_derived > n_source").select("amount", "balance", (F.col("n_derived") - F.col("n_source")).alias("n")), "new")
+    at = lambda side: [F.col(f"at_{side}").alias("at")] if f"at_{side}" in diff.columns else []
+    lost = _sample(diff.where("n_source > n_derived").select("amount", "balance", (F.col("n_source") - F.col("n_derived")).alias("n"), *at("s")), "lost")
+    new = _sample(diff.where("n_derived > n_source").select("amount", "balance", (F.col("n_derived") - F.col("n_source")).alias("n"), *at("d")), "new")
     one = one_row(s.agg(F.count(F.lit(1)).alias("n_source")), d.agg(F.count(F.lit(1)).alias("n_derived")), lost, new)
     empty, clean = (F.col("n_source") == 0) | (F.col("n_derived") == 0), (F.col("lost_n") == 0) & (F.col("new_n") == 0)
     part = lambda k, what: F.when(F.col(f"{k}_n") > 0, text(F.col(f"{k}_n"), f" {what} (", F.col(f"{k}_shown"), F.when(F.col(f"{k}_n") > F.col(f"{k}_in"), text("; and ", F.col(f"{k}_n") - F.col(f"{k}_in"), " more")).otherwise(""), ")"))

@@ -239,6 +239,12 @@ def _batch_id(line: Column) -> tuple[Column, Column]:
     return b, (b == "") | F.lower(b).isin("none", "null")
 
 
+def batch_of(line: Column) -> Column:
+    """The batch that a line is in: its own id, or its row."""
+    b, none = _batch_id(line)
+    return F.when(none, F.concat(F.lit("(row "), F.col("row_index"), F.lit(")"))).otherwise(b)
+
+
 def _line_amount(line: Column) -> Column:
     """Debits count up, credits down; null where the amount is no number."""
     value = amount(F.coalesce(line["amount"].cast("string"), F.lit("None")), 6)
@@ -247,8 +253,7 @@ def _line_amount(line: Column) -> Column:
 
 def batches(lines: DataFrame) -> DataFrame:
     """Journal lines by batch: ``n, net, rows_seen, not_numbers``; a line without an id is a batch of its row's own."""
-    b, none = _batch_id(F.col("line"))
-    keyed = lines.select("scope", "row_index", none.alias("no_id"), F.when(none, F.concat(F.lit("(row "), F.col("row_index"), F.lit(")"))).otherwise(b).alias("batch"), _line_amount(F.col("line")).alias("signed"))
+    keyed = lines.select("scope", "row_index", _batch_id(F.col("line"))[1].alias("no_id"), batch_of(F.col("line")).alias("batch"), _line_amount(F.col("line")).alias("signed"))
     return keyed.groupBy("scope", "batch").agg(
         F.count(F.lit(1)).alias("n"), F.sum("signed").cast("decimal(38,6)").alias("net"), F.count_distinct("row_index").alias("rows_seen"), F.min("row_index").alias("row_index"),
         F.count_if(F.col("signed").isNull()).alias("not_numbers"), F.count_if("no_id").alias("no_id"),

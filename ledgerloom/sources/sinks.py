@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of the CSV export, in order.
@@ -41,10 +44,46 @@ def csv_lines(rows: DataFrame, columns: tuple[str, ...] = EXPORT) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = EXPORT) -> None:
-    """The export with CRLF line ends: ``header`` (a byte-order mark and the names) and ``rows``, to be joined in this order."""
+    """The export as one folder of part files with CRLF line ends, which are the file in the order of their names: the first starts with a byte-order mark
+    and the column names."""
     head = "\ufeff" + ",".join(f'"{c}"' for c in columns)
-    rows.sparkSession.createDataFrame([(head,)], "value string").write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
-    csv_lines(rows, columns).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
+    first = rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    first.unionAll(csv_lines(rows, columns)).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def _put(spark: SparkSession, path: str, content: str) -> None:
+    """A small file, written aside and renamed into place over what was there, so that a reader sees the old one or the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    aside = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = aside.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    files.rename(aside, hadoop.Path(path), over)
+
+
+def write_summary(spark: SparkSession, folder: str, summary: dict) -> str:
+    """``summary.json`` of a run; values that JSON has no form for are written as text."""
+    _put(spark, f"{folder}/summary.json", json.dumps(summary, indent=2, default=str))
+    return f"{folder}/summary.json"
+
+
+def mark_latest(spark: SparkSession, root: str, run_id: str) -> None:
+    """Say which run is the newest, for those who ask for none by name."""
+    _put(spark, f"{root}/latest", run_id)
+
+
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The run that was marked last, if one was."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/latest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.option("wholetext", True).text(f"{root}/latest").first()["value"].strip()
 
 
 def notes(rows: DataFrame, checks: DataFrame, field_statuses: DataFrame, queue: DataFrame, shown: int = 6, items: int = 200) -> str:

@@ -275,7 +275,7 @@ def test_readers_and_writers(spark, tmp_path):
     line = sinks.csv_lines(rows).first().value
     assert line.startswith('"a",') and line.endswith('"say ""x"""') and line.count('","') == 16
     sinks.export_csv(rows, str(tmp_path / "csv"))
-    assert b"".join(p.read_bytes() for p in (tmp_path / "csv/rows").glob("part-*")).endswith(b"\r\n")
+    assert b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*")).endswith(b"\r\n")
     sinks.write_rows(rows, str(tmp_path / "out"), "resolve")
     assert spark.read.parquet(str(tmp_path / "out/rows")).first().stage == "resolve"
     doc = sinks.result_document(spark.createDataFrame([("s", 1, "b"), ("s", 0, "a")], "scope string, row_index int, v string")).first().document
