@@ -1,13 +1,15 @@
 """Main text of web pages, with boilerplate found by host suffix arrays.
 
 1. **Blocks.**  Each page is cut into blocks at block-level tags.  Structure gives each block a kind: ``OUT`` inside menus, headers, footers,
-   sidebars, forms, dialogs, scripts, styles, hidden elements and elements named as adverts, notices or comments; ``MAIN`` inside an article
-   or main element (and not inside one of those); ``OPEN`` elsewhere.
+   sidebars, forms, dialogs, scripts, styles, hidden elements and elements named as adverts, notices or comments (inside an article: named so and
+   nothing else, so that a paragraph of class ``alert-level`` stays); ``MAIN`` inside an article or main element (and not inside one of those);
+   ``OPEN`` elsewhere.
 2. **Host suffix array.**  The token streams of *all* pages of a host, whatever their kinds, are concatenated and their suffixes sorted by prefix
    doubling to a depth of ``LONG`` tokens.  *Runs* are substrings of ``LONG`` tokens, and stretches of whole blocks of ``RUN`` tokens or
    more.  A run is boilerplate if it is found on a share of the host's distinct pages (one in ``SHARE``, ``PAGES`` at least), and fewer than half of
    these have it inside their article: structure decides what a passage that many pages repeat is, furniture or a quotation.
-3. **Removal.**  Blocks of which boilerplate runs cover ``COVERED`` % or more go as a whole, inside articles too; all others stay whole.
+3. **Removal.**  Blocks of which boilerplate runs cover ``COVERED`` % or more go as a whole; inside articles long runs alone count, and stretches of blocks
+   that half of the host's pages have.  All others stay whole.
    The ``MAIN`` blocks that are left, or the ``OPEN`` ones on a page without any ``MAIN`` block, in page order, joined by one space, are the main text.
 
 Pages with the same blocks count as one, so a copied page is not boilerplate.
@@ -59,14 +61,28 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+# Words that say where an element stands, not what it is.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons card cell col column container content foot form group head holder icon icons inline inner item items js label left line link links list main "
+    "message module outer page panel post posts right row section site slot social space stack story stories text title top unit view widget wrap wrapper zone".split()
+)
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</[^a-zA-Z][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[\s_\-]+")
 _END = re.compile(r"</([a-zA-Z][^\s/>]*)[\s>]")
 
 
-def _furniture(tag: str, attributes: str) -> int:
-    """Is an element page furniture by its attributes?  0: no; 1: by a name that may mislead; 2: surely."""
+def _named(names: str, known: frozenset[str], inside: bool) -> bool:
+    """Does a class or an id name one of ``known``?  Inside an article only if it says nothing else: ``alert-box`` does, ``alert-level`` does not."""
+    for name in names.split():
+        parts = [p for p in _NAME.split(name) if p]
+        if any(p in known for p in parts) and (not inside or all(p in known or p in NAMED or p in PLAIN for p in parts)):
+            return True
+    return False
+
+
+def _furniture(tag: str, attributes: str, inside: bool = False) -> int:
+    """Is an element page furniture by its attributes?  0: no; 1: by a name that may mislead; 2: surely.  ``inside``: it stands in an article."""
     if not attributes or attributes.isspace():
         return 0
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
@@ -74,12 +90,12 @@ def _furniture(tag: str, attributes: str) -> int:
         return 2
     if found.get("role") in ROLES:
         return 2
-    names = set(_NAME.split(found.get("class", "") + " " + found.get("id", "")))
+    names = found.get("class", "") + " " + found.get("id", "")
     if tag in ("body", "html", "main"):
         return 0
-    if not names.isdisjoint(COMMENTS):
+    if _named(names, COMMENTS, inside):
         return 2
-    return int(tag != "article" and not names.isdisjoint(NAMED))
+    return int(tag != "article" and _named(names, NAMED, inside))
 
 
 class _Open:
@@ -169,7 +185,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if tag not in INLINE:
                 close()
             continue
-        named = _furniture(tag, m[3])
+        named = _furniture(tag, m[3], stack[-1].main)
         if tag == "a":
             links += 1
         if tag in INLINE:
@@ -338,16 +354,17 @@ class Cell:
         """Hosts of ``pages`` and their distinct pages here."""
         return np.unique(self.host_key[lead & pages], return_counts=True)
 
-    def texts(self, hits: np.ndarray) -> list[str]:
-        """Main text of each page, where ``hits`` are the sorted hashes of boilerplate runs."""
-        starts, ends = [], []
-        for h, a, b, _ in (self.long_run, self.block_run):
-            pick = _within(h, hits)
-            starts.append(a[pick])
-            ends.append(b[pick])
-        gone = np.r_[0, np.cumsum(covered(self.n, np.concatenate(starts), np.concatenate(ends)))]
+    def texts(self, hits: np.ndarray, common: np.ndarray) -> list[str]:
+        """Main text of each page, where ``hits`` are the sorted hashes of boilerplate runs and ``common`` those on most pages of their host."""
         size = self.end - self.start
-        stays = 100 * (gone[self.end] - gone[self.start]) < COVERED * size
+
+        def covers(*runs: tuple[tuple, np.ndarray]) -> np.ndarray:
+            picked = [(a[pick], b[pick]) for (h, a, b, _), known in runs for pick in [_within(h, known)]]
+            gone = np.r_[0, np.cumsum(covered(self.n, *(np.concatenate(x) for x in zip(*picked))))]
+            return 100 * (gone[self.end] - gone[self.start]) >= COVERED * size
+
+        # A sentence of an article that adverts on a few pages say too is no furniture.
+        stays = ~np.where(self.kinds == MAIN, covers((self.long_run, hits), (self.block_run, common)), covers((self.long_run, hits), (self.block_run, hits)))
         first = np.searchsorted(self.block_page, np.arange(self.table.num_rows + 1))
         out = []
         for k, text in enumerate(self.table.column("text").to_pylist()):
@@ -365,12 +382,13 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def furniture(hosts: np.ndarray, hashes: np.ndarray, count: np.ndarray, inside: np.ndarray, known: np.ndarray, distinct: np.ndarray, pages: int) -> np.ndarray:
-    """Sorted hashes of the boilerplate runs; ``known`` are sorted host keys with their ``distinct`` pages."""
+def furniture(hosts: np.ndarray, hashes: np.ndarray, count: np.ndarray, inside: np.ndarray, known: np.ndarray, distinct: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the boilerplate runs, and of those on half of their host's pages; ``known`` are sorted host keys with their ``distinct`` pages."""
     if not len(hashes):
-        return hashes
-    least = bar(distinct, pages)[np.searchsorted(known, hosts)]
-    return np.unique(hashes[(count >= least) & (2 * inside < count)])
+        return hashes, hashes
+    of = distinct[np.searchsorted(known, hosts)]
+    due = (count >= bar(of, pages)) & (2 * inside < count)
+    return np.unique(hashes[due]), np.unique(hashes[due & (2 * count >= of)])
 
 
 def leaders(keys: np.ndarray, _: bytes, owner: np.ndarray) -> np.ndarray:
@@ -460,8 +478,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         own = ~cell.spread
         lead = cell.led(None)
         known, distinct = cell.totals(lead, own)
-        here = furniture(*cell.counted(lead, None, own), known, distinct, min_pages)
-        texts = cell.texts(np.union1d(here, hits.column("hash").to_numpy().view(np.uint64)))
+        here, most = furniture(*cell.counted(lead, None, own), known, distinct, min_pages)
+        there = hits.column("hash").to_numpy().view(np.uint64)
+        common = hits.column("common").to_numpy(zero_copy_only=False).astype(bool)
+        texts = cell.texts(np.union1d(here, there), np.union1d(most, there[common]))
         return pa.table([cell.table.column("id"), cell.table.column("url"), pa.array(texts, pa.string())], schema=out_arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -478,6 +498,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     distinct = nominated.where("inside < 0").groupBy("host").agg(F.sum("n").alias("pages"))
     sums = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).join(distinct, "host")
     due = sums.where((F.col("n") >= F.greatest(F.lit(min_pages), F.ceil(F.col("pages") / SHARE))) & (2 * F.col("inside") < F.col("n")))
-    hits = due.select("host", "hash").join(at, "host").select("cell", "hash")
+    hits = due.select("host", "hash", (2 * F.col("n") >= F.col("pages")).alias("common")).join(at, "host").select("cell", "hash", "common")
     done = grouped.cogroup(hits.groupBy("cell")).applyInArrow(finish, out)
     return done.select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", F.length("text").cast("bigint").alias("n_chars"))
