@@ -73,7 +73,9 @@ class Candidates:
 
 
 def register(spark: SparkSession) -> None:
-    """Make all names known to a session's SQL."""
+    """Make all names known to a session's SQL, unless they are."""
+    if spark.catalog.functionExists("ledger_candidates") and all(map(spark.catalog.functionExists, SCALARS)):
+        return
     for name, (arguments, result, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {sql_text(body())}")
     spark.udtf.register("ledger_spans", F.arrow_udtf(Spans, returnType="id string, span string"))
