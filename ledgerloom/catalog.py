@@ -155,7 +155,10 @@ def chain_links(spark, sf):
     return statement_checks.chain_links(account_rows(spark, sf)).select("scope", "row_index", "expected", "actual", "holds", "delta")
 
 
-@query(f"WITH {LEDGER} SELECT 'balance_chain' AS name, scope, 'PASS' AS status, (count(*) - 1) || '/' || (count(*) - 1) || ' links hold' AS detail, '' AS evidence FROM l GROUP BY scope")
+CHAIN = """n AS (SELECT *, lead(balance) OVER (PARTITION BY scope ORDER BY row_index) AS below FROM l), t AS (SELECT scope, count(*) - 1 AS links, count_if(below IS NOT NULL AND balance - amount <> below) AS broken FROM n GROUP BY scope)"""
+
+
+@query(f"WITH {LEDGER}, {CHAIN} SELECT 'balance_chain' AS name, scope, CASE WHEN broken = 0 THEN 'PASS' ELSE 'FAIL' END AS status, (links - broken) || '/' || links || ' links hold' AS detail, CASE WHEN broken = 0 THEN '' END AS evidence FROM t")
 def chain_summary(spark, sf):
     rows = account_rows(spark, sf)
     return statement_checks.balance_chain(rows.select("scope").distinct(), rows)
@@ -196,12 +199,16 @@ def printed_openings(spark, sf):
 
 
 @query(
-    r"""SELECT CAST(doc_id AS VARCHAR) AS scope, CASE WHEN len(regexp_extract_all(coalesce(text, ''), '\b\d{2}:\d{2}\b')) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
-    '0 rows, ' || len(regexp_extract_all(coalesce(text, ''), '\b\d{2}:\d{2}\b')) || ' times of day in the text' AS detail FROM documents"""
+    r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS scope, doc_id, len(regexp_extract_all(coalesce(text, ''), '\b\d{2}:\d{2}\b')) + n_chars % 3 AS seen FROM documents), r AS (SELECT *, seen - CASE WHEN doc_id % 5 = 0 AND seen > 0 THEN 1 ELSE 0 END AS n FROM t)
+    SELECT scope, CASE WHEN n = seen THEN 'PASS' ELSE 'FAIL' END AS status, n || ' rows, ' || seen || ' times of day in the text' AS detail FROM r"""
 )
 def row_count_regex(spark, sf):
-    s = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("scope"), F.split(F.coalesce("text", F.lit("")), "\n").alias("page_text"))
-    return statement_checks.row_count(s, s.where("false").select("scope")).select("scope", "status", "detail")
+    """Texts with up to two times of day more, and as many rows as times, but for every fifth, which lost one."""
+    d = table(spark, sf, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\n07:01 x"), (F.col("n_chars") % 3).cast("int"))))
+    scope = F.col("doc_id").cast("string").alias("scope")
+    s = d.select(scope, F.split("text", "\n").alias("page_text"))
+    seen = d.select(scope, "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b\d{2}:\d{2}\b"), F.lit(0))).alias("row_index", "time"))
+    return statement_checks.row_count(s, seen.where("doc_id % 5 > 0 OR row_index > 0")).select("scope", "status", "detail")
 
 
 @query(
@@ -550,13 +557,15 @@ def journal_panel(spark, sf):
     return emit.journal_panel(emit.journal_entries(order_rows(spark, sf).where("journal_lines IS NOT NULL")))
 
 
-@query(f"WITH {RESOLVED}, {REASON} SELECT count(*) AS \"rows\", count_if(reason IS NULL) AS ready_for_export, count_if(reason IS NOT NULL) AS needs_review, CAST((SELECT count(DISTINCT user_id) FROM events) AS BIGINT) AS pass, CAST(0 AS BIGINT) AS fail FROM g")
+@query(
+    f"""WITH {RESOLVED}, {REASON}, {LEDGER}, {CHAIN} SELECT count(*) AS "rows", count_if(reason IS NULL) AS ready_for_export, count_if(reason IS NOT NULL) AS needs_review, (SELECT count_if(broken = 0) FROM t) AS pass, (SELECT count_if(broken > 0) FROM t) AS fail FROM g"""
+)
 def summary_tally(spark, sf):
     rows = account_rows(spark, sf)
     return emit.summary(resolved_rows(spark, sf), statement_checks.balance_chain(rows.select("scope").distinct(), rows)).select("rows", "ready_for_export", "needs_review", "pass", "fail")
 
 
-@query("WITH g AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE 'e' END AS w FROM orders) SELECT count(*) AS source, count_if(w = 'e') AS exported, count_if(w = 'x') AS exceptions, TRUE AS holds FROM g")
+@query("WITH g AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE 'e' END AS w FROM orders) SELECT count(*) AS source, count_if(w = 'e') AS exported, count_if(w = 'x') AS exceptions, count(*) = count_if(w = 'e') + count_if(w = 'x') AS holds FROM g")
 def conserved_rows(spark, sf):
     o = table(spark, sf, "orders")
     return emit.conserved(o, o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 = 0"))
@@ -667,10 +676,11 @@ def jump_targets(spark, sf):
     return events.jump_targets(run_events(spark, sf), "c1")
 
 
-@query(f"WITH {EVENTS} SELECT run, md5(string_agg(props, '' ORDER BY idx)) AS text_md5 FROM (SELECT e.*, props FROM e JOIN (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) x ON e.run = x.user_id AND e.idx = x.i) GROUP BY run")
+@query(f"WITH {EVENTS} SELECT run, md5(string_agg(props, '' ORDER BY idx)) AS text_md5 FROM (SELECT e.*, props FROM e JOIN (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) x ON e.run = x.user_id AND e.idx = x.i) WHERE run % 7 > 0 GROUP BY run")
 def reassembled_text(spark, sf):
     e = run_events(spark, sf)
-    totals = e.groupBy("run").agg(F.sum(F.length("body")).alias("total"))
+    told = F.sum(F.length("props")) + F.when(F.col("user_id") % 7 == 0, 1).otherwise(0)  # every seventh run lost a character on its way
+    totals = table(spark, sf, "events").groupBy(F.col("user_id").alias("run"), "user_id").agg(told.alias("total")).drop("user_id")
     return events.reassembled(e, totals).where("complete").select("run", F.md5("text").alias("text_md5"))
 
 
