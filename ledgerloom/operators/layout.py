@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import amount
-from ledgerloom.schemas import MONEY
+from ledgerloom.schemas import MONEY, STATEMENT, STATEMENT_ROW
 
 TOLERANCE = 1.5
 # The words that open the statement's columns, and the account block of page 1.
@@ -143,4 +143,4 @@ def parse(words: DataFrame, headers: dict[str, str] | None = None) -> tuple[Data
         scope.alias("scope"), F.col("doc").alias("source_file"), "account_name", "account_number", "currency", "bank_name", "iban", "bic", "date_range",
         amount("closing_balance").cast(MONEY).alias("closing_balance"), F.coalesce("printed_openings", F.create_map().cast("map<string,decimal(38,2)>")).alias("printed_openings"), "page_text",
     )
-    return statements, rows
+    return statements.to(STATEMENT), rows.to(STATEMENT_ROW)

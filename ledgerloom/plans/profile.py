@@ -78,6 +78,11 @@ def lint(profile: Profile) -> list[str]:
     return out
 
 
+def announced(p: Pass) -> list[str]:
+    """Names under which the checks of a pass will report, to tell them before it runs."""
+    return [generic_checks.name_for(c["check"], c) for c in p.checks]
+
+
 def visible(p: Pass, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables that a pass may see: all, or those it names; unknown names mean nothing."""
     return {k: v for k, v in tables.items() if not p.tables or k in p.tables}

@@ -1,4 +1,4 @@
-"""Record types and status vocabularies."""
+"""Record types, which the parser's output is held against, and status vocabularies."""
 
 from __future__ import annotations
 
@@ -8,13 +8,11 @@ MONEY = T.DecimalType(38, 2)
 STATUSES = ("MATCH", "PROBABLE", "UNRESOLVED", "CANNOT_VERIFY", "FAIL")
 NAMES_A_TARGET = ("MATCH", "PROBABLE")
 SETTLED = ("MATCH", "CANNOT_VERIFY")
-CHECK_STATUSES = ("PASS", "FAIL", "UNRESOLVED", "CANNOT_VERIFY")
 FINDING_ORDER = ("DISCREPANCY", "CANNOT_VERIFY", "UNSUPPORTED", "MATCH")
 
 PROVENANCE = T.StructType().add("page", T.IntegerType()).add("x0", T.DoubleType()).add("top", T.DoubleType()).add("x1", T.DoubleType()).add("bottom", T.DoubleType())
 RESOLUTION = T.StructType().add("status", "string").add("matched_name", "string").add("table", "string").add("confidence", T.DoubleType()).add("why", "string")
 JOURNAL_LINE = T.StructType().add("batch", "string").add("amount", "string").add("is_debit", "boolean").add("transaction_type", "string")
-CHECK = T.StructType().add("name", "string").add("scope", "string").add("status", "string").add("detail", "string").add("evidence", "string")
 EVENT = T.StructType().add("kind", "string").add("label", "string").add("detail", "string").add("status", "string").add("body", "string").add("meta", T.MapType(T.StringType(), T.StringType())).add("at", T.DoubleType())
 STATEMENT_ROW = (
     T.StructType()
@@ -30,7 +28,6 @@ STATEMENT = (
     .add("printed_openings", T.MapType(T.StringType(), MONEY)).add("page_text", T.ArrayType(T.StringType()))
 )
 EXCEPTION = T.StructType().add("scope", "string").add("row_index", T.IntegerType()).add("kind", "string").add("detail", "string")
-REPAIR = T.StructType().add("scope", "string").add("row_index", T.IntegerType()).add("field", "string").add("before", "string").add("after", "string").add("why", "string")
 RUN_SUMMARY = (
     T.StructType()
     .add("run_id", "string").add("account", "string").add("source_file", "string").add("profile", "string").add("model", "string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import generic_checks, statement_checks, verdicts
 from ledgerloom.operators.generic_checks import name_for
+from ledgerloom.plans import profile
 
 LINE = "struct<batch:string,amount:string,is_debit:boolean,transaction_type:string>"
 SCHEMA = f"scope string, row_index int, narrative string, who_raw string, who_match string, label string, amount string, journal_lines array<{LINE}>"
@@ -127,5 +128,6 @@ def test_hints_of_near_misses(spark, r, t, want):
 
 
 def test_names_to_announce():
+    assert profile.announced(profile.Pass("p", checks=[{"check": "vocabulary", "field": "a", "allowed": []}, {"check": "double_entry"}])) == ["a_vocabulary", "double_entry"]
     assert name_for("provenance", {"field": "a"}) == "a_provenance" and name_for("completeness", {"fields": []}) == "resolution_completeness" and name_for("agreement", {}) == "sample_agreement"
     assert name_for("label_rate", {"field": "a", "label": " Flag  IT "}) == "a_flag it_rate" and name_for("stage_tie", {"field": "x"}) == "stage_tie" and name_for("posting", {}) == "posting"
