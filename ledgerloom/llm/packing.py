@@ -37,6 +37,8 @@ from ledgerloom.llm._storage import bounded_batches, written
 from ledgerloom.llm._words import slices, text_bytes
 
 LENGTH = 1024
+#: Bytes of texts that are tokenised together: the more, the fewer distinct pieces are looked up in all.
+TOGETHER = 8 << 20
 _loaded: dict[str, "_Encoder"] = {}
 #: Bytes that never are, or start, white space: printable ASCII, and lead bytes of no white-space character.
 _SOLID = np.zeros(256, bool)
@@ -158,7 +160,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOGETHER):
                 ids, offs = encode(part.column("text"), tokenizer, end_id)
                 wide = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
                 data, cut = ids.astype(f"<u{wide}").tobytes(), (offs * wide).tolist()
