@@ -13,46 +13,40 @@ ROWS_PER_PAGE = 20
 COLUMNS = {"bank_reference": 30.0, "customer_reference": 110.0, "trn_type": 190.0, "value_date": 250.0, "credit": 320.0, "debit": 400.0, "balance": 480.0, "time": 560.0, "post_date": 620.0}
 
 
-def _words(top: float, *texts: tuple[str, Column | str]) -> list[Column]:
-    """Words of a line: in a column one after the other, ten points apart; null texts are left out."""
+def _words(top: float, *texts: tuple[str, str | Column | list[Column]]) -> list[tuple[Column, float, float]]:
+    """Words of a line with their places: in a column one after the other, ten points apart."""
     out = []
     for name, text in texts:
-        words = F.split(F.lit(text) if isinstance(text, str) else text, " ")
-        placed = F.transform(words, _placed(COLUMNS.get(name, 200.0), top))
-        out.append(F.coalesce(placed, F.array().cast("array<struct<text:string,x0:double,dy:double>>")))
+        words = [F.lit(w) for w in text.split(" ")] if isinstance(text, str) else text if isinstance(text, list) else [text]
+        out += [(w, COLUMNS.get(name, 200.0) + i * 10, top) for i, w in enumerate(words)]
     return out
 
 
-def _placed(start: float, top: float):
-    return lambda w, i: F.struct(w.alias("text"), (F.lit(start) + i * 10).cast("double").alias("x0"), F.lit(top).cast("double").alias("dy"))
-
-
 def statement_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the statements of all accounts: account block, header and marker, rows newest first, narratives of up to two lines."""
-    r = account_rows(spark, sf).withColumn("page", (F.floor(F.col("row_index") / ROWS_PER_PAGE) + 1).cast("int"))
+    r = account_rows(spark, sf)
     i = F.col("row_index")
     money = lambda c: F.format_number(c, 2)
-    story = F.when(i % 3 != 2, F.lit("Narrative"))
-    more = F.when(i % 3 == 1, F.lit("Narrative"))
-    line = _words(
-        0.0, ("bank_reference", F.concat(F.lit("R"), i)), ("trn_type", F.col("trn_type")), ("value_date", F.col("value_date")), ("credit", money("credit")), ("debit", money("debit")), ("balance", money("balance")),
-        ("time", F.concat(F.lit("07:0"), i % 10)), ("post_date", F.col("value_date")),
+    day = [F.split_part("value_date", F.lit(" "), F.lit(n)) for n in (1, 2, 3)]
+    body = _words(
+        0.0, ("bank_reference", F.concat(F.lit("R"), i)), ("trn_type", F.col("trn_type")), ("value_date", day), ("credit", money("credit")), ("debit", money("debit")), ("balance", money("balance")),
+        ("time", F.concat(F.lit("07:0"), i % 10)), ("post_date", day),
     )
-    line += _words(10.0, ("bank_reference", story), ("customer_reference", F.when(story.isNotNull(), "Paid")), ("trn_type", F.when(story.isNotNull(), "for")), ("value_date", F.when(story.isNotNull(), F.col("trn_type"))))
-    line += _words(20.0, ("bank_reference", more), ("customer_reference", F.when(more.isNotNull(), "ref")), ("trn_type", F.when(more.isNotNull(), i.cast("string"))))
-    body = r.select("scope", "page", (100.0 + (i % ROWS_PER_PAGE) * 30.0).alias("y"), F.flatten(F.array(*line)).alias("w"))
-
-    headers = _words(50.0, *layout.HEADERS.items())
-    pages = r.groupBy("scope", "page").agg(F.min_by("value_date", "row_index").alias("day"), F.min_by("balance", "row_index").alias("newest"))
-    first = F.col("page") == 1
-    block = lambda y, label, value: [*_words(y, ("bank_reference", F.when(first, label))), *_words(y, ("block", F.when(first, value)))]
-    head = [*headers, *_words(75.0, ("bank_reference", F.concat(F.lit("Balance brought forward "), F.col("day"), F.lit(" "), money("newest"))))]
-    head += block(10.0, "Currency", F.lit("EUR")) + block(20.0, "Account number", F.concat(F.lit("N"), F.col("scope"))) + block(30.0, "Bank name", F.lit("First Bank"))
-    head += block(40.0, "Closing ledger balance brought forward", money("newest"))
-    top = pages.select("scope", "page", F.lit(0.0).alias("y"), F.flatten(F.array(*head)).alias("w"))
-
-    words = body.unionByName(top).select("scope", "page", "y", F.inline("w"))
-    return words.select(F.concat(F.lit("stmt_EUR_"), F.col("scope"), F.lit(".pdf")).alias("doc"), "page", "text", "x0", (F.col("x0") + 8).alias("x1"), (F.col("y") + F.col("dy")).alias("top"), (F.col("y") + F.col("dy") + 6).alias("bottom"))
+    only = lambda when, words: [(F.when(when, w), *place) for w, *place in words]
+    body += only(i % 3 != 2, _words(10.0, ("bank_reference", "Narrative"), ("customer_reference", "Paid"), ("trn_type", "for"), ("value_date", F.col("trn_type"))))
+    body += only(i % 3 == 1, _words(20.0, ("bank_reference", "Narrative"), ("customer_reference", "ref"), ("trn_type", i.cast("string"))))
+
+    # A page is headed by the words of its newest row.
+    head = [*_words(50.0, *layout.HEADERS.items()), *_words(75.0, ("bank_reference", [*map(F.lit, ("Balance", "brought", "forward")), *day, money("balance")]))]
+    block = lambda y, label, *value: _words(y, ("bank_reference", label), ("block", list(value)))
+    first = block(10.0, "Currency", F.lit("EUR")) + block(20.0, "Account number", F.concat(F.lit("N"), F.col("scope"))) + block(30.0, "Bank name", F.lit("First"), F.lit("Bank"))
+    first += block(40.0, "Closing ledger balance brought forward", money("balance"))
+    words = [*body, *only(i % ROWS_PER_PAGE == 0, head), *only(i == 0, first)]
+    x0, top = (F.get(F.array(*[F.lit(w[n]) for w in words]), F.col("k")) for n in (1, 2))
+    top = top + F.when(F.col("k") < len(body), 100.0 + (i % ROWS_PER_PAGE) * 30.0).otherwise(0.0)
+    page = (F.floor(i / ROWS_PER_PAGE) + 1).cast("int").alias("page")
+    each = r.select(F.concat(F.lit("stmt_EUR_"), F.col("scope"), F.lit(".pdf")).alias("doc"), page, "row_index", F.posexplode(F.array(*[w[0] for w in words])).alias("k", "text")).where("text IS NOT NULL")
+    return each.select("doc", "page", "text", x0.alias("x0"), top.alias("top")).select("doc", "page", "text", "x0", (F.col("x0") + 8).alias("x1"), "top", (F.col("top") + 6).alias("bottom"))
 
 
 @query(

@@ -316,3 +316,24 @@ def test_folding_equals_the_rules_on_every_code_point_without_python(spark):
 def test_folding_of_words_that_become_longer(spark, value):
     assert one(spark, X.fold("v"), v=value) == X._folded(value) and one(spark, X.casefold("v"), v=value) == value.casefold() and one(spark, X.compact("v"), v=value) == X._compacted(value)
     assert spark.range(1).select(X.fold(F.lit(None).cast("string")).alias("a"), X.casefold(F.lit(None).cast("string")).alias("b")).first() == ("", None)
+
+
+def test_parse_moves_words_once(spark):
+    for out in layout.parse(words(spark, ("Bank", 100, 40))):
+        plan = out._jdf.queryExecution()
+        assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert len(plan.analyzed().toString()) < 200_000
+
+
+def test_parse_reads_stories_across_pages_and_the_last_header_word(spark):
+    at = {name: 100 * (i + 1) for i, name in enumerate(HEADERS)}
+    line = lambda page, y, *texts: [(page, t, x, y) for t, x in texts]
+    head = lambda page: line(page, 40, *[(word, at[name]) for name, word in HEADERS.items()])
+    row = line(1, 60, ("R1", 100), ("1", 400), ("Mar", 410), ("2026", 420), ("5.00", 500), ("9.00", 700))
+    w = head(1) + row + line(1, 80, ("Narrative", 100), ("from", 200)) + line(2, 5, ("Narrative", 100), ("unread", 200)) + line(3, 40, ("Value", 50)) + head(3) + line(3, 80, ("Narrative", 100), ("to", 200))
+    table = spark.createDataFrame([("x_EUR_1.pdf", p, t, float(x), float(x) + 5, float(y), float(y) + 8) for p, t, x, y in w], readers.WORDS)
+    statements, rows = layout.parse(table)
+    assert len(statements.first().page_text) == 3 and statements.first().printed_openings == {}
+    # Page 2 has no header, so no columns: its line is no narrative.
+    assert [(r.narrative, r.narrative_provenance.page, r.account_number, r.currency) for r in rows.collect()] == [("from to", 3, None, "EUR")]
+    assert {r.x0 for r in layout.column_positions(layout.lines(table), HEADERS).where("page = 3").collect()} == {float(x) for x in at.values()}
