@@ -16,8 +16,9 @@
 * tiles are size classes, steps of 1 / 0.8 in the number of shingles: documents of one similarity class lie in the same or the next one.  Inside
   a pair of tiles only documents whose sizes and population counts allow it are compared;
 * a task returns a *minimum* spanning forest (by differing bits) of the pairs that it finds, and each of its links is then held against the
-  documents' shingles: links below the similarity are dropped.  So no document goes for a link that does not hold, and a link that holds is
-  missed only beyond the radius, or where all links that are closer in bits on its way fail.
+  documents' shingles: links below the similarity are dropped.  So no document goes for a link that does not hold;
+* links that hold but lie beyond the radius, or whose way in the forest fails, are found by an exact check that follows: documents of different
+  components meet at their rarest shingles, and every pair that meets is held against its shingles.  So no link that holds is missed.
 
 Edge cases: null and empty texts have no words, fingerprint zero, and link like any other (of ``near_copies``, to each other); fewer words than a
 shingle are hashed as a whole; repeated rows share a fingerprint, and one of them stays; an empty table gives an empty result; with a null id the
@@ -44,6 +45,7 @@ from ledgerloom.llm.components import components
 HOME, OTHER = 1 << 15, 1 << 19
 LANES, SHINGLE, SIMILARITY, WIDE_RADIUS = 4, 5, 0.8, 58
 WIDE_HOME, WIDE_OTHER = 1 << 13, 1 << 16
+PLACES = 18
 U64 = np.uint64
 
 
@@ -395,6 +397,68 @@ def _alike(docs: DataFrame, links: DataFrame, text_col: str, shingle: int, simil
     return pairs.mapInArrow(check, "a binary, b binary")
 
 
+def _bucket_counts(docs: DataFrame, text_col: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """How many shingles fall into each of ``1 << PLACES`` hash buckets: a bounded table that tells the frequent ones."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << PLACES, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, _ = _shingle_hashes(part.column("text"), shingle, seed)
+                total += np.bincount((hashes >> U64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            k = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
+
+    found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "k long, n long")
+    out = np.zeros(1 << PLACES, np.int64)
+    sums = found.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def prefixes(hashes: np.ndarray, per: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set, as many of its rarest members that a set ``similarity`` alike has one of them among its own: members, places, and how many of each set."""
+    row = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((hashes, counts[(hashes >> U64(64 - PLACES)).astype(np.int64)], row))
+    take = np.where(per > 0, per - np.ceil(similarity * per - 1e-9).astype(np.int64) + 1, 0)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    some = place < take[row]
+    return hashes[order][some], place[some], take
+
+
+def _missed(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes under different roots that may be as similar as asked: no pair that is, is left out.
+
+    Two sets that are ``similarity`` alike share one of their rarest members (in any order that is the same for all sets; here, by frequency of the
+    member's bucket, then by hash), so pairs meet there, if what follows the member still allows the similarity.
+    """
+    spark = docs.sparkSession
+    counts = spark.sparkContext.broadcast(_bucket_counts(docs, text_col, shingle, seed))
+    inner = docs.select(_node(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, per = _distinct(*_shingle_hashes(part.column("text"), shingle, seed))
+                some, place, take = prefixes(hashes, per, counts.value, similarity)
+                cut = pa.array(np.r_[0, np.cumsum(take)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(cut, pa.array(some.view(np.int64)))], names=["node", "h"])
+
+    of = named.select("node", F.xxhash64("node").alias("i"), F.xxhash64("root").alias("r"), "n")
+    sets = inner.mapInArrow(run, "node binary, h array<long>").dropDuplicates(["node"]).join(of, "node")
+    each = written(sets.select("i", "r", "n", F.posexplode("h").alias("at", "h")).repartition("h"), "prefixes")
+    met = each.groupBy("h").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x <> y").select("h")
+    each = each.join(met, "h", "left_semi").select("h", "i", "r", "n", (F.col("n") - F.col("at")).alias("rest"))
+    x, y = each.alias("x"), each.alias("y")
+    fits = F.least("x.rest", "y.rest") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.r") != F.col("y.r")) & fits).select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
+    side = lambda k, c: of.select(F.col("i").alias(k), F.col("node").alias(c))
+    return pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, home: int = WIDE_HOME, other: int = WIDE_OTHER
 ) -> DataFrame:
@@ -402,8 +466,13 @@ def near_copies(
     rows = written(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "simhash")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "c", *[f"f{k}" for k in range(LANES)])]), "nodes")
     links = written(wide_links(nodes.drop("least"), similarity, radius, home, other), "links")
-    roots = components(_alike(docs, links, text_col, shingle, similarity))
-    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    near = written(_alike(docs, links, text_col, shingle, similarity), "near")
+    under = lambda roots: nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
+    named = written(under(components(near)), "named")
+    missed = written(_missed(docs, named, text_col, shingle, similarity), "missed")
+    more = written(_alike(docs, missed, text_col, shingle, similarity), "more")
+    if not more.isEmpty():
+        named = written(under(components(near.unionAll(more))), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(ids, "root").select("node", "root", "component_id")
     return rows.join(found, "node").select("id", F.col("node").alias("key"), "root", "component_id")

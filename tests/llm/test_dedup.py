@@ -292,3 +292,26 @@ def test_forest_spans():
 def test_operators_ignore_row_order(spark):
     one = frame(spark).orderBy(F.desc("doc_id"))
     assert sorted(map(repr, simhash.near_duplicates(one).select("doc_id", "component_id").collect())) == sorted(map(repr, simhash.near_duplicates(frame(spark)).select("doc_id", "component_id").collect()))
+
+
+def test_near_copies_beyond_the_radius_are_found(spark):
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 200)] for _ in range(4)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(10 + k, " ".join([*b[:100], f"other{k}", *b[101:]])) for k, b in enumerate(base)]
+    found = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=0).collect()}
+    assert found == {k: k % 10 for k, _ in rows}
+
+
+def test_alike_sets_share_a_member_of_their_prefixes():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, 1 << simhash.PLACES)
+    for n in [1, 2, 5, 9, 10, 100]:
+        for lost in range(n // 5 + 1):
+            for added in range(n // 4 + 1):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                b = np.unique(np.r_[rng.permutation(a)[lost:], rng.integers(0, 1 << 63, added, dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if both < 0.8 * (len(a) + len(b) - both):
+                    continue
+                some, _, take = simhash.prefixes(np.r_[a, b], np.array([len(a), len(b)]), counts, 0.8)
+                assert np.intersect1d(some[: take[0]], some[take[0] :]).size
