@@ -79,14 +79,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: Does a value that is there (a VARIANT ``v`` of type ``k``) keep its rule?  Of lists and objects: is it one?
+#: Does a value that is there (a VARIANT ``v`` of type ``k``) keep its rule?
 NUMERIC = "(k rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' AND abs(try_variant_get(v, '$', 'double')) < double('infinity'))"
 WHOLE = f"({NUMERIC} AND rint(try_variant_get(v, '$', 'double')) = try_variant_get(v, '$', 'double'))"
 HOLDS = {
     "text": "k = 'STRING' AND regexp_replace(try_variant_get(v, '$', 'string'), " + _quoted(f"^(\ufeff|{WHITE})+$") + ", '') <> ''", "string": "k = 'STRING'", "number": NUMERIC,
     "positive": f"{WHOLE} AND try_variant_get(v, '$', 'double') > 0", "count": f"{WHOLE} AND try_variant_get(v, '$', 'double') >= 0", "flag": "k = 'BOOLEAN'",
-    "choice": "k = 'STRING' AND try_variant_get(v, '$', 'string') IN (@)", "record": "startswith(k, 'OBJECT')", "items": "startswith(k, 'ARRAY')",
-}
+    "choice": "k = 'STRING' AND try_variant_get(v, '$', 'string') IN (@)", }
 FOUND = "array<struct<path:string,problem:string>>"
 
 
@@ -95,14 +94,20 @@ def _violations(rule: Rule, value: str, path: str) -> str:
     say = lambda what: f"array(named_struct('path', {path}, 'problem', {_quoted(SAID[what])}))"
     none = f"cast(array() AS {FOUND})"
     inside = none
-    if rule.kind == "record":
-        parts = (_violations(r, f"try_variant_get(v, '$.{name}', 'variant')", f"concat({path}, '.{name}')") for name, r in rule.fields)
-        inside = f"concat({none}, {', '.join(parts)})"
-    if rule.kind == "items":
-        depth = path.count("string(i")
-        each = f"transform(try_variant_get(v, '$', 'array<variant>'), (x, i{depth}) -> {_violations(rule.item, 'x', f"concat({path}, '[', string(i{depth}), ']')")})"
-        few = f"WHEN size(try_variant_get(v, '$', 'array<variant>')) < {rule.least} THEN {say('least')}" if rule.least else ""
-        inside = f"CASE {few} WHEN true THEN flatten({each}) END"
+    # Objects and lists are opened once, one level deep: that tells what they are without walking through all that they hold.
+    if rule.kind in ("record", "items"):
+        if rule.kind == "record":
+            kind = "struct<" + ", ".join(f"`{name}`: variant" for name, _ in rule.fields) + ">"
+            parts = (_violations(r, f"o.`{name}`", f"concat({path}, '.{name}')") for name, r in rule.fields)
+            inside = f"concat({none}, {', '.join(parts)})"
+        else:
+            kind, depth = "array<variant>", path.count("string(i")
+            each = f"transform(o, (x, i{depth}) -> {_violations(rule.item, 'x', f"concat({path}, '[', string(i{depth}), ']')")})"
+            few = f"WHEN size(o) < {rule.least} THEN {say('least')}" if rule.least else ""
+            inside = f"CASE {few} WHEN true THEN flatten({each}) END"
+        missing = say(rule.kind) if rule.needed else none
+        opened = f"get(transform(array(try_variant_get(v, '$', '{kind}')), o -> CASE WHEN o IS NULL THEN {say(rule.kind)} ELSE {inside} END), 0)"
+        return f"get(transform(array({value}), v -> CASE WHEN v IS NULL THEN {missing} ELSE {opened} END), 0)"
     holds = HOLDS[rule.kind].replace("@", ", ".join(map(_quoted, rule.choices)))
     judged = f"CASE WHEN v IS NULL THEN {say(rule.kind) if rule.needed else none} WHEN get(transform(array(schema_of_variant(v)), k -> {holds}), 0) THEN {inside} ELSE {say(rule.kind)} END"
     return f"get(transform(array({value}), v -> {judged}), 0)"
