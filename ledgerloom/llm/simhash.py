@@ -34,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -429,11 +429,21 @@ def prefixes(hashes: np.ndarray, per: np.ndarray, counts: np.ndarray, similarity
     return hashes[order][some], place[some], take
 
 
+def may_be_alike(m: str, n: str, shared: str, similarity: float) -> Column:
+    """Whether sets of ``m`` and ``n`` members can be as similar as asked when ``shared`` of their ``prefixes`` are the same.
+
+    Up to where the prefix of one of them ends, all common members are in both prefixes; past it, that set has ``ceil(similarity * size) - 1`` members left.
+    """
+    left = F.ceil(similarity * F.greatest(m, n) - 1e-9) - 1
+    return F.col(shared) + left >= similarity / (1 + similarity) * (F.col(m) + F.col(n)) - 1e-6
+
+
 def _missed(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
     """Pairs ``(a, b)`` of nodes under different roots that may be as similar as asked: no pair that is, is left out.
 
     Two sets that are ``similarity`` alike share one of their rarest members (in any order that is the same for all sets; here, by frequency of the
-    member's bucket, then by hash), so pairs meet there, if what follows the member still allows the similarity.
+    member's bucket, then by hash), so pairs meet there, and stay if they share enough of them (``may_be_alike``).  Members cross the shuffle once and
+    only those under several roots are written.
     """
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_bucket_counts(docs, text_col, shingle, seed))
@@ -449,12 +459,14 @@ def _missed(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, simi
 
     of = named.select("node", F.xxhash64("node").alias("i"), F.xxhash64("root").alias("r"), "n")
     sets = inner.mapInArrow(run, "node binary, h array<long>").dropDuplicates(["node"]).join(of, "node")
-    each = written(sets.select("i", "r", "n", F.posexplode("h").alias("at", "h")).repartition("h"), "prefixes")
-    met = each.groupBy("h").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x <> y").select("h")
-    each = each.join(met, "h", "left_semi").select("h", "i", "r", "n", (F.col("n") - F.col("at")).alias("rest"))
+    at = Window.partitionBy("h")
+    each = sets.select(F.explode("h").alias("h"), "i", "r", "n").withColumns({"x": F.min("r").over(at), "y": F.max("r").over(at)})
+    each = written(each.where("x <> y").select("h", "i", "r", "n"), "prefixes")
     x, y = each.alias("x"), each.alias("y")
-    fits = F.least("x.rest", "y.rest") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.r") != F.col("y.r")) & fits).select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.r") != F.col("y.r")) & sizes)
+    both = both.groupBy(F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = both.where(may_be_alike("m", "n", "shared", similarity)).select("i", "j")
     side = lambda k, c: of.select(F.col("i").alias(k), F.col("node").alias(c))
     return pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 

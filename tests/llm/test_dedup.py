@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, simhash, substring_dedup
+from ledgerloom.llm._storage import written
 from ledgerloom.llm.components import components
 from tests.llm.fixtures import frame, lower, texts, words
 
@@ -315,3 +317,25 @@ def test_alike_sets_share_a_member_of_their_prefixes():
                     continue
                 some, _, take = simhash.prefixes(np.r_[a, b], np.array([len(a), len(b)]), counts, 0.8)
                 assert np.intersect1d(some[: take[0]], some[take[0] :]).size
+
+
+def test_only_pairs_that_may_be_alike_are_held_against_their_shingles(spark):
+    """Every shingle is in two texts and any two texts share a third of theirs: they meet, but in too few members of their prefixes."""
+    rng = np.random.default_rng(7)
+    part = [[" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(2)] for _ in range(3)]
+    rows = [(k, " ".join(part[p][c] for p, c in enumerate(cut))) for k, cut in enumerate([(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    node = {k: hashlib.md5(t.encode()).digest() for k, t in rows}
+    n = {k: len(shingles(t)) for k, t in rows}
+    named = spark.createDataFrame([(bytearray(node[k]), bytearray(node[k]), n[k]) for k in node], "node binary, root binary, n int")
+    assert simhash._missed(docs, named, "text", 5, 0.8).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = written(spark.range(1000).repartition(3, "id"), "some")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and got.count() == 1000
