@@ -100,7 +100,7 @@ def run_statement_checks(statements: DataFrame, rows: DataFrame, names: tuple[st
     """All checks of every statement (or those named) as one table, from one pass over the rows.
 
     Rows, printed openings and the statement itself become records of one table, dealt by statement and sorted twice: by position, for the chain and the
-    newest balance, and by day, for the openings.  Statements without rows are checked too, rows without a statement are not.
+    newest balance, and by day, for the openings.  The text is a column of the statement's record; rows see it as they pass, and nothing joins it to them.  Statements without rows are checked too, rows without a statement are not.
     """
     have = set(statements.columns)
     of = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
@@ -120,7 +120,7 @@ def run_statement_checks(statements: DataFrame, rows: DataFrame, names: tuple[st
     figures = F.coalesce(F.size("printed_openings"), F.lit(0)) if "printed_openings" in have else F.lit(0)
     s = statements.select(
         "scope", F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("row_index"), F.lit(True).alias("mark"), (F.col("closing_balance") if "closing_balance" in have else F.lit(None)).cast(MONEY).alias("closing_balance"),
-        F.greatest(figures, F.lit(0)).cast("bigint").alias("openings"), seen.cast("bigint").alias("times"),
+        F.greatest(figures, F.lit(0)).cast("bigint").alias("openings"), seen.cast("bigint").alias("times"), F.array_join(pages, "\n").alias("body"),
     )
     table = table.unionByName(s, allowMissingColumns=True)
 
@@ -130,9 +130,10 @@ def run_statement_checks(statements: DataFrame, rows: DataFrame, names: tuple[st
     t = t.withColumn("next_kind", F.lead("kind").over(along)).withColumn("actual", F.lead("balance").over(along))
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(F.struct("kind", "balance")).over(whole)
+    t = t.where(F.col("scope").isNotNull()) if "page_text" in have else t
     t = t.withColumn("newest", F.when(first["kind"] == 0, first["balance"])).withColumn("has_rows", first["kind"] == 0).withColumn("stated", F.max("kind").over(whole) == 2).where("stated")
-    texts = statements.select("scope", F.array_join(pages, "\n").alias("full"))
-    t = t.join(texts, "scope") if "page_text" in have else t.withColumn("full", F.lit(""))
+    full = F.first("body", ignorenulls=True).over(whole)  # a text lies in its statement's record only: sorts and windows hold it once
+    t = t.withColumn("full", full)
     is_row = F.col("kind") == 0
     linked = is_row & F.coalesce(F.col("next_kind") == 0, F.lit(False))
     t = t.withColumn("expected", (F.col("balance") - F.col("amount")).cast(MONEY)).withColumn("delta", (F.col("actual") - F.col("expected")).cast(MONEY))
@@ -143,7 +144,8 @@ def run_statement_checks(statements: DataFrame, rows: DataFrame, names: tuple[st
         "odd": is_row & (F.col("credit").isNull() == F.col("debit").isNull()),
         "lost": is_row & (F.col("bank_reference") != "") & ~F.col("full").contains(F.col("bank_reference")),
     })
-    t = t.withColumn("nth_lost", F.count_if("lost").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # hints are asked for what is shown only
+    t = t.drop("full")
+    t = t.withColumn("nth_lost", F.count_if("lost").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("full", full)  # hints are asked for what is shown only
 
     all_ = _checks()
     checks = [all_[n] for n in names or all_]

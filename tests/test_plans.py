@@ -92,6 +92,21 @@ def test_statement_checks_read_the_rows_once(spark, tmp_path):
     assert "NestedLoop" not in text and "Cartesian" not in text and got.count() == 6
 
 
+def test_statement_texts_are_not_joined_to_rows(spark):
+    from tests.test_checks import rows, statements
+
+    s = statements(spark)
+    assert "page_text" in s.columns
+    plan = statement_checks.run_statement_checks(s, rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan, "a statement's text would be carried by each of its rows"
+    refs = [("a", i, f"ref {i}") for i in range(9)] + [("b", 0, "here"), (None, 0, "x")]
+    r = spark.createDataFrame([(c, i, D(1), None, D(1), "1 Mar 2026", x) for c, i, x in refs], "scope string, row_index int, credit decimal(38,2), debit decimal(38,2), balance decimal(38,2), value_date string, bank_reference string")
+    s = spark.createDataFrame([("a", ["REF 0 REF2", "ref 3"]), ("b", ["or", "here"]), ("c", None), (None, ["x"])], "scope string, page_text array<string>")
+    got = {x.scope: x for x in statement_checks.run_statement_checks(s, r, ("reference_provenance",)).collect()}
+    assert set(got) == {"a", "b", "c"} and [got[k].detail for k in "abc"] == ["1/9 references are in the text", "1/1 references are in the text", "0/0 references are in the text"]
+    assert got["a"].evidence.split("\n") == [f"row {i}: 'ref {i}' is not in the text" + {0: " (it is with other spaces or case)", 2: " (it is with other spaces or case)"}.get(i, "") for i in (0, 1, 2, 4, 5)] + ["... and 3 more"]
+
+
 def test_openings_by_sweep_equal_a_range_join(spark):
     rnd = random.Random(2)
     day = lambda d: f"{d} Mar 2026" if d else "no day"
