@@ -18,7 +18,8 @@
 * a task returns a *minimum* spanning forest (by differing bits) of the pairs that it finds, and each of its links is then held against the
   documents' shingles: links below the similarity are dropped.  So no document goes for a link that does not hold;
 * links that hold but lie beyond the radius, or whose way in the forest fails, are found by an exact check that follows: documents of different
-  components meet at their rarest shingles, and every pair that meets is held against its shingles.  So no link that holds is missed.
+  components meet at their rarest shingles, and every pair that meets and may hold is held against its shingles.  So no link that holds is
+  missed.  That check is quadratic in the size of a family, but inside tasks of bounded size that return forests, never as rows.
 
 Edge cases: null and empty texts have no words, fingerprint zero, and link like any other (of ``near_copies``, to each other); fewer words than a
 shingle are hashed as a whole; repeated rows share a fingerprint, and one of them stays; an empty table gives an empty result; with a null id the
@@ -46,6 +47,7 @@ HOME, OTHER = 1 << 15, 1 << 19
 LANES, SHINGLE, SIMILARITY, WIDE_RADIUS = 4, 5, 0.8, 58
 WIDE_HOME, WIDE_OTHER = 1 << 13, 1 << 16
 PLACES = 18
+PARITY_BITS, MEET, MEET_BLOCK, HELD, WIDE_HELD, WIDEST = 512, 1 << 11, 1 << 14, 1 << 21, 1 << 23, 15
 U64 = np.uint64
 
 
@@ -368,9 +370,8 @@ def wide_links(rows: DataFrame, similarity: float = SIMILARITY, radius: int = WI
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _alike(docs: DataFrame, links: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
-    """Links whose shingle sets are as similar as asked: only texts with a link are read again, and links meet two sets at a time."""
-    linked = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+def _sets(docs: DataFrame, linked: DataFrame, text_col: str, shingle: int, seed: int = 42) -> DataFrame:
+    """``node`` and ``s``, its sorted distinct shingles, of the nodes in ``linked``: only their texts are read again."""
     texts = docs.select(_node(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")).join(linked, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,18 +381,25 @@ def _alike(docs: DataFrame, links: DataFrame, text_col: str, shingle: int, simil
                 cut, data = (np.r_[0, np.cumsum(per)] * 8).tolist(), hashes.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([data[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], names=["node", "s"])
 
-    shingles = written(texts.mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"]), "shingles")
+    return written(texts.mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"]), "shingles")
+
+
+def are_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _alike(docs: DataFrame, links: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """Links whose shingle sets are as similar as asked: only texts with a link are read again, and links meet two sets at a time."""
+    linked = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+    shingles = _sets(docs, linked, text_col, shingle, seed)
     side = lambda c: shingles.select(F.col("node").alias(c), F.col("s").alias("s" + c))
     pairs = links.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                if both >= similarity * (len(p) + len(q) - both) - 1e-9:
-                    keep.append(i)
+            sets = zip(batch.column("sa"), batch.column("sb"))
+            keep = [i for i, (x, y) in enumerate(sets) if are_alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), similarity)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return pairs.mapInArrow(check, "a binary, b binary")
@@ -429,21 +437,182 @@ def prefixes(hashes: np.ndarray, per: np.ndarray, counts: np.ndarray, similarity
     return hashes[order][some], place[some], take
 
 
-def may_be_alike(m: str, n: str, shared: str, similarity: float) -> Column:
-    """Whether sets of ``m`` and ``n`` members can be as similar as asked when ``shared`` of their ``prefixes`` are the same.
+def parities(hashes: np.ndarray, per: np.ndarray, bits: int) -> np.ndarray:
+    """Per set, ``bits`` bits (a power of two): whether an odd number of its members falls on a bit.
 
-    Up to where the prefix of one of them ends, all common members are in both prefixes; past it, that set has ``ceil(similarity * size) - 1`` members left.
+    A member that only one of two sets has turns one bit, so sets differ in at least as many members as their parities in bits.
     """
-    left = F.ceil(similarity * F.greatest(m, n) - 1e-9) - 1
-    return F.col(shared) + left >= similarity / (1 + similarity) * (F.col(m) + F.col(n)) - 1e-6
+    out = np.zeros((len(per), bits // 64), np.uint64)
+    cut, rows = np.r_[0, np.cumsum(per)], max(1, (1 << 22) // bits)
+    for at in range(0, len(per), rows):
+        some = per[at : at + rows]
+        place = np.repeat(np.arange(len(some)) * bits, some) + (hashes[cut[at] : cut[at + len(some)]] & U64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(some) * bits) & 1).astype(np.uint8)
+        out[at : at + len(some)] = np.packbits(odd, bitorder="little").view("<u8").reshape(len(some), -1)
+    return out
+
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Twice the members of a set, as a power of two: how many bits its wide parities have."""
+    return np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), 6, WIDEST).astype(np.int64)
 
-def _missed(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes under different roots that may be as similar as asked: no pair that is, is left out.
+
+def wide_parities(hashes: np.ndarray, per: np.ndarray) -> list[bytes]:
+    """Per set, parities of ``level_of`` its size."""
+    level, row, out = level_of(per), np.repeat(np.arange(len(per)), per), [b""] * len(per)
+    for one in np.unique(level).tolist():
+        mine = level == one
+        for k, bits in zip(np.flatnonzero(mine).tolist(), parities(hashes[mine[row]], per[mine], 1 << one)):
+            out[k] = bits.tobytes()
+    return out
+
+
+def folded(wide: bytes, level: int) -> np.ndarray:
+    """Parities at fewer bits: a bit's place is a hash modulo their number, so halves add up."""
+    bits = np.frombuffer(wide, np.uint64)
+    while len(bits) > 1 << (level - 6):
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def in_reach(group: np.ndarray, n: np.ndarray, root: np.ndarray, part: np.ndarray | None, bits: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs ``(x, y, d)`` of rows of one group under different roots (and in different parts, if there are any) that may be as similar as asked.
+
+    ``d`` is by how many members they differ at least; no pair that is as similar is left out.  Some million pairs are held at a time.
+    """
+    apart = (1 - similarity) / (1 + similarity)
+    order = np.lexsort((n, group))
+    place = (group[order] << 32) + n[order]
+    end = np.searchsorted(place, (group[order] << 32) + np.floor(n[order] / similarity + 1e-6).astype(np.int64), "right")
+    per = end - np.arange(len(end)) - 1
+    total = np.cumsum(per)
+    at = 0
+    while at < len(per):
+        upto = max(at + 1, int(np.searchsorted(total, total[at] - per[at] + (1 << 20), "right")))
+        some = per[at:upto]
+        i = np.repeat(np.arange(at, upto), some)
+        x, y = order[i], order[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)]
+        other = root[x] != root[y] if part is None else (root[x] != root[y]) & (part[x] != part[y])
+        x, y = x[other], y[other]
+        step = max(1, (1 << 19) // bits.shape[1])
+        for cut in range(0, len(x), step):
+            u, v = x[cut : cut + step], y[cut : cut + step]
+            d = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+            near = d <= apart * (n[u] + n[v]) + 1e-6
+            yield u[near], v[near], d[near]
+        at = upto
+
+
+def _tiles(key: Column, block: Column, weight: Column, most: int, row: Column) -> list[Column]:
+    """Columns ``k``, ``p``, ``q`` and ``part``: light keys share the tile of their block; a heavy one is cut into parts, and any two of these have a tile."""
+    parts = F.ceil(weight / most).cast("int")
+    part = F.pmod(F.xxhash64(row), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(key.alias("k"), F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
+    alone = F.array(F.struct(block.alias("k"), F.lit(-1).alias("p"), F.lit(-1).alias("q")))
+    return [F.explode(F.when(parts > 1, pairs).otherwise(alone)).alias("tile"), F.when(parts > 1, part).otherwise(0).alias("part")]
+
+
+def _meeting(sets: DataFrame, similarity: float, most: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` of numbers ``i`` that join all documents which meet at a member under different roots and are in reach: a forest per tile."""
+    at = Window.partitionBy("h")
+    each = sets.select(F.explode("h").alias("h"), "i", "r").withColumns({"x": F.min("r").over(at), "y": F.max("r").over(at), "m": F.count(F.lit(1)).over(at)})
+    each = written(each.where("x <> y").select("h", "i", "m"), "prefixes")
+    blocks = max(1, math.ceil(each.count() / block))
+    tiled = each.select("h", "i", *_tiles(F.col("h"), F.pmod("h", F.lit(blocks)).cast("long"), F.col("m"), most, F.col("i")))
+    rows = tiled.join(sets.select("i", "r", "n", "bits"), "i").select("tile.k", "tile.p", "tile.q", "part", "h", "i", "r", "n", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, h, root, n, part = (table.column(c).to_numpy() for c in ("i", "h", "r", "n", "part"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(i), -1)
+        cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+        ids, at = np.unique(i, return_inverse=True)
+        a = b = np.zeros(0, np.uint64)
+        for x, y, _ in in_reach(np.unique(h, return_inverse=True)[1], n.astype(np.int64), root, part if cross else None, bits, similarity):
+            if len(x):
+                a, b = forest(np.r_[a, at[x].astype(np.uint64)], np.r_[b, at[y].astype(np.uint64)])
+        return pa.table([pa.array(ids[a.astype(np.int64)]), pa.array(ids[b.astype(np.int64)])], names=["a", "b"])
+
+    return rows.groupBy("k", "p", "q").applyInArrow(run, "a long, b long")
+
+
+def _closer(rough: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links ``(a, b)`` of numbers ``i`` that join all documents of a cluster in reach by wide parities: a forest per tile.
+
+    Tiles are levels: a set comes to its own and, if sets of the one below may be alike, folded to that one.
+    """
+    own = F.log2(F.length("wide") * 8).cast("int")
+    below = (own > 6) & (F.col("n") * similarity <= F.pow(F.lit(2.0), own - 2) + 1e-6)
+    levels = rough.withColumn("level", F.explode(F.when(below, F.array(own, own - 1)).otherwise(F.array(own))))
+    size = levels.groupBy("cluster", "level").agg(F.sum("n").alias("m"))
+    blocks = max(1, math.ceil((size.agg(F.sum("m")).first()[0] or 0) / most))
+    block = F.pmod(F.xxhash64("cluster"), F.lit(blocks))
+    tiled = levels.join(size, ["cluster", "level"]).select("level", "cluster", "i", "r", "n", "wide", *_tiles(F.col("cluster"), block, F.col("m"), most, F.col("i")))
+    rows = tiled.select("level", "tile.k", "tile.p", "tile.q", "part", "cluster", "i", "r", "n", "wide")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cluster, i, root, n, part = (table.column(c).to_numpy() for c in ("cluster", "i", "r", "n", "part"))
+        level = table.column("level")[0].as_py()
+        bits = np.stack([folded(w, level) for w in table.column("wide").to_pylist()])
+        cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+        ids, at = np.unique(i, return_inverse=True)
+        a = b = np.zeros(0, np.uint64)
+        for x, y, _ in in_reach(np.unique(cluster, return_inverse=True)[1], n.astype(np.int64), root, part if cross else None, bits, similarity):
+            if len(x):
+                a, b = forest(np.r_[a, at[x].astype(np.uint64)], np.r_[b, at[y].astype(np.uint64)])
+        return pa.table([pa.array(ids[a.astype(np.int64)]), pa.array(ids[b.astype(np.int64)])], names=["a", "b"])
+
+    return rows.groupBy("level", "k", "p", "q").applyInArrow(run, "a long, b long")
+
+
+def _held(shingles: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links ``(a, b)`` of nodes that join all sets of a cluster, under different roots, that are as similar as asked: a forest per tile.
+
+    Every pair that its parities leave in reach is held against its shingles, unless links found before in the tile join it already.
+    """
+    size = shingles.groupBy("cluster").agg(F.sum("n").alias("m"))
+    blocks = max(1, math.ceil((size.agg(F.sum("m")).first()[0] or 0) / most))
+    tiled = shingles.join(size, "cluster").select(
+        "cluster", "node", "r", "n", "s", *_tiles(F.col("cluster"), F.pmod(F.xxhash64("cluster"), F.lit(blocks)), F.col("m"), most, F.col("node"))
+    )
+    rows = tiled.select("tile.k", "tile.p", "tile.q", "part", "cluster", "node", "r", "n", "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cluster, root, n, part = (table.column(c).to_numpy() for c in ("cluster", "r", "n", "part"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("s")]
+        per = np.array([len(s) for s in sets])
+        bits = parities(np.concatenate(sets), per, 1 << min(15, max(6, int(2 * per.max()).bit_length())))
+        cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+        under = np.unique(root, return_inverse=True)[1]
+        label = np.arange(len(under))
+        a, b = [], []
+        for x, y, d in in_reach(np.unique(cluster, return_inverse=True)[1], n.astype(np.int64), root, part if cross else None, bits, similarity):
+            for k in np.argsort(d, kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                u, v = label[under[i]], label[under[j]]
+                if u != v and are_alike(sets[i], sets[j], similarity):
+                    label[label == v] = u
+                    a.append(i)
+                    b.append(j)
+        node = table.column("node")
+        return pa.table([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return rows.groupBy("k", "p", "q").applyInArrow(run, "a binary, b binary")
+
+
+def _missed(
+    docs: DataFrame, named: DataFrame, text_col: str, shingle: int, similarity: float, seed: int = 42, meet: int = MEET, block: int = MEET_BLOCK, held: int = HELD
+) -> DataFrame:
+    """Links ``(a, b)`` of nodes that join all documents under different roots that are as similar as asked.
 
     Two sets that are ``similarity`` alike share one of their rarest members (in any order that is the same for all sets; here, by frequency of the
-    member's bucket, then by hash), so pairs meet there, and stay if they share enough of them (``may_be_alike``).  Members cross the shuffle once and
-    only those under several roots are written.
+    member's bucket, then by hash), so pairs meet there.  Members cross the shuffle once and only those under several roots are written.  Pairs are
+    never rows: tasks hold those that meet against their ``parities``, and tell by a forest which documents belong to one cluster.  Narrow parities
+    tell long texts apart no more, so clusters are cut again by parities as wide as the sets need; the sets of what is left are then held against each
+    other, cluster by cluster, and again a task returns a forest.  A member that ``meet`` documents share, and a cluster of ``held`` shingles, are cut
+    into parts, of which a task sees two.
     """
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_bucket_counts(docs, text_col, shingle, seed))
@@ -455,20 +624,24 @@ def _missed(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, simi
                 hashes, per = _distinct(*_shingle_hashes(part.column("text"), shingle, seed))
                 some, place, take = prefixes(hashes, per, counts.value, similarity)
                 cut = pa.array(np.r_[0, np.cumsum(take)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(cut, pa.array(some.view(np.int64)))], names=["node", "h"])
+                bits = [x.tobytes() for x in parities(hashes, per, PARITY_BITS)]
+                wide = wide_parities(hashes, per)
+                columns = [part.column("node"), pa.ListArray.from_arrays(cut, pa.array(some.view(np.int64))), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "h", "bits", "wide"])
 
     of = named.select("node", F.xxhash64("node").alias("i"), F.xxhash64("root").alias("r"), "n")
-    sets = inner.mapInArrow(run, "node binary, h array<long>").dropDuplicates(["node"]).join(of, "node")
-    at = Window.partitionBy("h")
-    each = sets.select(F.explode("h").alias("h"), "i", "r", "n").withColumns({"x": F.min("r").over(at), "y": F.max("r").over(at)})
-    each = written(each.where("x <> y").select("h", "i", "r", "n"), "prefixes")
-    x, y = each.alias("x"), each.alias("y")
-    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
-    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.r") != F.col("y.r")) & sizes)
-    both = both.groupBy(F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = both.where(may_be_alike("m", "n", "shared", similarity)).select("i", "j")
-    side = lambda k, c: of.select(F.col("i").alias(k), F.col("node").alias(c))
-    return pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    sets = written(inner.mapInArrow(run, "node binary, h array<long>, bits binary, wide binary").dropDuplicates(["node"]).join(of, "node").drop("node"), "sets")
+    met = written(_meeting(sets, similarity, meet, block), "met")
+    if met.isEmpty():
+        return spark.createDataFrame([], "a binary, b binary")
+    cluster = lambda links: components(links).select(F.col("node").alias("i"), F.col("root").alias("cluster"))
+    rough = written(cluster(met).join(sets.select("i", "r", "n", "wide"), "i"), "rough")
+    closer = written(_closer(rough, similarity, WIDE_HELD), "closer")
+    if closer.isEmpty():
+        return spark.createDataFrame([], "a binary, b binary")
+    clusters = written(cluster(closer).join(of, "i").drop("i"), "clusters")
+    shingles = _sets(docs, clusters.select("node"), text_col, shingle, seed).join(clusters, "node")
+    return _held(shingles, similarity, held)
 
 
 def near_copies(
@@ -481,8 +654,7 @@ def near_copies(
     near = written(_alike(docs, links, text_col, shingle, similarity), "near")
     under = lambda roots: nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     named = written(under(components(near)), "named")
-    missed = written(_missed(docs, named, text_col, shingle, similarity), "missed")
-    more = written(_alike(docs, missed, text_col, shingle, similarity), "more")
+    more = written(_missed(docs, named, text_col, shingle, similarity), "more")
     if not more.isEmpty():
         named = written(under(components(near.unionAll(more))), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -331,6 +331,56 @@ def test_only_pairs_that_may_be_alike_are_held_against_their_shingles(spark):
     assert simhash._missed(docs, named, "text", 5, 0.8).count() == 0
 
 
+@pytest.mark.parametrize("cuts", [{}, {"meet": 16, "block": 100, "held": 2000}])
+def test_a_family_under_many_roots_is_linked_by_a_forest(spark, cuts):
+    """120 texts that all meet at the same shingles, each under a root of its own: as many links as join what is alike, not one per pair."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(100)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for at in rnd.sample(range(5, 95), 1 + k % 3):
+            w[at] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    node = {hashlib.md5(t.encode()).digest(): k for k, t in rows}
+    sets = [shingles(t) for _, t in rows]
+    named = spark.createDataFrame([(bytearray(x), bytearray(x), len(sets[k])) for x, k in node.items()], "node binary, root binary, n int")
+    found = [(node[bytes(r.a)], node[bytes(r.b)]) for r in simhash._missed(spark.createDataFrame(rows, "doc_id long, text string"), named, "text", 5, 0.8, **cuts).collect()]
+    assert all(alike(sets[a], sets[b]) >= 0.8 for a, b in found)
+
+    def roots(links):
+        root = list(range(len(rows)))
+        for a, b in links:
+            p, q = root[a], root[b]
+            root = [min(p, q) if r in (p, q) else r for r in root]
+        return root
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    assert roots(found) == roots(pairs) and 2 < len(set(roots(pairs))) < len(rows) - 20
+    assert len(pairs) > 5 * len(rows)
+    assert len(found) < (len(rows) if not cuts else len(pairs))
+
+
+def test_parities_tell_no_alike_sets_apart():
+    """All pairs of one group under different roots that are alike are in reach, however narrow the parities; each pair comes once."""
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = [np.unique(np.r_[rng.permutation(base)[lost:], rng.integers(0, 1 << 63, lost // 2, dtype=np.uint64)]) for lost in rng.integers(0, 60, 80).tolist()] + [np.zeros(0, np.uint64)]
+    n = np.array([len(s) for s in sets])
+    group, root = rng.integers(0, 3, len(sets)), rng.integers(0, 5, len(sets))
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    for bits in (64, 512, 1 << 13):
+        p = simhash.parities(np.concatenate(sets), n, bits)
+        for part in (None, rng.integers(0, 2, len(sets))):
+            got = [(min(a, b), max(a, b), d) for x, y, z in simhash.in_reach(group, n, root, part, p, 0.8) for a, b, d in zip(x.tolist(), y.tolist(), z.tolist())]
+            assert len(got) == len({g[:2] for g in got}) and all(n[i] + n[j] - 2 * both(i, j) >= d for i, j, d in got)
+            want = {(i, j) for j in range(len(sets)) for i in range(j) if group[i] == group[j] and root[i] != root[j] and (part is None or part[i] != part[j]) and both(i, j) >= 0.8 * (n[i] + n[j] - both(i, j))}
+            assert want <= {g[:2] for g in got} and len(want) > 20
+    assert len(got) < 2 * len(want)
+    wide = simhash.wide_parities(np.concatenate(sets), n)
+    assert all((simhash.folded(w, 6) == p).all() for w, p in zip(wide, simhash.parities(np.concatenate(sets), n, 64))) and {len(w) for w in wide} == {8, 128}
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
     before = files()
